@@ -113,11 +113,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def stem(c: Column) -> Column:
     """A light suffix stemmer: the longest of a few suffixes, leaving at least four letters."""
-    x = c
-    for suffix in ("ations", "ation", "ements", "ement", "ingly", "ings", "ing", "edly", "ers", "ies", "ed", "es", "er", "ly", "s"):
+    # one flat chain of cases; nesting would double the expression at every suffix
+    out = None
+    for suffix in ("ations", "ements", "ation", "ement", "ingly", "ings", "edly", "ing", "ers", "ies", "ed", "es", "er", "ly", "s"):
         n = len(suffix)
-        x = F.when((x == c) & c.endswith(suffix) & (F.length(c) >= 4 + n), F.substring(c, F.lit(1), F.length(c) - n)).otherwise(x)
-    return x
+        hit, cut = c.endswith(suffix) & (F.length(c) >= 4 + n), F.substring(c, F.lit(1), F.length(c) - n)
+        out = F.when(hit, cut) if out is None else out.when(hit, cut)
+    return out.otherwise(c)
 
 
 def basename(path: Column | str) -> Column:

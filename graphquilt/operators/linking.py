@@ -36,7 +36,7 @@ def call_edges(sites: DataFrame, functions: DataFrame, imports: DataFrame, has_m
     most ``MOST_TARGETS`` functions, and never to a common method.
     """
     f = functions.select(F.col("id").alias("to_id"), "name", F.col("file_path").alias("to_file")).withColumn("fam", family("to_file")).withColumn("to_test", is_test("to_file"))
-    s = sites.withColumn("fam", family("file_path")).withColumn("from_test", is_test("file_path"))
+    s = sites.drop("to_id").withColumn("fam", family("file_path")).withColumn("from_test", is_test("file_path"))
     c = s.join(f, ["name", "fam"]).where("from_test or not to_test").where("from_id <> to_id")
     n = f.groupBy("name", "fam").agg(F.count(F.lit(1)).alias("n_named"))
     imp = imports.select(F.col("from_path").alias("file_path"), F.col("to_path").alias("to_file")).distinct().withColumn("imported", F.lit(True))

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trigrams, words
-from ..session import importable
+from ..session import importable, materialise
 
 K1, B = 1.2, 0.75
 RRF = 60
+MOST_LITERAL_GRAMS = 2000
 DIMS = 512
 
 
@@ -70,10 +71,17 @@ def substring_hits(docs: DataFrame, key: str, text: Column | str, queries: DataF
     """
     t = F.col(text) if isinstance(text, str) else text
     d = docs.select(F.col(key).alias("doc"), F.lower(t).alias("_t")).where("_t is not null")
-    grams = d.select("doc", F.explode(trigrams("_t")).alias("gram"))
     q = queries.select("query", F.lower("text").alias("_q")).where("length(_q) >= 3").distinct()
     qg = q.select("query", "_q", F.explode(trigrams("_q")).alias("gram"))
-    df = grams.join(qg.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # few query trigrams are a literal list, so each text yields only those; many are a join
+    wanted = [r.gram for r in qg.select("gram").distinct().limit(MOST_LITERAL_GRAMS + 1).collect()]
+    if len(wanted) <= MOST_LITERAL_GRAMS:
+        have = F.array_intersect(trigrams("_t"), F.array(*[F.lit(g) for g in wanted])) if wanted else F.array().cast("array<string>")
+        grams = d.select("doc", F.explode(have).alias("gram"))
+    else:
+        grams = d.select("doc", F.explode(trigrams("_t")).alias("gram")).join(qg.select("gram").distinct(), "gram", "left_semi")
+    grams = materialise(grams, "grams")
+    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = qg.join(df, "gram").groupBy("query", "_q").agg(F.min(F.struct("df", "gram")).alias("g"), F.count(F.lit(1)).alias("have"))
     need = qg.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
     rare = rare.join(need, "query").where("have = need").select("query", "_q", F.col("g.gram").alias("gram"))
@@ -96,11 +104,11 @@ def search(docs: DataFrame, key: str, name: Column, body: Column, queries: DataF
     ``queries`` has ``query, text``; returns ``query, doc, rank, score, tier``.
     """
     pool = max(4 * limit, 40)
-    posts = postings(docs, key, name, body)
+    posts = materialise(postings(docs, key, name, body), "postings")
     terms = queries.select("query", F.explode(F.array_distinct(words("text"))).alias("term"))
     strict = top_k(bm25(posts, terms), pool)
     sub = top_k(substring_hits(docs, key, F.concat_ws(" ", name, body), queries), pool)
-    first = fuse(strict, sub).withColumn("tier", F.lit(1))
+    first = materialise(fuse(strict, sub).withColumn("tier", F.lit(1)), "fused")
     open_q = queries.join(first.select("query").distinct(), "query", "left_anti")
     loose = bm25(posts, terms.join(open_q.select("query"), "query", "left_semi"), conjunctive=False).select("query", "doc", "score").withColumn("tier", F.lit(2))
     still = open_q.join(loose.select("query").distinct(), "query", "left_anti")

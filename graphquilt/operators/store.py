@@ -39,7 +39,7 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Like ``last_wins`` but by a map-side combined aggregate, so one hot key is no hot task."""
     others = [c for c in rows.columns if c != key]
-    r = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_r"))
+    r = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), F.struct(order)).alias("_r"))
     return r.select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 

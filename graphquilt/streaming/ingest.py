@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 def newest(batch: DataFrame, key: str, order: str) -> DataFrame:
     """The last state of each key within a micro-batch, combined map-side."""
     rest = [c for c in batch.columns if c != key]
-    r = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
+    r = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("_r"))
     return r.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
