@@ -294,7 +294,7 @@ def documented(functions: DataFrame, files: DataFrame, blobs: DataFrame) -> Data
     """One row per function whose documentation says something: ``id, name, git_blob_sha, hashed, start_line, end_line, documentation, origin``."""
     importable(functions.sparkSession)
     fn = functions.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("name", "file_path", "start_line", "end_line", "docstring"), F.struct("indexed_at", "start_line")).alias("r")).select("id", "r.*")
-    path = files.where(F.col("path").isNotNull()).groupBy(F.col("path").alias("file_path")).agg(F.max_by("git_blob_sha", "indexed_at").alias("git_blob_sha"))
+    path = files.where(F.col("path").isNotNull()).groupBy(F.col("path").alias("file_path")).agg(F.max_by("git_blob_sha", F.struct("indexed_at", "git_blob_sha")).alias("git_blob_sha"))
     fn = salted_left_join(fn, path, "file_path", F.col("id")).withColumn("hashed", F.lower("file_path").rlike(HASHED))
     at = F.concat_ws("\x00", "git_blob_sha", "hashed", "first_line")
     heads = delimit(outline(tokens(files, blobs))).select(at.alias("_at"), F.col("comment_above"), F.col("top_of_body"), F.col("ends"))
