@@ -37,7 +37,7 @@ ALWAYS_OUTSIDE = r"(^|/)(node_modules|site-packages|dist-packages|bower_componen
 OUTSIDE_FOLDER = r"(?i)(^|/)(_?vendor(ed)?|third[-_]?party|3rd[-_]?party|externals?|extern|deps)/([^/]+/)+[^/]+$"
 OUTSIDE_NAME = r"(?i)(?:^|/)(?:node_modules|site-packages|dist-packages|bower_components|jspm_packages|Pods|Carthage|_?vendor(?:ed)?|third[-_]?party|3rd[-_]?party|externals?|extern|deps)/(?:[^/]+\.[a-z]{2,}/)?(@[^/]+/[^/]+|[^/]+)/"
 GENERATED_FOLDER = r"(?i)(^|/)(generated|__generated__|autogen(erated)?|auto_generated|codegen_out|gen|generated[-_]src)/"
-GENERATED_NAME = r"(\.pb\.go|_pb2(_grpc)?\.pyi?|_pb\.(js|d\.ts)|\.pb\.(cc|h)|\.g\.dart|\.gen\.[a-z]+|_gen\.go|\.generated\.[a-z]+|\.designer\.cs|OuterClass\.java)$"
+GENERATED_NAME = r"(\.pb\.go|_pb2(_grpc)?\.pyi?|_pb\.(js|d\.ts)|\.pb\.(cc|h)|\.g\.dart|\.gen\.[a-z]+|_gen\.go|_string\.go|\.generated\.[a-z]+|\.designer\.cs|OuterClass\.java)$"
 MINIFIED_NAME = r"(?i)[.-]min\.(js|css|mjs)$"
 BUNDLE_NAME = r"(?i)\.[0-9a-f]{8,}\.(js|css|mjs)$"
 
