@@ -177,6 +177,8 @@ ADDRESSES = (
 _W = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
 #: given (middle initial) family; family, given; initial family.
 _PAIR = re.compile(rf"(?<![\w@.'’/+=-])({_W})(?: +[^\W\d_]\.)?(?: +({_W})|, ({_W}))(?![\w@]|['’-]\w|\(\)|://)")
+#: The same where both words are capitalised.
+_PROPER = re.compile(rf"(?<![\w@.'’/+=-])(?=[^\W\d_a-zß-öø-ÿ])({_W})(?: +[^\W\d_]\.)?(?: +(?=[^\W\d_])(?![a-zß-öø-ÿ])({_W})|, (?![a-zß-öø-ÿ])({_W}))(?![\w@]|['’-]\w|\(\)|://)")
 _INITIAL = re.compile(rf"(?<![\w@.'’/+-])([A-Z]\.(?: ?[A-Z]\.)*) ?({_W})(?![\w@]|-\w)")
 # Titles and words of prose that are no given names though a family may follow them.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau hr fr dipl ing mme mlle m monsieur madame senor senora señor señora sr sra don dona doña lic".split())
@@ -197,52 +199,65 @@ def _trim(value: str, after: str) -> str:
     return value[:-2] if after == ". " and re.search(r"\w \d$", value) and len(value) > 8 else value
 
 
+# What a text must hold for a group of patterns to be tried at all; each pattern needs it by construction.
+_MAY_MAIL = re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|\s(?:AT|at)\s")
+_MAY_NUMBER = re.compile(r"\d(?:[ ./()-]{0,2}\d){4}|[A-Za-z]\d{4}")
+_MAY_ADDRESS = re.compile(r"\d{4}|\d[A-Z]{2}\b")
+
+
 def _masked(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     """All spans but names, and the text with them blanked out."""
     spans: list[tuple[int, int, str]] = []
-    taken = bytearray(len(text))
 
     def take(s: int, e: int, kind: str) -> None:
-        if not any(taken[s:e]):
+        if all(e <= a or s >= b for a, b, _ in spans):
             spans.append((s, e, kind))
-            taken[s:e] = b"\x01" * (e - s)
 
-    for m in EMAIL.finditer(text):
-        local = m.group("local").lower()
-        if local in ROLES or local.endswith(("-list", "-bot", "[bot]")) or "://" in text[max(0, m.start() - 3) : m.start()]:
-            continue
-        s = m.start() - 7 if text[max(0, m.start() - 7) : m.start()].lower() == "mailto:" else m.start()
-        take(m.start() if s != m.start() else s, m.end(), "email")
-    for m in CARD.finditer(text):
-        d = re.sub(r"\D", "", m.group("v"))
-        if 13 <= len(d) <= 19 and luhn(d):
-            take(m.start("v"), m.end("v"), "id_number")
-    for m in IBAN.finditer(text):
-        b = m.group("v").replace(" ", "")
-        if 15 <= len(b) <= 34 and mod97(b):
-            take(m.start("v"), m.end("v"), "id_number")
-    for rx in IDS:
-        for m in rx.finditer(text):
-            v = m.group("v")
-            v = _trim(v, text[m.end("v") :][:2]).rstrip(" -")
-            if sum(c.isdigit() for c in v) >= 5:
-                take(m.start("v"), m.start("v") + len(v), "id_number")
-    for rx in ADDRESSES:
-        for m in rx.finditer(text):
-            take(m.start(), m.end(), "address")
-    for rx in PHONES:
-        for m in rx.finditer(text):
-            v = _trim(m.group(), text[m.end() :][:2])
-            if 7 <= sum(c.isdigit() for c in v) <= 15:
-                take(m.start(), m.start() + len(v), "phone")
-    blank = "".join("\x00" if t else c for c, t in zip(text, taken, strict=True))
-    return blank, spans
-
-
-def pairs(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    if _MAY_MAIL.search(text):
+        for m in EMAIL.finditer(text):
+            local = m.group("local").lower()
+            if local in ROLES or local.endswith(("-list", "-bot", "[bot]")) or "://" in text[max(0, m.start() - 3) : m.start()]:
+                continue
+            take(m.start(), m.end(), "email")
+    numbers = _MAY_NUMBER.search(text)
+    if numbers:
+        for m in CARD.finditer(text):
+            d = re.sub(r"\D", "", m.group("v"))
+            if 13 <= len(d) <= 19 and luhn(d):
+                take(m.start("v"), m.end("v"), "id_number")
+        for m in IBAN.finditer(text):
+            b = m.group("v").replace(" ", "")
+            if 15 <= len(b) <= 34 and mod97(b):
+                take(m.start("v"), m.end("v"), "id_number")
+        for rx in IDS:
+            for m in rx.finditer(text):
+                v = _trim(m.group("v"), text[m.end("v") : m.end("v") + 2]).rstrip(" -")
+                if sum(c.isdigit() for c in v) >= 5:
+                    take(m.start("v"), m.start("v") + len(v), "id_number")
+    if _MAY_ADDRESS.search(text):
+        for rx in ADDRESSES:
+            for m in rx.finditer(text):
+                take(m.start(), m.end(), "address")
+    if numbers:
+        for rx in PHONES:
+            for m in rx.finditer(text):
+                v = _trim(m.group(), text[m.end() : m.end() + 2])
+                if 7 <= sum(c.isdigit() for c in v) <= 15:
+                    take(m.start(), m.start() + len(v), "phone")
+    if not spans:
+        return text, spans
+    spans.sort()
+    out, at = [], 0
+    for s, e, _ in spans:
+        out += [text[at:s], "\x00" * (e - s)]
+        at = e
+    return "".join([*out, text[at:]]), spans
+
+
+def pairs(text: str, rx: re.Pattern) -> Iterator[tuple[int, int, str, str, bool]]:
     """Overlapping word pairs that could be a name: (start, end, given, family, reversed)."""
     at = 0
-    while m := _PAIR.search(text, at):
+    while m := rx.search(text, at):
         a, b, c = m.group(1), m.group(2), m.group(3)
         end = m.end(2) if b else m.end(3)
         if b:
@@ -263,7 +278,8 @@ def name_spans(blank: str, given: frozenset | set, families: set, learned: set)
             last = e
 
     found = []
-    for s, e, g, f, rev in pairs(blank):
+    # a pair that is not capitalised needs a family name known here
+    for s, e, g, f, rev in pairs(blank, _PAIR if families else _PROPER):
         gn, fn = norm(g), norm(f)
         if gn in TITLES or fn in TITLES or gn in STOP or fn in STOP:
             continue
@@ -272,7 +288,7 @@ def name_spans(blank: str, given: frozenset | set, families: set, learned: set)
             found.append((0 if known_g else 1, s, e))
         elif not rev and gn in given and gn not in EVERYDAY and _proper(g) and _proper(f) and len(f) > 2 and not (f.isupper() and not g.isupper()):
             found.append((2, s, e))
-    for m in _INITIAL.finditer(blank):
+    for m in _INITIAL.finditer(blank) if families else ():
         if norm(m.group(2)) in families:
             found.append((1, m.start(), m.end()))
     used: list[tuple[int, int]] = []
@@ -333,7 +349,7 @@ def _proper_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = set()
         for body in pdf.body:
             if body:
-                for _, _, g, f, rev in pairs(_masked(body)[0]):
+                for _, _, g, f, rev in pairs(_masked(body)[0], _PROPER):
                     if _proper(g) and _proper(f) and len(f) > 2 and len(g) > 1 and norm(g) not in TITLES and norm(f) not in TITLES:
                         got.add((norm(g), norm(f)))
                         if rev:
