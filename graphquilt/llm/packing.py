@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranking import rank_within, sort_once
-from ..session import importable
+from ..session import importable, materialise
 from .tokens import VOCABULARY, counted
 
 CAPACITY = 2048
@@ -129,7 +129,8 @@ def with_capacity(placed: list[tuple], bins: list[tuple]) -> list[tuple]:
 
 def items(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, piece, size``: whole documents, or full pieces and a rest of the oversized."""
-    c = counted(documents.select("doc_id", "text").distinct(), ["doc_id"], vocabulary)
+    # written once: the sampling of the sort below would count every text a second time
+    c = materialise(counted(documents.select("doc_id", "text").distinct(), ["doc_id"], vocabulary), "counted")
     full = F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / capacity)
     x = c.withColumn("_full", full)
     return x.select("doc_id", F.col("n_tokens"), F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_full")), lambda i: F.when(i < F.col("_full"), F.lit(capacity).cast("long")).otherwise(F.col("n_tokens") - F.col("_full") * capacity))).alias("piece", "size"))
