@@ -108,7 +108,8 @@ def draw(documents: DataFrame, targets: DataFrame, total: float | None = None, s
         raise ValueError("the table of targets is too long to be one")
     listed = spark.createDataFrame([(r["source"],) for r in rows], "source string")
     d = documents.select("doc_id", "source", "text").join(F.broadcast(listed), "source").distinct()
-    d = materialise(counted(d, ["doc_id", "source"], vocabulary).where("n_tokens > 0"), "mixing")
+    # counted once: a filter ahead of the write would be pushed below and count again
+    d = materialise(counted(d, ["doc_id", "source"], vocabulary), "mixing").where("n_tokens > 0")
     have = {r["source"]: r["n"] for r in d.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # one row per listed source
     cap = {r["source"]: float(have.get(r["source"], 0) * max(0, r["max_repeat"] or 0)) for r in rows}
     want = budgets([(r["source"], r["weight"]) for r in rows], cap, total)
