@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from statistics import median
 
@@ -54,7 +55,6 @@ _INLINE = re.compile(r"`[^`\n]*`")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 _ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+(?:\[[ xX]\][ \t]*)?")
 _END = re.compile(r"(?<!\be\.g)(?<!\bi\.e)(?<!\bz\.B)(?<!\bbzw)(?<!\betc)(?<!\bcf)[.!?…]+[\"'”’)\]]*(?=\s|$)|[。！？]")
-_TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CODEY = re.compile(r"[_\\/{}<>=@#$|]|\w\.\w|[a-z][A-Z]|\w\(|\d|::|--")
 _VOWELS = {"en": re.compile(r"[aeiouy]+"), "de": re.compile(r"aa|ee|oo|ie|ei|ai|au|eu|äu|ui|[aeiouyäöü]"), "fr": re.compile(r"eau|oeu|œu|ai|au|ei|eu|ou|oi|ui|ie(?!r)|œ|[aeiouyàâäéèêëîïôöùûü]"), "es": re.compile(r"[iuü]?[aeoáéó][iuy]?|[iuíúü]+|y\b"), "nl": re.compile(r"aai|ooi|oei|eeu|ieu|aa|ee|oo|uu|ie|oe|eu|ui|ei|ij|ou|au|[aeiouyëïö]")}
@@ -86,16 +86,22 @@ def syllables(word: str, lang: str = "en") -> int:
 
 def language(words: list[str]) -> str:
     """The language most of whose function words occur; English when none does."""
-    seen = [w.lower() for w in words]
-    return max(_FUNCTION_WORDS, key=lambda k: (sum(w in _FUNCTION_WORDS[k] for w in seen), k == "en"))
+    seen = Counter(w.strip(".,;:!?()\"'").lower() for w in words)
+    return max(_FUNCTION_WORDS, key=lambda k: (sum(seen[w] for w in _FUNCTION_WORDS[k]), k == "en"))
 
 
 def blocks(text: str) -> Iterator[str]:
     """Paragraphs and list items of running prose, code, headings and tables left out."""
     t = text.replace("\r\n", "\n").replace("\r", "\n")
-    t = _FENCE.sub("\n\n", t)
-    t = html.unescape(t).replace("\xa0", " ")
-    t = _LINK.sub(r"\1", _TAG.sub(" ", t))
+    if "```" in t or "~~~" in t:
+        t = _FENCE.sub("\n\n", t)
+    if "&" in t:
+        t = html.unescape(t)
+    t = t.replace("\xa0", " ")
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    if "](" in t:
+        t = _LINK.sub(r"\1", t)
     para: list[str] = []
     first = True
     for line in [*t.split("\n"), ""]:
@@ -126,15 +132,43 @@ def sentences(block: str) -> Iterator[str]:
 
 def counts(sentence: str, lang: str) -> tuple[int, int, int, int, int] | None:
     """(words, letters, syllables, words of three or more syllables, words over six letters), or None for code and boilerplate."""
-    s = _URL.sub(" x_x ", _INLINE.sub(" x_x ", sentence))
-    toks = _TOKEN.findall(s)
-    codey = sum(1 for t in toks if _CODEY.search(t.strip(".,;:!?()\"'")))
-    words = [w for t in toks if not _CODEY.search(t.strip(".,;:!?()\"'")) for w in _WORD.findall(t)]
-    n = len(words)
+    s = sentence
+    if "`" in s:
+        s = _INLINE.sub(" x_x ", s)
+    if "://" in s or "www." in s:
+        s = _URL.sub(" x_x ", s)
+    toks = s.split()
+    known = _TOKENS.setdefault(lang, {})
+    n = letters = syl = poly = long = codey = 0
+    for t in toks:
+        c = known.get(t)
+        if c is None:
+            if len(known) > 300_000:
+                known.clear()
+            c = known[t] = _weigh(t, lang)
+        if c[0] < 0:
+            codey += 1
+        else:
+            n += c[0]
+            letters += c[1]
+            syl += c[2]
+            poly += c[3]
+            long += c[4]
     if n < 3 or codey * 4 >= len(toks) or codey and n < 6:
         return None
+    return n, letters, syl, poly, long
+
+
+_TOKENS: dict[str, dict[str, tuple[int, int, int, int, int]]] = {}
+
+
+def _weigh(token: str, lang: str) -> tuple[int, int, int, int, int]:
+    """What a token adds to the counts of its sentence; (-1, ...) for code."""
+    if _CODEY.search(token.strip(".,;:!?()\"'")):
+        return -1, 0, 0, 0, 0
+    words = _WORD.findall(token)
     syl = [syllables(w, lang) for w in words]
-    return n, sum(len(w) for w in words), sum(syl), sum(1 for x in syl if x >= 3), sum(1 for w in words if len(w) > 6)
+    return len(words), sum(map(len, words)), sum(syl), sum(1 for x in syl if x >= 3), sum(1 for w in words if len(w) > 6)
 
 
 def grade(n: int, letters: int, syl: int, poly: int, long: int) -> float:
@@ -156,7 +190,7 @@ def analyse(text: str | None) -> tuple[str | None, int, list[tuple[float, int]]]
     if not text:
         return None, 0, []
     parts = [list(sentences(b)) for b in blocks(text)]
-    lang = language([w for b in parts for s in b for w in _WORD.findall(s)])
+    lang = language([w for b in parts for s in b for w in s.split()])
     hist: dict[float, int] = {}
     for b in parts:
         own = sorted((max(-5.0, min(80.0, grade(*c))), c[0]) for c in (counts(s, lang) for s in b) if c)
