@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
@@ -108,6 +108,14 @@ def layer_matrix(files: DataFrame, imports: DataFrame) -> DataFrame:
     return e.join(lay.withColumnsRenamed({"path": "src", "layer": "src_layer"}), "src").join(lay.withColumnsRenamed({"path": "dst", "layer": "dst_layer"}), "dst").groupBy("src_layer", "dst_layer").agg(F.count(F.lit(1)).alias("n_links"))
 
 
+def calls_without_import(functions: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
+    """Files that call into files they do not import: ``src, dst, n_calls``."""
+    e = live(pairs(calls, "from_id", "to_id"), functions, "id")
+    fp = functions.select("id", "file_path")
+    c = e.withColumnsRenamed({"src": "a", "dst": "b"}).join(fp.withColumnsRenamed({"id": "a", "file_path": "src"}), "a").join(fp.withColumnsRenamed({"id": "b", "file_path": "dst"}), "b").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_calls"))
+    return c.join(imports.select(F.col("from_path").alias("src"), F.col("to_path").alias("dst")).distinct(), ["src", "dst"], "left_anti")
+
+
 def layer_inversions(files: DataFrame, imports: DataFrame) -> DataFrame:
     """Links from an inner layer to an outer one: domain to application or presentation, application to presentation."""
     m = layer_matrix(files, imports)
@@ -259,7 +267,7 @@ def top_directories(files: DataFrame, share: float = 0.7, deepest: int = 3) -> D
     return c.join(F.broadcast(pick)).where("depth = _d").drop("_d")
 
 
-def usefulness(files: DataFrame, functions: DataFrame, imports: DataFrame) -> Column | DataFrame:
+def usefulness(files: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
     """Files in the order a reader should open them: with definitions, no tests, by the bit length of their in-degree, newest first."""
     has = functions.select(F.col("file_path").alias("path")).distinct().withColumn("defines", F.lit(1))
     j = files.select("path", "role", "mtime").join(has, "path", "left").join(in_degree(imports), "path", "left").na.fill(0, ["defines", "importers"])

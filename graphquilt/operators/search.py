@@ -137,38 +137,58 @@ def embed(tokens: Column, grams: Column, dims: int = DIMS) -> Column:
     return run(tokens, grams)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, block_rows: int = 32_768) -> DataFrame:
     """Exact top-k cosine neighbours of every query against all rows: ``query, doc, score, rank``.
 
-    Queries are cut into blocks of ``block_rows``; every block meets every Arrow
-    batch in one matrix product that keeps k rows per query and batch, so what
-    leaves a task is k per query, never all pairs.  The query itself is left out.
+    Queries go in blocks of at most ``block_rows``, a bound by construction, each
+    broadcast to one pass over the vectors where they lie: a task multiplies its
+    Arrow batches with the block and keeps k rows per query, so what is shuffled is
+    k rows per query and task, never all pairs.  The query itself is left out; ties
+    go to the least key.
     """
     spark = vectors.sparkSession
     importable(spark)
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv")).where("qv is not null")
-    n = max(1, -(-q.count() // block_rows))
-    blocks = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
-    chunked = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("v")).where("v is not null")
-    chunk = F.pmod(F.xxhash64("doc"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    rows = chunked.withColumn("part", chunk).withColumn("sub", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(8))).groupBy("part", "sub").agg(F.collect_list(F.struct("doc", "v")).alias("rows"))
-    out = T.StructType([T.StructField("query", vectors.schema[key].dataType), T.StructField("doc", vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for rs, qs in zip(pdf.rows, pdf.qs, strict=True):
-                m = np.array([r["v"] for r in rs], dtype=np.float64)
-                x = np.array([r["qv"] for r in qs], dtype=np.float64)
+    kind = vectors.schema[key].dataType
+    out = T.StructType([T.StructField("query", kind), T.StructField("doc", kind), T.StructField("score", T.DoubleType())])
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv")).where("query is not null and qv is not null")
+    n = max(1, -(-q.count() * 2 // block_rows))
+    blocks = materialise(q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n)).cast("int")), "queries")
+    docs = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("v")).where("doc is not null and v is not null")
+    best = None
+    for b in range(n):
+        rows = blocks.where(F.col("block") == b).select("query", "qv").collect()
+        if not rows:
+            continue
+        x = np.array([r.qv for r in rows], dtype=np.float64)
+        sent = spark.sparkContext.broadcast(([r["query"] for r in rows], x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            want, x = sent.value
+            kept: list[list[tuple[float, object]]] = [[] for _ in want]
+            cut = np.full(len(want), -np.inf)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                ids = pdf["doc"].tolist()
+                m = np.array(pdf["v"].tolist(), dtype=np.float64)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-                ids, want = [r["doc"] for r in rs], [r["query"] for r in qs]
-                s = x @ m.T
-                got = []
-                for i, w in enumerate(want):
-                    order = sorted(range(len(ids)), key=lambda j: (-round(s[i, j], 9), ids[j]))[: k + 1]
-                    got += [(w, ids[j], round(float(s[i, j]), 9)) for j in order if ids[j] != w][:k]
-                yield pd.DataFrame(got, columns=["query", "doc", "score"])
-
-    # every block of queries against every block of rows: the stated search, not pairs of groups
-    pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("rows", "qs")
-    return top_k(pairs.mapInPandas(run, out), k)
+                for lo in range(0, len(want), 1024):
+                    s = np.round(x[lo : lo + 1024] @ m.T, 9)
+                    least = cut[lo : lo + 1024]
+                    if s.shape[1] > k + 1:
+                        least = np.maximum(least, np.partition(s, -(k + 1), axis=1)[:, -(k + 1)])
+                    r, c = np.nonzero(s >= least[:, None])
+                    for i, j in zip(r.tolist(), c.tolist(), strict=True):
+                        kept[lo + i].append((-s[i, j], ids[j]))
+                    for i in set(r.tolist()):
+                        got = sorted(t for t in kept[lo + i] if t[1] != want[lo + i])[:k]
+                        kept[lo + i] = got
+                        if len(got) == k:
+                            cut[lo + i] = -got[-1][0]
+            yield pd.DataFrame([(want[i], d, -s) for i, got in enumerate(kept) for s, d in got], columns=["query", "doc", "score"])
+
+        part = docs.mapInPandas(run, out)
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        return top_k(spark.createDataFrame([], out), k)
+    return top_k(best, k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import roles
 from ..functions import text as X
-from ..operators import communities, graph, insight, scanning, search
+from ..operators import communities, context, graph, insight, rationale, scanning, search
 from ..operators.store import GraphStore
 from ..session import shared_dir
 from ..sources import code
@@ -326,3 +326,35 @@ def _stream_counters(s: SparkSession, d: str) -> DataFrame:
 
 
 _q("q_stream_counters", f"select {_DAY} as day, tool, count(*) as calls, count(case when not {_OK} then 1 end) as errors from (select distinct id, \"timestamp\", tool, success from call_log) group by 1, 2")(_stream_counters)
+
+# ---------------------------------------------------------------- compositions
+
+_q("q_context_for_task")(lambda s, d: context.for_task(_text_queries(s), table(s, d, "function_node"), table(s, d, "edge_calls"), table(s, d, "memory_entries"), table(s, d, "plan_entries")))
+_q(
+    "q_callees",
+    f"with {_CLIVE}, a as (select id from function_node where file_path in (select path from file_node where role = 'router')), h1 as (select a.id as start, c.dst as node from a join clive c on c.src = a.id), h2 as (select distinct h.start, c.dst as node from h1 h join clive c on c.src = h.node) select start, node, min(depth)::int as depth from (select start, node, 1 as depth from h1 union all select start, node, 2 from h2) group by 1, 2",
+)(lambda s, d: graph.reach(_calls(s, d), table(s, d, "function_node").join(table(s, d, "file_node").where("role = 'router'").select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id"), 2))
+_q(
+    "q_calls_without_import",
+    f"""with {_CLIVE}, c as (select a.file_path as src, b.file_path as dst, count(*) as n_calls from clive join function_node a on a.id = src join function_node b on b.id = dst where a.file_path <> b.file_path group by 1, 2)
+select src, dst, n_calls from c where not exists (select 1 from edge_imports e where e.from_path = c.src and e.to_path = c.dst)""",
+)(lambda s, d: insight.calls_without_import(table(s, d, "function_node"), table(s, d, "edge_calls"), table(s, d, "edge_imports")))
+_q(
+    "q_layer_inversions",
+    f"with p as ({_PAIRS}), m as (select coalesce(a.layer, 'other') as src_layer, coalesce(b.layer, 'other') as dst_layer, count(*) as n_links from p join file_node a on a.path = p.src join file_node b on b.path = p.dst group by 1, 2) select * from m where (src_layer = 'domain' and dst_layer in ('application', 'presentation')) or (src_layer = 'application' and dst_layer = 'presentation') or (src_layer = 'infra' and dst_layer = 'presentation')",
+)(lambda s, d: insight.layer_inversions(table(s, d, "file_node"), table(s, d, "edge_imports")))
+_q("q_rationale")(lambda s, d: rationale.with_symbol(rationale.comment_blocks(_files(s, d)), table(s, d, "function_node")))
+_q("q_bridges")(lambda s, d: _bridges(s, d))
+
+
+def _bridges(s: SparkSession, d: str) -> DataFrame:
+    """Files that link several communities."""
+    links = _file_graph(s, d).select("a", "b", "weight")
+    return communities.bridges(links, communities.detect(links))
+
+
+_q(
+    "q_usefulness",
+    "select f.path, (exists (select 1 from function_node n where n.file_path = f.path))::int as defines, coalesce(f.role, '') = 'test' as is_test, case when coalesce(d.n, 0) > 0 then length(ltrim(bin(d.n), '0')) else 0 end::int as bits, f.mtime from file_node f left join (select to_path, count(*) as n from edge_imports where to_path is not null and to_path <> '' group by 1) d on d.to_path = f.path",
+)(lambda s, d: insight.usefulness(table(s, d, "file_node"), table(s, d, "function_node"), table(s, d, "edge_imports")))
+_q("q_fresh_chunks", "select url, chunk_no, fetched_at from fetched_chunks where fetched_at > 1748736000.0 - 720 * 3600.0")(lambda s, d: context.fresh(table(s, d, "fetched_chunks"), 1748736000.0, 720.0).select("url", "chunk_no", "fetched_at"))

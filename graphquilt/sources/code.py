@@ -434,8 +434,8 @@ def has_method(defs: DataFrame) -> DataFrame:
 
 def name_refs(defs: DataFrame) -> DataFrame:
     """Bases of classes as references by name."""
-    b = F.explode(F.filter(F.split("detail", ","), lambda x: F.trim(x) != ""))
-    return defs.where("kind = 'class' and detail <> ''").select(F.lit("inherits").alias("kind"), F.concat("path", F.lit("::"), "qualified").alias("from_id"), F.col("path").alias("file_path"), F.trim(b).alias("name"), F.lit("").alias("extra"))
+    b = F.explode(F.filter(F.transform(F.split("detail", ","), lambda x: F.trim(x)), lambda x: x != ""))
+    return defs.where("kind = 'class' and detail <> ''").select(F.lit("inherits").alias("kind"), F.concat("path", F.lit("::"), "qualified").alias("from_id"), F.col("path").alias("file_path"), b.alias("name"), F.lit("").alias("extra"))
 
 
 def call_sites(defs: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ def test_search_ranks_and_falls_back(spark, rows):
     assert search.search(docs.limit(0), "id", F.col("name"), F.col("doc"), q).count() == 0
 
 
-@pytest.mark.parametrize("block", [2, 4096])
+@pytest.mark.parametrize("block", [4, 4096])
 def test_nearest_equals_brute_force(spark, block):
     import numpy as np
 
