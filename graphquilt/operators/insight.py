@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 from .graph import importers, live, pairs
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half-up rounding of a double by way of a decimal, so that ties do not hang on its last bit."""
+    return F.round(x.cast("decimal(28,9)"), places).cast("double")
+
+
 def call_stats(log: DataFrame) -> DataFrame:
     """Calls, errors, latency and size per tool, busiest first in the order of the caller."""
     ok = F.coalesce(F.col("success"), F.lit(0)) != 0
     return log.groupBy("tool").agg(
         F.count(F.lit(1)).alias("calls"),
         F.count(F.when(~ok, 1)).alias("errors"),
-        F.round(F.avg("latency_ms"), 2).alias("avg_ms"),
-        F.round(F.min("latency_ms"), 2).alias("min_ms"),
-        F.round(F.max("latency_ms"), 2).alias("max_ms"),
+        rounded(F.avg("latency_ms"), 2).alias("avg_ms"),
+        rounded(F.min("latency_ms"), 2).alias("min_ms"),
+        rounded(F.max("latency_ms"), 2).alias("max_ms"),
         F.sum(F.col("result_size").cast("decimal(38,0)")).alias("bytes"),
     )
 
@@ -82,7 +87,7 @@ def hotspots(changes: DataFrame, degree: DataFrame, now: float) -> DataFrame:
     imp = F.when((F.col("_mi") > 0) & (F.col("importers") > 0), F.log1p("importers") / F.col("_mi")).otherwise(0.0)
     age = F.greatest(F.lit(0.0), (F.lit(now) - F.col("last_modified")) / 86400.0)
     fresh = F.when(F.coalesce(F.col("last_modified"), F.lit(0)) > 0, 1.0 / (1.0 + age / 30.0)).otherwise(0.0)
-    return j.withColumn("score", F.round(100.0 * (0.45 * commit + 0.35 * imp + 0.20 * fresh), 2)).drop("_mc", "_mi")
+    return j.withColumn("score", rounded(100.0 * (0.45 * commit + 0.35 * imp + 0.20 * fresh), 2)).drop("_mc", "_mi")
 
 
 def architecture(files: DataFrame, per_role: int = 10) -> DataFrame:

@@ -152,8 +152,8 @@ _q(
 de as (select to_path as path, count(*) as importers from edge_imports where to_path is not null and to_path <> '' group by 1),
 t as (select ln(1 + (select max(commits) from ch)) as mc, ln(1 + (select max(importers) from de)) as mi)
 select ch.path, ch.commits, ch.last_modified, coalesce(de.importers, 0) as importers,
-  round(100.0 * (0.45 * case when t.mc > 0 then ln(1 + ch.commits) / t.mc else 0 end + 0.35 * case when t.mi > 0 and de.importers > 0 then ln(1 + de.importers) / t.mi else 0 end
-  + 0.20 * case when coalesce(ch.last_modified, 0) > 0 then 1.0 / (1.0 + greatest(0.0, (1751328000.0 - ch.last_modified) / 86400.0) / 30.0) else 0 end), 2) as score
+  round((100.0 * (0.45 * case when t.mc > 0 then ln(1 + ch.commits) / t.mc else 0 end + 0.35 * case when t.mi > 0 and de.importers > 0 then ln(1 + de.importers) / t.mi else 0 end
+  + 0.20 * case when coalesce(ch.last_modified, 0) > 0 then 1.0 / (1.0 + greatest(0.0, (1751328000.0 - ch.last_modified) / 86400.0) / 30.0) else 0 end))::decimal(28,9), 2)::double as score
 from ch left join de on de.path = ch.path cross join t""",
 )(lambda s, d: _hotspots(s, d))
 
@@ -166,7 +166,7 @@ def _hotspots(s: SparkSession, d: str) -> DataFrame:
 
 _q("q_import_in_degree", "select to_path as path, count(*) as importers from edge_imports where to_path is not null and to_path <> '' group by 1")(lambda s, d: insight.in_degree(table(s, d, "edge_imports")))
 _OK = "coalesce(success, 0) <> 0"
-_q("q_call_stats", f"select tool, count(*) as calls, count(case when not {_OK} then 1 end) as errors, round(avg(latency_ms), 2) as avg_ms, round(min(latency_ms), 2) as min_ms, round(max(latency_ms), 2) as max_ms, sum(result_size)::double as bytes from (select * from call_log where latency_ms is null or not isnan(latency_ms)) group by tool")(
+_q("q_call_stats", f"select tool, count(*) as calls, count(case when not {_OK} then 1 end) as errors, round(avg(latency_ms)::decimal(28,9), 2)::double as avg_ms, round(min(latency_ms)::decimal(28,9), 2)::double as min_ms, round(max(latency_ms)::decimal(28,9), 2)::double as max_ms, sum(result_size)::double as bytes from (select * from call_log where latency_ms is null or not isnan(latency_ms)) group by tool")(
     lambda s, d: insight.call_stats(table(s, d, "call_log").where("latency_ms is null or not isnan(latency_ms)")).withColumn("bytes", F.col("bytes").cast("double"))
 )
 _q("q_calls_by_origin", "select tool, coalesce(origin, 'unknown') as origin, count(*) as calls from call_log group by 1, 2")(lambda s, d: insight.calls_by_origin(table(s, d, "call_log")))
