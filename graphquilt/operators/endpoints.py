@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..session import importable
 
 MOST_MOUNTS = 8
+BLOCK = 10_000
 _PARAM = re.compile(r"\{[^}/]*\}|<[^>/]*>|(?<![^/]):[A-Za-z_]\w*")
 _REST = re.compile(r"\{[^}/:]*:path\}|<path:[^>/]*>|\*\w*|\[\.\.\.\w+\]")
 
@@ -129,8 +130,14 @@ def find(endpoints: DataFrame, queries: DataFrame, path: str = "full_path", meth
     loose = F.col("want").rlike(r"[*?\[]") | (F.size(lits(F.col("want"))) == 0)
     eq = e.withColumn("lit", F.explode(F.array_distinct(lits(F.col("stored")))))
     cand = q.where(~loose).withColumn("lit", F.explode(F.array_distinct(lits(F.col("want"))))).join(eq, "lit").drop("lit").distinct()
-    wide = q.where(loose).withColumn("all", F.lit(1)).join(e.withColumn("all", F.lit(1)), "all").drop("all")
-    c = cand.unionByName(wide.select(cand.columns)).where((F.col("wm") == "") | (F.col("m") == F.col("wm")) | (F.col("m") == "ANY"))
+    # the few that could be anywhere go against all rows in blocks of a fixed size
+    c = cand
+    wide = q.where(loose)
+    n = -(-wide.count() // BLOCK)
+    block = F.pmod(F.xxhash64("query"), F.lit(max(1, n)))
+    for b in range(n):
+        c = c.unionByName(F.broadcast(wide.where(block == b)).crossJoin(e).select(cand.columns))
+    c = c.where((F.col("wm") == "") | (F.col("m") == F.col("wm")) | (F.col("m") == "ANY"))
 
     @F.pandas_udf(T.StructType([T.StructField("how", T.StringType()), T.StructField("score", T.IntegerType()), T.StructField("rest", T.BooleanType())]))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -169,8 +169,8 @@ def hubs(degree: DataFrame, least: int = HUB_LEAST_DEGREE, percentile: float = H
     # one window over distinct degrees, not nodes
     run = hist.withColumn("upto", F.sum("n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
     rank = F.least(F.col("total") - 1, F.floor(F.lit(percentile) * F.col("total")))
-    at = run.where(F.col("upto") > rank).agg(F.min("degree").alias("_at"))
-    return degree.join(F.broadcast(at)).where(F.col("degree") >= F.greatest(F.lit(least), F.col("_at"))).drop("_at")
+    at = run.where(F.col("upto") > rank).agg(F.min("degree"))
+    return degree.where(F.col("degree") >= F.greatest(F.lit(least), at.scalar()))
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
@@ -291,5 +291,5 @@ def modularity(links: DataFrame, membership: DataFrame, resolution: float = 1.0)
     deg = e.select(F.col("ca").alias("c"), "weight").unionAll(e.select("cb", "weight")).groupBy("c").agg(F.sum("weight").alias("tot"))
     inside = e.where("ca = cb").groupBy(F.col("ca").alias("c")).agg((F.sum("weight") * 2).alias("inside"))
     m2 = deg.agg(F.sum("tot").alias("m2"))
-    q = deg.join(inside, "c", "left").join(F.broadcast(m2))
+    q = deg.join(inside, "c", "left").withColumn("m2", m2.scalar())
     return q.agg(F.round(F.coalesce(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m2") - F.lit(resolution) * F.pow(F.col("tot") / F.col("m2"), 2)), F.lit(0.0)), 4).alias("modularity"))

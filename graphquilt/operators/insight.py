@@ -81,8 +81,8 @@ def hotspots(changes: DataFrame, degree: DataFrame, now: float) -> DataFrame:
 
     ``changes`` has ``path, commits, last_modified``.
     """
-    top = changes.agg(F.log1p(F.max("commits")).alias("_mc")).join(degree.agg(F.log1p(F.max("importers")).alias("_mi")))
-    j = changes.join(degree, "path", "left").na.fill(0, ["importers"]).join(F.broadcast(top))
+    j = changes.join(degree, "path", "left").na.fill(0, ["importers"])
+    j = j.withColumn("_mc", changes.agg(F.log1p(F.max("commits"))).scalar()).withColumn("_mi", degree.agg(F.log1p(F.max("importers"))).scalar())
     commit = F.when(F.col("_mc") > 0, F.log1p("commits") / F.col("_mc")).otherwise(0.0)
     imp = F.when((F.col("_mi") > 0) & (F.col("importers") > 0), F.log1p("importers") / F.col("_mi")).otherwise(0.0)
     age = F.greatest(F.lit(0.0), (F.lit(now) - F.col("last_modified")) / 86400.0)
@@ -269,7 +269,7 @@ def top_directories(files: DataFrame, share: float = 0.7, deepest: int = 3) -> D
     c = x.groupBy("depth", F.concat_ws("/", F.slice("d", F.lit(1), F.col("depth"))).alias("directory")).agg(F.count(F.lit(1)).alias("n_files"))
     worst = c.groupBy("depth").agg((F.max("n_files") / F.sum("n_files")).alias("worst"))
     pick = worst.agg(F.coalesce(F.min(F.when(F.col("worst") <= share, F.col("depth"))), F.lit(deepest)).alias("_d"))
-    return c.join(F.broadcast(pick)).where("depth = _d").drop("_d")
+    return c.where(F.col("depth") == pick.scalar())
 
 
 def usefulness(files: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
@@ -285,6 +285,6 @@ def fingerprint(files: DataFrame, edges: list[DataFrame]) -> DataFrame:
     f = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "git_blob_sha", "mtime").cast("decimal(38,0)")).alias("h"))
     parts = [F.col("n").cast("string"), F.col("h").cast("string")]
     for i, e in enumerate(edges):
-        f = f.join(e.agg(F.count(F.lit(1)).alias(f"e{i}")))
+        f = f.withColumn(f"e{i}", e.agg(F.count(F.lit(1))).scalar())
         parts.append(F.col(f"e{i}").cast("string"))
     return f.select(F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))

@@ -49,7 +49,7 @@ def bm25(posts: DataFrame, queries: DataFrame, conjunctive: bool = True, n_docs:
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hit.join(df, "term").join(F.broadcast(stats)).withColumn("w", weight).select("term", "doc", "w")
+    scored = hit.join(df, "term").withColumn("n", stats.select("n").scalar()).withColumn("avg_len", stats.select("avg_len").scalar()).withColumn("w", weight).select("term", "doc", "w")
     s = q.join(scored, "term").groupBy("query", "doc").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("n_terms"))
     if conjunctive:
         need = q.groupBy("query").agg(F.count(F.lit(1)).alias("_need"))

@@ -16,8 +16,7 @@ def hot_keys(df: DataFrame, key: str, share: int = SHARE) -> DataFrame:
     The count is combined map-side; a hot key shuffles one row per partition.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t"))
-    return counts.join(F.broadcast(total), F.col("_n") * F.lit(share) > F.col("_t")).select(key)
+    return counts.where(F.col("_n") * F.lit(share) > counts.agg(F.sum("_n")).scalar()).select(key)
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = SALTS, how: str = "left") -> DataFrame:

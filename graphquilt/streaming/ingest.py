@@ -76,8 +76,7 @@ def to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "compl
     stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).option("recursiveFileLookup", True).parquet(folder)
     if mode == "complete":
-        last = out.agg(F.max("_batch").alias("_last"))
-        return out.join(F.broadcast(last), F.col("_batch") == F.col("_last")).drop("_batch", "_last")
+        return out.where(F.col("_batch") == out.agg(F.max("_batch")).scalar()).drop("_batch")
     w = Window.partitionBy(*key).orderBy(F.desc("_batch"))
     return out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
 
