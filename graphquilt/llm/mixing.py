@@ -136,6 +136,5 @@ def draw(documents: DataFrame, targets: DataFrame, total: float | None = None, s
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("drawn_tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats"))
     all_w = sum(r[1] for r in plan if r[1] > 0) or 1.0
     shares = p.join(got, "source", "left").select("source", (F.col("weight") / all_w).alias("target_share"), "max_repeat", "available", "budget", F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
-    t = shares.agg(F.sum("drawn_tokens").alias("_t"))
-    shares = shares.join(F.broadcast(t)).withColumn("share", F.when(F.col("_t") > 0, F.col("drawn_tokens") / F.col("_t")).otherwise(0.0)).drop("_t")
+    shares = shares.withColumn("_t", shares.agg(F.sum("drawn_tokens")).scalar()).withColumn("share", F.when(F.col("_t") > 0, F.col("drawn_tokens") / F.col("_t")).otherwise(0.0)).drop("_t")
     return drawn, shares
