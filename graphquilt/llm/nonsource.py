@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import salted_left_join
-from ..session import importable
+from ..session import importable, materialise
 
 # Notices that tools write, by what they claim.
 STRONG = ("code generated", "<auto-generated", "@generated", "autogenerated", "automatically written", "automatically generated", "automatically created", "machine-written", "machine generated", "machine-generated", "auto-created by", "autocreated by", "this file was generated", "this file is generated", "generated automatically", "automatisch erzeugt", "automatisch generiert", "automatisch erstellt", "fichier produit par un outil", "fichier genere", "genere automatiquement", "generado automaticamente", "archivo generado", "fichero generado", "automatisch gegenereerd")
@@ -167,7 +167,8 @@ def classify(files: DataFrame, blobs: DataFrame) -> DataFrame:
     b = blobs.where(F.col("git_blob_sha").isNotNull()).groupBy("git_blob_sha").agg(F.first("body", ignorenulls=True).alias("body"))
     b = b.withColumn("j", _judge("body")).select("git_blob_sha", "j.kind", "j.namespace", F.length("body").alias("n_chars"))
     outside = f.where(F.col("git_blob_sha").isNotNull()).groupBy("git_blob_sha").agg(F.max((F.col("by_path") == "vendored").cast("int")).alias("lies_outside"))
-    b = b.join(outside, "git_blob_sha", "left")
+    # a small row per blob, written once: the joins below and their key counts would judge every body again
+    b = materialise(b.join(outside, "git_blob_sha", "left"), "judged")
     f = salted_left_join(f, b, "git_blob_sha", F.col("path"))
     names = (
         f.where(F.col("by_path") == "vendored")
