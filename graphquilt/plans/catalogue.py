@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import roles
 from ..functions import text as X
-from ..operators import communities, context, graph, insight, rationale, scanning, search
+from ..operators import communities, context, graph, insight, rationale, report, scanning, search
 from ..operators.store import GraphStore
 from ..session import shared_dir
 from ..sources import code
@@ -358,3 +358,8 @@ _q(
     "select f.path, (exists (select 1 from function_node n where n.file_path = f.path))::int as defines, coalesce(f.role, '') = 'test' as is_test, case when coalesce(d.n, 0) > 0 then length(ltrim(bin(d.n), '0')) else 0 end::int as bits, f.mtime from file_node f left join (select to_path, count(*) as n from edge_imports where to_path is not null and to_path <> '' group by 1) d on d.to_path = f.path",
 )(lambda s, d: insight.usefulness(table(s, d, "file_node"), table(s, d, "function_node"), table(s, d, "edge_imports")))
 _q("q_fresh_chunks", "select url, chunk_no, fetched_at from fetched_chunks where fetched_at > 1748736000.0 - 720 * 3600.0")(lambda s, d: context.fresh(table(s, d, "fetched_chunks"), 1748736000.0, 720.0).select("url", "chunk_no", "fetched_at"))
+_q("q_architecture_report")(lambda s, d: report.architecture_report(table(s, d, "file_node"), table(s, d, "edge_imports"), table(s, d, "function_node"), table(s, d, "edge_calls")))
+_q(
+    "q_symbol_lookup",
+    "with v(query, t) as (values ('l1', 'emit'), ('l2', 'merge_'), ('l3', 'sessionedge')), j as (select v.query, f.id, f.name, case when lower(f.name) = v.t then 0 when starts_with(lower(f.name), v.t) then 1 else 2 end as match from function_node f, v where contains(lower(f.name), v.t)), r as (select *, row_number() over (partition by query order by match, length(name), name, id) - 1 as rank from j) select query, id, match::int as match, rank::int as rank from r where rank < 20",
+)(lambda s, d: report.symbol_lookup(table(s, d, "function_node"), s.createDataFrame([("l1", "emit"), ("l2", "merge_"), ("l3", "sessionedge")], "query string, text string")))

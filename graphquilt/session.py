@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by ``materialise`` and not cleaned up yet.
+_WRITTEN: list[str] = []
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -66,9 +68,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphquilt-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+def cleanup(spark: SparkSession) -> int:
+    """Removes the intermediate tables this process wrote; call it when no result built on them is needed."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint (never a local one)."""
     shared_dir(df.sparkSession)

@@ -463,3 +463,22 @@ def test_louvain_is_a_partition(pairs):
         e[(min(a, b), max(a, b))] = e.get((min(a, b), max(a, b)), 0) + 1.0
     lab = communities.louvain(6, e)
     assert len(lab) == 6 and lab[0] == 0 and set(lab) == set(range(len(set(lab))))
+
+
+def test_reports_lookup_and_stores(spark, rows):
+    from graphquilt.operators import report
+    from graphquilt.session import cleanup, materialise
+
+    s = spark.createDataFrame([("1", "emit"), ("2", "emit_all"), ("3", "re_emit"), ("4", "other"), ("5", None)], "id string, name string")
+    q = spark.createDataFrame([("q", "EMIT"), ("z", "")], "query string, text string")
+    assert rows(report.symbol_lookup(s, q), "rank", "id", "match") == [(0, "1", 0), (1, "2", 1), (2, "3", 2)]
+    p = spark.createDataFrame([("s", 1, 1.0, "a" * 10), ("s", 2, 1.0, "b" * 10), ("s", 3, 1.0, "c" * 10), ("t", 1, 1.0, None)], "session_id string, priority int, ts double, text string")
+    assert rows(report.resume(p, 20), "session_id", "priority", "truncated") == [("s", 1, True), ("s", 2, True), ("t", 1, False)]
+    n = spark.createDataFrame([(1, "x", None), (2, "y", 1)], "id long, title string, superseded_by long")
+    v = spark.createDataFrame([(1, "useful")], "entry_id long, verdict string")
+    kept, left = report.forget(n, v, spark.createDataFrame([(1,)], "id long"))
+    assert rows(kept) == [(2, "y", None)] and left.count() == 0
+    assert rows(report.record(n, spark.createDataFrame([(2, "z"), (3, "w")], "id long, title string")), "id", "title") == [(1, "x"), (2, "z"), (3, "w")]
+    assert report.session_reset(spark.createDataFrame([("a", "k"), (None, "k")], "session_id string, key string"), "a").count() == 1
+    materialise(s, "gone")
+    assert cleanup(spark) >= 1 and cleanup(spark) == 0
