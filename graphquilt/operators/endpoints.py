@@ -119,8 +119,9 @@ def match_path(stored: str, want: str) -> tuple[str, int, bool] | None:
 def find(endpoints: DataFrame, queries: DataFrame, path: str = "full_path", method: str = "method") -> DataFrame:
     """Endpoints that answer each query (``query, path, method``): ``query, id, how, rank``.
 
-    Candidates share a method and a literal last-but-parameter segment count is
-    left to the matcher; suffix matches count only for queries without exact ones.
+    Candidates share a literal segment with the query; globs and queries without a
+    literal segment go against all rows.  Suffix matches count only for queries
+    without exact ones.
     """
     importable(endpoints.sparkSession)
     # queries meet endpoints through a shared literal segment, globs and segment-free paths meet all of their method

@@ -9,13 +9,20 @@ from ..session import materialise
 from . import communities, graph, insight
 
 
+#: Lookups of one call; they are broadcast.
+MOST_QUERIES = 100_000
+
+
 def symbol_lookup(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Symbols for each query (``query, text``): exact names first, then prefixes, then names that contain it; ``query, id, match, rank``.
 
-    Queries are a stated set; a name joins them through its own text, its prefixes
-    of the queried lengths and, for the rest, one substring test per name and query.
+    Queries are a stated set that goes to every task; each name is tested against
+    each of them once.
     """
-    q = F.broadcast(queries.select("query", F.lower("text").alias("_q")).where("length(_q) > 0"))
+    asked = queries.select("query", F.lower("text").alias("_q")).where("length(_q) > 0")
+    if asked.count() > MOST_QUERIES:
+        raise ValueError("too many lookups at once; pass them in parts")
+    q = F.broadcast(asked)
     s = symbols.select("id", "name", F.lower("name").alias("_n"))
     j = s.join(q, F.contains(F.col("_n"), F.col("_q")))
     match = F.when(F.col("_n") == F.col("_q"), 0).when(F.col("_n").startswith(F.col("_q")), 1).otherwise(2)
