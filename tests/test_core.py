@@ -482,3 +482,17 @@ def test_reports_lookup_and_stores(spark, rows):
     assert report.session_reset(spark.createDataFrame([("a", "k"), (None, "k")], "session_id string, key string"), "a").count() == 1
     materialise(s, "gone")
     assert cleanup(spark) >= 1 and cleanup(spark) == 0
+
+
+def test_communities_fold_and_settle_without_the_driver(spark, monkeypatch):
+    n, edges = 48, {(i, i + 1): 1.0 for i in range(47)}
+    best = _modularity(communities.louvain(n, edges), edges)
+    links = spark.createDataFrame([(f"f{i:02d}", f"f{j:02d}", w) for (i, j), w in edges.items()], "a string, b string, weight double")
+    monkeypatch.setattr(communities, "louvain", None)
+    m = {r.node: r.community for r in communities.detect(links).collect()}
+    lab = [m[f"f{i:02d}"] for i in range(n)]
+    q = _modularity(lab, edges)
+    assert q >= 0.97 * best
+    # folded until the union of two neighbouring communities gains nothing
+    for i, j in edges:
+        assert _modularity([lab[j] if c == lab[i] else c for c in lab], edges) <= q + 1e-9
