@@ -202,6 +202,9 @@ def _trim(value: str, after: str) -> str:
 # What a text must hold for a group of patterns to be tried at all; each pattern needs it by construction.
 _MAY_MAIL = re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|\s(?:AT|at)\s")
 _MAY_NUMBER = re.compile(r"\d(?:[ ./()-]{0,2}\d){4}|[A-Za-z]\d{4}")
+# an IBAN and a labelled value may hold their digits among letters
+_MAY_IBAN = re.compile(r"[A-Z]{2}\d{2}")
+_MAY_LABELLED = re.compile(r"\d(?:\D*+\d){4}")
 _MAY_ADDRESS = re.compile(r"\d{4}|\d[A-Z]{2}\b")
 
 
@@ -220,20 +223,22 @@ def _masked(text: str) -> tuple[str, list[tuple[int, int, str]]]:
                 continue
             take(m.start(), m.end(), "email")
     numbers = _MAY_NUMBER.search(text)
+    labelled = _MAY_LABELLED.search(text)
     if numbers:
         for m in CARD.finditer(text):
             d = re.sub(r"\D", "", m.group("v"))
             if 13 <= len(d) <= 19 and luhn(d):
                 take(m.start("v"), m.end("v"), "id_number")
+    if _MAY_IBAN.search(text):
         for m in IBAN.finditer(text):
             b = m.group("v").replace(" ", "")
             if 15 <= len(b) <= 34 and mod97(b):
                 take(m.start("v"), m.end("v"), "id_number")
-        for rx in IDS:
-            for m in rx.finditer(text):
-                v = _trim(m.group("v"), text[m.end("v") : m.end("v") + 2]).rstrip(" -")
-                if sum(c.isdigit() for c in v) >= 5:
-                    take(m.start("v"), m.start("v") + len(v), "id_number")
+    for rx, may in zip(IDS, (*[numbers] * (len(IDS) - 1), labelled), strict=True):
+        for m in rx.finditer(text) if may else ():
+            v = _trim(m.group("v"), text[m.end("v") : m.end("v") + 2]).rstrip(" -")
+            if sum(c.isdigit() for c in v) >= 5:
+                take(m.start("v"), m.start("v") + len(v), "id_number")
     if _MAY_ADDRESS.search(text):
         for rx in ADDRESSES:
             for m in rx.finditer(text):

@@ -313,3 +313,13 @@ def test_cuts_stay_near_the_default_without_labels():
     many = [("en", b, c + rng.random()) for b, c in ((1, 0.0), (2, 4.0), (3, 9.0), (4, 15.0), (5, 30.0)) for _ in range(50)]
     cuts = readability.fit_cuts(many)["en"]
     assert 1 < cuts[0] <= 5 and 16 <= cuts[3] <= 30
+
+
+@pytest.mark.parametrize(("text", "value"), [("Reisepass C01X00T47", "C01X00T47"), ("codice fiscale RSSMRA85T10A562S", "RSSMRA85T10A562S"), ("passport no. L8X1M3F74", "L8X1M3F74")])
+def test_labelled_numbers_with_digits_among_letters(text, value):
+    assert [(k, text[s:e]) for s, e, k in pii.spans(text, set(), set(), set())] == [("id_number", value)]
+
+
+def test_ibans_of_letters_are_found():
+    iban = next(x for c in range(2, 99) if pii.mod97(x := f"MT{c:02d}MALTBANKACCOUNTABCDEFGHIJKLMNO"))
+    assert [(k, s) for s, _, k in pii.spans(f"to {iban}", set(), set(), set())] == [("id_number", 3)]
