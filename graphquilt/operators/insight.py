@@ -15,14 +15,15 @@ def rounded(x: Column, places: int) -> Column:
 
 
 def call_stats(log: DataFrame) -> DataFrame:
-    """Calls, errors, latency and size per tool, busiest first in the order of the caller."""
+    """Calls, errors, latency and size per tool, busiest first in the order of the caller; a latency that is NaN is none."""
+    ms = F.when(~F.isnan("latency_ms"), F.col("latency_ms"))
     ok = F.coalesce(F.col("success"), F.lit(0)) != 0
     return log.groupBy("tool").agg(
         F.count(F.lit(1)).alias("calls"),
         F.count(F.when(~ok, 1)).alias("errors"),
-        rounded(F.avg("latency_ms"), 2).alias("avg_ms"),
-        rounded(F.min("latency_ms"), 2).alias("min_ms"),
-        rounded(F.max("latency_ms"), 2).alias("max_ms"),
+        rounded(F.avg(ms), 2).alias("avg_ms"),
+        rounded(F.min(ms), 2).alias("min_ms"),
+        rounded(F.max(ms), 2).alias("max_ms"),
         F.sum(F.col("result_size").cast("decimal(38,0)")).alias("bytes"),
     )
 

@@ -167,7 +167,7 @@ def _hotspots(s: SparkSession, d: str) -> DataFrame:
 _q("q_import_in_degree", "select to_path as path, count(*) as importers from edge_imports where to_path is not null and to_path <> '' group by 1")(lambda s, d: insight.in_degree(table(s, d, "edge_imports")))
 _OK = "coalesce(success, 0) <> 0"
 _q("q_call_stats", f"select tool, count(*) as calls, count(case when not {_OK} then 1 end) as errors, round(avg(latency_ms)::decimal(28,9), 2)::double as avg_ms, round(min(latency_ms)::decimal(28,9), 2)::double as min_ms, round(max(latency_ms)::decimal(28,9), 2)::double as max_ms, sum(result_size)::double as bytes from (select * from call_log where latency_ms is null or not isnan(latency_ms)) group by tool")(
-    lambda s, d: insight.call_stats(table(s, d, "call_log").where("latency_ms is null or not isnan(latency_ms)")).withColumn("bytes", F.col("bytes").cast("double"))
+    lambda s, d: insight.call_stats(table(s, d, "call_log")).withColumn("bytes", F.col("bytes").cast("double"))
 )
 _q("q_calls_by_origin", "select tool, coalesce(origin, 'unknown') as origin, count(*) as calls from call_log group by 1, 2")(lambda s, d: insight.calls_by_origin(table(s, d, "call_log")))
 _q("q_error_rate", f"select count(*) as calls, count(case when not {_OK} then 1 end) as errors, printf('%.1f%%', 100.0 * count(case when not {_OK} then 1 end) / count(*)) as rate from call_log")(lambda s, d: insight.error_rate(table(s, d, "call_log")))

@@ -496,3 +496,12 @@ def test_communities_fold_and_settle_without_the_driver(spark, monkeypatch):
     # folded until the union of two neighbouring communities gains nothing
     for i, j in edges:
         assert _modularity([lab[j] if c == lab[i] else c for c in lab], edges) <= q + 1e-9
+
+
+def test_call_stats_count_calls_without_a_latency(spark, rows, tmp_path):
+    from graphquilt.plans import catalogue
+
+    log = [("a", 1, 10.0, 5), ("a", 0, float("nan"), 7), ("a", 1, None, None), ("b", None, float("nan"), 1)]
+    spark.createDataFrame(log, "tool string, success long, latency_ms double, result_size long").write.parquet(f"{tmp_path}/call_log.parquet")
+    got = catalogue.QUERIES["q_call_stats"](spark, str(tmp_path))
+    assert rows(got, "tool", "calls", "errors", "avg_ms", "min_ms", "max_ms", "bytes") == [("a", 3, 1, 10.0, 10.0, 10.0, 12.0), ("b", 1, 1, None, None, None, 1.0)]
