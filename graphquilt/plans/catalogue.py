@@ -230,7 +230,15 @@ _q("q_bm25_symbols", _BM25)(_bm25)
 _q("q_search_symbols")(lambda s, d: search.search(table(s, d, "function_node").select("id", "name", "docstring"), "id", X.tokenize_identifier("name"), F.col("docstring"), _text_queries(s)))
 _q("q_memory_search")(lambda s, d: search.search(table(s, d, "memory_entries").select("path", "title", "body"), "path", F.col("title"), F.col("body"), _text_queries(s)))
 _q("q_plan_search")(lambda s, d: search.search(table(s, d, "plan_entries").select("path", "title", "body"), "path", F.col("title"), F.col("body"), _text_queries(s)))
-_q("q_search_fetched")(lambda s, d: search.search(table(s, d, "fetched_chunks").select(F.concat_ws("#", "url", "chunk_no").alias("key"), "title", "text").dropDuplicates(["key"]), "key", F.col("title"), F.col("text"), _text_queries(s)))
+_q("q_search_fetched")(lambda s, d: search.search(_fetched(s, d), "key", F.col("title"), F.col("text"), _text_queries(s)))
+
+
+def _fetched(s: SparkSession, d: str) -> DataFrame:
+    """Every distinct text stored under a (url, chunk_no), the digest of its title and text in the key."""
+    variant = F.md5(F.to_json(F.struct("title", "text")))
+    return table(s, d, "fetched_chunks").select(F.concat_ws("#", "url", "chunk_no", variant).alias("key"), "title", "text").distinct()
+
+
 _q(
     "q_substring",
     "select v.q as query, m.path as doc, length(v.w) / length(m.t)::double as score from (select path, lower(concat_ws(' ', title, body)) as t from memory_entries) m, (values ('s1', 'until somebody'), ('s2', 'resolver')) as v(q, w) where contains(m.t, v.w)",
