@@ -268,7 +268,7 @@ _MD = "select doc_id::varchar as path, replace(text, chr(13), '') as body from d
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("source in ('readme', 'guide')").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace("text", "\r", "").alias("body"))
+    return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace("text", "\r", "").alias("body"))
 
 
 _q(

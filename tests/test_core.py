@@ -516,3 +516,11 @@ def test_fetched_search_keeps_every_text_of_a_chunk(spark, tmp_path):
     best = {r.query: r.doc.split("#")[:2] for r in got}
     assert best["q1"] == best["q2"] == ["u", "0"] and best["q4"] == ["v", "1"] and len({r.doc for r in got if r.query in ("q1", "q2")}) == 2
     assert len(catalogue._fetched(spark, str(tmp_path)).collect()) == 3
+
+
+def test_sections_of_documents_of_every_source(spark, rows, tmp_path):
+    from graphquilt.plans import catalogue
+
+    docs = [(1, "readme", "# A\nx"), (2, "adr", "# B\nx"), (3, None, "## C")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(catalogue.QUERIES["q_md_sections"](spark, str(tmp_path)), "path", "title") == [("1", "A"), ("2", "B"), ("3", "C")]
