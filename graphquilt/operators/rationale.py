@@ -11,11 +11,12 @@ from ..sources.text import lines
 TAGS = ("TODO", "FIXME", "HACK", "XXX", "NOTE", "WHY", "SAFETY", "PERF", "REASON", "RATIONALE", "DECISION", "WARNING", "BUG")
 
 
-def comment_blocks(files: DataFrame) -> DataFrame:
+def comment_blocks(files: DataFrame, most: int | None = None) -> DataFrame:
     """``path, line, end_line, tag, text, adr`` of every tagged block of adjacent comment lines.
 
     Islands of comment lines come from a running count over the lines of a file; a
-    tag inside a block opens a new one.
+    tag inside a block opens a new one.  The text is whole unless ``most`` cuts it
+    to so many characters for display.
     """
     l = lines(files)
     body = F.trim(F.regexp_replace(F.regexp_replace("text", r"^\s*(?:/\*+|\*+/?|//+!?|#+|--|<!--|;+)\s?", ""), r"\s*(?:\*/|-->)\s*$", ""))
@@ -29,7 +30,7 @@ def comment_blocks(files: DataFrame) -> DataFrame:
     b = b.where("tag is not null")
     text = F.trim(F.regexp_replace("text", r"^@?[A-Za-z]+(?:\([^)]*\))?\s*:?\s*", ""))
     adr = F.regexp_extract("text", r"(?i)\bADR[-\s#]*0*(\d+)", 1)
-    return b.select("path", "line", "end_line", "tag", F.substring(text, 1, 300).alias("text"), F.when(adr != "", adr).alias("adr"))
+    return b.select("path", "line", "end_line", "tag", (text if most is None else F.substring(text, 1, most)).alias("text"), F.when(adr != "", adr).alias("adr"))
 
 
 def with_symbol(blocks: DataFrame, symbols: DataFrame) -> DataFrame:

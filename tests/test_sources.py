@@ -262,3 +262,11 @@ def test_rationale_terraform_and_context(spark, rows):
     assert [x.n for x in context.focus(items, F.col("name"), ["BET"], 2, F.col("n")).collect()] == [2] and context.focus(items, F.col("name"), ["bet"], 9, F.col("n")).count() == 3
     hits = spark.createDataFrame([("q", "a.py::f", 0.5)], "query string, doc string, score double")
     assert rows(context.locations(hits, s), "file_path", "start_line", "rank") == [("a.py", 3, 0)]
+
+
+def test_reasons_are_whole_unless_cut_for_display(spark):
+    from graphquilt.operators import rationale
+
+    f = spark.createDataFrame([("a.py", "# WHY: " + "x" * 400 + " end\ndef f():\n    pass")], "path string, body string")
+    assert rationale.comment_blocks(f).first().text == "x" * 400 + " end"
+    assert rationale.comment_blocks(f, 300).first().text == "x" * 300
