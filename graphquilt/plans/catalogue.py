@@ -292,9 +292,9 @@ def _files(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "file_node").select("path", "git_blob_sha").join(table(s, d, "source_blob").select("git_blob_sha", "body"), "git_blob_sha").select("path", "body")
 
 
-# of one-line bundles the graph has the first function only; functions of several lines are compared
+# of one-line bundles the graph has the first function only, and the SQL has functions of several lines only
 _q("q_parse_functions", "select id, name, file_path, start_line, end_line from function_node where start_line < end_line")(
-    lambda s, d: code.functions(code.definitions(_files(s, d))).select("id", "name", "file_path", "start_line", "end_line").where("start_line < end_line")
+    lambda s, d: code.functions(code.definitions(_files(s, d))).select("id", "name", "file_path", "start_line", "end_line")
 )
 _q("q_parse_definitions")(lambda s, d: code.definitions(_files(s, d)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")))
 _q("q_sql_tables", "select f.path, regexp_extract(b.body, 'create table (\\w+)', 1) as name from file_node f join source_blob b using (git_blob_sha) where f.path like '%.sql' and regexp_matches(b.body, 'create table \\w+')")(

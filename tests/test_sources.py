@@ -270,3 +270,12 @@ def test_reasons_are_whole_unless_cut_for_display(spark):
     f = spark.createDataFrame([("a.py", "# WHY: " + "x" * 400 + " end\ndef f():\n    pass")], "path string, body string")
     assert rationale.comment_blocks(f).first().text == "x" * 400 + " end"
     assert rationale.comment_blocks(f, 300).first().text == "x" * 300
+
+
+def test_parsed_functions_of_one_line_are_listed(spark, rows, tmp_path):
+    from graphquilt.plans import catalogue
+
+    spark.createDataFrame([("a.py", "s")], "path string, git_blob_sha string").write.parquet(f"{tmp_path}/file_node.parquet")
+    spark.createDataFrame([("s", "def f(): return 1\n\ndef g():\n    return 2\n")], "git_blob_sha string, body string").write.parquet(f"{tmp_path}/source_blob.parquet")
+    got = catalogue.QUERIES["q_parse_functions"](spark, str(tmp_path))
+    assert rows(got, "name", "start_line", "end_line") == [("f", 1, 1), ("g", 3, 4)]
