@@ -233,16 +233,16 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[f.name for f in _OUT])
 
 
-def fit_cuts(labels: list[tuple[str, int, float]]) -> dict[str, tuple[float, ...]]:
-    """Cuts per language: fewest misplaced labels at each cut, pulled towards the default."""
+def fit_cuts(labels: list[tuple[str, int, float]], weights: list[int] | None = None) -> dict[str, tuple[float, ...]]:
+    """Cuts per language: fewest misplaced labels at each cut, pulled towards the default; ``weights`` are how often each label occurs."""
     out = {}
     for lang, default in CUTS.items():
-        mine = [(b, g) for k, b, g in labels if k == lang]
+        mine = [(b, g, n) for (k, b, g), n in zip(labels, weights or [1] * len(labels), strict=True) if k == lang]
         cuts = []
         for i, d in enumerate(default):
             # a label beyond the cut's two bands says nothing more than one beside it
-            options = sorted({d, *(g + 0.25 for _, g in mine)})
-            best = min(options, key=lambda c: (sum((g >= c) != (b > i + 1) for b, g in mine) + 0.5 * abs(c - d), abs(c - d)))
+            options = sorted({d, *(g + 0.25 for _, g, _ in mine)})
+            best = min(options, key=lambda c: (sum(n * ((g >= c) != (b > i + 1)) for b, g, n in mine) + 0.5 * abs(c - d), abs(c - d)))
             cuts.append(best)
         for i in range(1, 4):
             cuts[i] = max(cuts[i], cuts[i - 1])
@@ -267,7 +267,8 @@ def levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     lab = lab.orderBy(F.xxhash64("doc_id", "band"), "doc_id", "band").limit(MOST_LABELS)
     pairs = a.where(F.col("grade").isNotNull()).join(lab, "doc_id").select("language", "band", "grade")
     # one row per distinct (language, band, half grade): a few hundred whatever the data
-    cuts = fit_cuts([(r.language, r.band, r.grade) for r in pairs.groupBy("language", "band", "grade").count().collect() for _ in range(min(r["count"], 500))])
+    cells = pairs.groupBy("language", "band", "grade").count().collect()
+    cuts = fit_cuts([(r.language, r.band, r.grade) for r in cells], [r["count"] for r in cells])
     banded = F.coalesce(F.col("source"), F.lit("")).isin(*NO_BAND) | F.col("grade").isNull()
     level = sum(((F.col("grade") >= _cut(F.col("language"), cuts, i)).cast("int") for i in range(4)), F.lit(1))
     hard = F.aggregate("hist", F.lit(0), lambda acc, x: acc + F.when(x["g"] >= _cut(F.col("language"), cuts, 3), x["w"]).otherwise(0))

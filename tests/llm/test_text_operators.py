@@ -323,3 +323,20 @@ def test_labelled_numbers_with_digits_among_letters(text, value):
 def test_ibans_of_letters_are_found():
     iban = next(x for c in range(2, 99) if pii.mod97(x := f"MT{c:02d}MALTBANKACCOUNTABCDEFGHIJKLMNO"))
     assert [(k, s) for s, _, k in pii.spans(f"to {iban}", set(), set(), set())] == [("id_number", 3)]
+
+
+def test_cuts_weigh_every_label():
+    cells = {("en", 1, 2.0): 40, ("en", 2, 9.0): 700, ("en", 3, 9.0): 600, ("en", 4, 14.0): 80, ("en", 5, 20.0): 40}
+    every = readability.fit_cuts([k for k, n in cells.items() for _ in range(n)])
+    flat = readability.fit_cuts([k for k, n in cells.items() for _ in range(min(n, 500))])
+    assert readability.fit_cuts(list(cells), list(cells.values())) == every != flat
+
+
+def test_levels_weigh_every_label(spark, monkeypatch):
+    seen = []
+    fit = readability.fit_cuts
+    monkeypatch.setattr(readability, "fit_cuts", lambda labels, weights=None: (seen.append(sum(weights or [1] * len(labels))), fit(labels, weights))[1] if weights else (seen.append(len(labels)), fit(labels))[1])
+    text = "The worker reads the queue and writes one row for each job that it has done."
+    docs = spark.createDataFrame([(i, "guide", text) for i in range(600)], "doc_id long, source string, text string")
+    readability.levels(docs, docs.selectExpr("doc_id", "3 as band"))
+    assert seen == [600]
