@@ -72,6 +72,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has cores, for costly work on few bytes.
+
+    An explicit number is not merged again by adaptive execution, which sizes
+    partitions by bytes and so hands long-running Python work to a few tasks.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n)
+
+
 def cleanup(spark: SparkSession) -> int:
     """Removes the intermediate tables this process wrote; call it when no result built on them is needed."""
     jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
