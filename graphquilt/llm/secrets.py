@@ -73,6 +73,10 @@ _TWICE = re.compile(r"(.)\1+")
 _BEYOND = re.compile(r"[^\W\d_]")
 
 
+#: Longer tokens are no names of anything.
+LONGEST_NAME = 48
+
+
 def _shape(w: str) -> str:
     """Letter case, digits and signs, runs folded, the first ten."""
     s = w.translate(_FORM)
@@ -91,12 +95,26 @@ _ANY_KEY = re.compile("|".join("(?:" + rx.pattern.replace("(?i)", "") + ")" for
 
 def _keys(w: str) -> list[str]:
     """What the token names."""
-    return [name for name, rx in _KEYS if rx.search(w)] if _ANY_KEY.search(w) else []
+    return [name for name, rx in _KEYS if rx.search(w)] if len(w) <= LONGEST_NAME and _ANY_KEY.search(w) else []
 
 
 _B64 = re.compile(r"[A-Za-z0-9+/]{12,}")
 
 
+_HEX = re.compile(r"[0-9a-f]+")
+_UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+_IDENT = re.compile(r"(?i)[a-z]+([_.][a-z]+)*")
+_CAMEL = re.compile(r"[a-z]+[A-Z][A-Za-z]*")
+_PHRASE = re.compile(r"[a-z]+(-[a-z]+){2,}")
+_WORD_NUMBER = re.compile(r"[A-Za-z]+[-_!.]?\d{3,}[!#%_.*]*")
+_ODD = re.compile(r"[!#%&*$^+~]")
+_DOMAIN = re.compile(r"\.[a-z]{2,}(/|$)")
+_PATH = re.compile(r"[a-z0-9_.-]+(/[A-Za-z0-9_.-]+){2,}")
+_CHORD = re.compile(r"(?i)(?:ctrl|control|cmd|alt|shift|meta|super|win)(?:[+-]\w+)+")
+_ABOUT = re.compile(r"(?i)[_.-]?(?:file|path|dir|field|label|name|hint|regex|pattern|policy|length|hash|type|id|url|uri)$")
+_DOTTED = re.compile(r"[a-z]\.[a-z]")
+
+
 def _decodes(w: str) -> bool:
     """Whether base64 of printable ASCII."""
     if not 8 <= len(w) <= 400 or not re.fullmatch(r"[A-Za-z0-9+/]+", w):
@@ -116,9 +134,12 @@ def _own(w: str) -> list[str]:
     if n <= 2 and not w.isalnum():
         return ["p=" + w]
     low = w.lower()
-    digits, upper = sum(c.isdigit() for c in w), sum(c.isupper() for c in w)
-    letters = sum(c.isalpha() for c in w)
-    lower = letters - upper
+    form = w.translate(_FORM)
+    digits, upper, lower = form.count("9"), form.count("X"), form.count("x")
+    if not form.isascii():
+        upper += sum(c.isupper() for c in form if c > "\x7f")
+        lower += sum(c.isalpha() and not c.isupper() for c in form if c > "\x7f")
+    letters = upper + lower
     special = n - digits - letters
     kinds = (digits > 0) + (upper > 0) + (lower > 0) + (special > 0)
     out = [
@@ -137,35 +158,36 @@ def _own(w: str) -> list[str]:
         out.append("issued")
     if _MASK.search(w):
         out.append("mask")
-    if _HOLDER.search(w):
+    if n <= LONGEST_NAME and _HOLDER.search(w):
         out.append("holder")
     if w.startswith(("${", "{{", "$(", "%(", "<")):
         out.append("ref")
-    if re.fullmatch(r"[0-9a-f]+", low):
+    if _HEX.fullmatch(low):
         out.append(f"hex{n if n in (32, 40, 64, 128) else n // 16}")
-    if re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", low):
+    elif n == 36 and _UUID.fullmatch(low):
         out.append("uuid")
     if _B64.fullmatch(w):
         out.append("b64" + ("L" if n >= 40 else "S"))
         if _decodes(w):
             out.append("reads-back")
-    if re.fullmatch(r"(?i)[a-z]+([_.][a-z]+)*", w):
-        out.append("ident")
-    if re.fullmatch(r"[a-z]+[A-Z][A-Za-z]*", w):
-        out.append("camel")
-    if re.fullmatch(r"[a-z]+(-[a-z]+){2,}", w):
-        out.append("phrase")
-    if re.fullmatch(r"[A-Za-z]+[-_!.]?\d{3,}[!#%_.*]*", w):
+    if not digits:
+        if _IDENT.fullmatch(w):
+            out.append("ident")
+        if upper and _CAMEL.fullmatch(w):
+            out.append("camel")
+        if special > 1 and _PHRASE.fullmatch(w):
+            out.append("phrase")
+    elif digits >= 3 and _WORD_NUMBER.fullmatch(w):
         out.append("word-number")
-    if special and re.search(r"[!#%&*$^+~]", w):
+    if special and _ODD.search(w):
         out.append("odd")
     if w.isdigit():
         out.append("number")
-    if re.search(r"\.[a-z]{2,}(/|$)", w) and "." in w:
+    if "." in w and _DOMAIN.search(w):
         out.append("domain")
-    if w[0] in "/~." and "/" in w or re.fullmatch(r"[a-z0-9_.-]+(/[A-Za-z0-9_.-]+){2,}", w):
+    if "/" in w and (w[0] in "/~." or _PATH.fullmatch(w)):
         out.append("path")
-    if re.fullmatch(r"(?i)(?:ctrl|control|cmd|alt|shift|meta|super|win)(?:[+-]\w+)+", w):
+    if special and n < 30 and _CHORD.fullmatch(w):
         out.append("chord")
     return out + ["is-" + name for name in _keys(w)]
 
@@ -181,11 +203,11 @@ def _near(w: str) -> list[str]:
         out.append("ref")
     if w.startswith("<"):
         out.append("tag")
-    if re.search(r"(?i)[_.-]?(?:file|path|dir|field|label|name|hint|regex|pattern|policy|length|hash|type|id|url|uri)$", w):
+    if len(w) <= LONGEST_NAME and _ABOUT.search(w):
         out.append("about")
     if len(w) < 14 and sum(c.isdigit() for c in w) < 3:
         out.append(w.lower())
-    if re.search(r"[a-z]\.[a-z]", w):
+    if "." in w and _DOTTED.search(w):
         out.append("domain")
     if not out:
         out.append("long")
@@ -456,6 +478,13 @@ _OUT = T.StructType([T.StructField("_k", T.StringType()), T.StructField("n_secre
 BATCH = 2000
 
 
+def kept_labeller(weights: tuple) -> Labeller:
+    """One labeller a worker: what it learned of tokens serves the next task."""
+    if "labeller" not in _LOADED:
+        _LOADED["labeller"] = Labeller(CRF(*weights))
+    return _LOADED["labeller"]
+
+
 def label(values: DataFrame) -> DataFrame:
     """``_k`` (md5 of the value), number and spans of secrets, redacted value, of every distinct value."""
     spark = values.sparkSession
@@ -464,7 +493,7 @@ def label(values: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast((crf.index, crf.emit, crf.move))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lab = Labeller(CRF(*sent.value))
+        lab = kept_labeller(sent.value)
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
                 keys, texts = pdf._k.iloc[at : at + BATCH].tolist(), pdf.value.iloc[at : at + BATCH].tolist()
