@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import importable, materialise
+from .hyphens import syllables
 
 MOST_LABELS = 50_000
 NO_BAND = ("commit", "changelog", "source_code")
 #: Cuts between bands in grades, from labels of the corpus at the smallest scale; the fit starts here.
-CUTS = {"en": (5.0, 8.0, 13.0, 20.0), "de": (6.0, 8.5, 12.5, 22.0), "fr": (5.0, 8.0, 14.0, 22.0), "es": (5.0, 8.0, 14.0, 22.0), "nl": (6.0, 8.5, 12.5, 22.0)}
+CUTS = {"en": (5.0, 8.0, 13.0, 20.0), "de": (6.0, 8.5, 12.5, 22.0), "fr": (5.0, 8.0, 14.0, 22.0), "es": (5.0, 8.0, 14.0, 22.0), "nl": (6.0, 8.5, 12.5, 22.0), "zh": (5.0, 8.0, 14.0, 22.0), "ja": (5.0, 8.0, 14.0, 22.0), "ko": (5.0, 8.0, 14.0, 22.0)}
 
 # Function words that tell the languages apart.
 _FUNCTION_WORDS = {
@@ -57,35 +58,19 @@ _ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+(?:\[[ xX]\][ \t]*)?")
 _END = re.compile(r"(?<!\be\.g)(?<!\bi\.e)(?<!\bz\.B)(?<!\bbzw)(?<!\betc)(?<!\bcf)[.!?…]+[\"'”’)\]]*(?=\s|$)|[。！？]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _CODEY = re.compile(r"[_\\/{}<>=@#$|]|\w\.\w|[a-z][A-Z]|\w\(|\d|::|--")
-_VOWELS = {"en": re.compile(r"[aeiouy]+"), "de": re.compile(r"aa|ee|oo|ie|ei|ai|au|eu|äu|ui|[aeiouyäöü]"), "fr": re.compile(r"eau|oeu|œu|ai|au|ei|eu|ou|oi|ui|ie(?!r)|œ|[aeiouyàâäéèêëîïôöùûü]"), "es": re.compile(r"[iuü]?[aeoáéó][iuy]?|[iuíúü]+|y\b"), "nl": re.compile(r"aai|ooi|oei|eeu|ieu|aa|ee|oo|uu|ie|oe|eu|ui|ei|ij|ou|au|[aeiouyëïö]")}
-_SYL: dict[tuple[str, str], int] = {}
-
-
-def syllables(word: str, lang: str = "en") -> int:
-    """Vowel groups with the usual corrections, at least one."""
-    k = (lang, word)
-    n = _SYL.get(k)
-    if n is None:
-        if len(_SYL) > 200_000:
-            _SYL.clear()
-        w = word.lower()
-        n = len((_VOWELS.get(lang) or _VOWELS["en"]).findall(w))
-        if lang == "en":
-            if len(w) > 2 and w.endswith("e") and not w.endswith(("le", "ee", "ie", "ye")) or w.endswith("les") and len(w) > 4 and w[-4] in "aeiou":
-                n -= 1
-            if re.search(r"[^aeiouytd]ed$", w):
-                n -= 1
-            if re.search(r"[^aeioucsxzg]es$", w) and not w.endswith("les"):
-                n -= 1
-            n += len(re.findall(r"i[aou](?!u)|eo|ua(?!r)|[^qg]uo|ism$", w)) - len(re.findall(r"[tcs]i[aou]|gi[ou]|ious", w))
-        elif lang == "fr" and len(w) > 2 and re.search(r"[^aeiouyé]es?$|ent$", w):
-            n -= 1
-        n = _SYL[k] = max(1, n)
-    return n
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_CLAUSE = re.compile(r"[，、；：,;]")
 
 
 def language(words: list[str]) -> str:
-    """The language most of whose function words occur; English when none does."""
+    """The language most of whose function words occur; English when none does.  Text mostly in Han, kana or Hangul is told by its script."""
+    wide = sum(1 for w in words if _CJK.search(w))
+    if wide:
+        text = "".join(words)
+        n = len(_CJK.findall(text))
+        if 3 * n > sum(c.isalpha() for c in text):
+            kana, hangul = len(re.findall(r"[\u3040-\u30ff]", text)), len(re.findall(r"[\uac00-\ud7af]", text))
+            return "ko" if 2 * hangul > n else "ja" if 10 * kana > n else "zh"
     seen = Counter(w.strip(".,;:!?()\"'").lower() for w in words)
     return max(_FUNCTION_WORDS, key=lambda k: (sum(seen[w] for w in _FUNCTION_WORDS[k]), k == "en"))
 
@@ -137,6 +122,10 @@ def counts(sentence: str, lang: str) -> tuple[int, int, int, int, int] | None:
         s = _INLINE.sub(" x_x ", s)
     if "://" in s or "www." in s:
         s = _URL.sub(" x_x ", s)
+    if lang in ("zh", "ja", "ko"):
+        n = len(_CJK.findall(s))
+        # two characters make about a word; clauses stand for what long words are elsewhere
+        return None if n < 6 or 2 * n < sum(not c.isspace() for c in s) else (max(1, n // 2), n, n, -(1 + len(_CLAUSE.findall(s))), n)
     toks = s.split()
     known = _TOKENS.setdefault(lang, {})
     n = letters = syl = poly = long = codey = 0
@@ -172,7 +161,9 @@ def _weigh(token: str, lang: str) -> tuple[int, int, int, int, int]:
 
 
 def grade(n: int, letters: int, syl: int, poly: int, long: int) -> float:
-    """Median of the estimates for one sentence."""
+    """Median of the estimates for one sentence; for Han, kana and Hangul (marked by a negative ``poly``, the clauses) those of sentence and clause length."""
+    if poly < 0:
+        return median((0.5 * n, 0.39 * n + 2, letters / -poly))
     linsear = n + 2 * poly
     return median(
         (
