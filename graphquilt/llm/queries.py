@@ -18,7 +18,7 @@ def _p1(s: SparkSession, d: str) -> DataFrame:
 
 
 def _p4(s: SparkSession, d: str) -> DataFrame:
-    return pii.scan(table(s, d, "memory_entries"), table(s, d, "plan_entries"), table(s, d, "given_name"))
+    return pii.scan(table(s, d, "memory_entries"), table(s, d, "plan_entries"), table(s, d, "given_name"), pii.session_key(s))
 
 
 def _p5(s: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphquilt.llm import chunks, docpairs, nonsource, pii, readability, secrets
+from graphquilt.llm import chunks, docpairs, hyphens, nonsource, pii, readability, secrets
 from graphquilt.llm.secret_forms import Generator
 
 LONG = "word " * 40_000
@@ -135,8 +135,53 @@ def test_pseudonyms_keep_format_validity_and_links():
     assert pii.pseudonym("phone", "+44 7700 900371", b"other") != phone
 
 
+def _dni(v):
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(v[:8]) % 23] == v[8]
+
+
+@pytest.mark.parametrize(
+    ("value", "valid"),
+    [
+        ("12345678Z", _dni),
+        ("X1234567L", lambda v: v[0] == "X" and "TRWAGMYFPDXBNJZSQVHLCKE"[int("0" + v[1:8]) % 23] == v[8]),
+        ("AB 12 34 56 C", lambda v: re.fullmatch(r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] \d\d \d\d \d\d [A-D]", v) is not None),
+        ("4111 1111 1111 1111", lambda v: v[0] == "4" and pii.luhn(v.replace(" ", "")) and pii.CARD.search(v) is not None),
+        ("RSSMRA85T10A562S", lambda v: re.fullmatch(r"[A-Z]{6}\d\d[A-EHLMPRST]\d\d[A-Z]\d{3}[A-Z]", v) and chr(65 + pii._fiscal(v[:15])) == v[15]),
+        ("1 85 05 78 006 084 91", lambda v: 97 - int(v.replace(" ", "")[:13]) % 97 == int(v.replace(" ", "")[13:])),
+        ("86095742719", lambda v: pii._steuer_digit(v[:10]) == int(v[10])),
+        ("FR14 2004 1010 0505 0001 3M02 606", lambda v: v.startswith("FR") and pii.mod97(v.replace(" ", ""))),
+    ],
+)
+def test_national_checks_stay_valid(value, valid):
+    out = pii.pseudonym("id_number", value, b"key")
+    assert out != value and valid(value) and valid(out)
+    assert pii.pseudonym("id_number", value, b"key") == out
+
+
+def test_numbers_are_permuted_one_to_one():
+    payload = [f"{i:08d}" for i in range(0, 40_000, 7)]
+    for suffix in ("T", "R"):  # some valid, most not
+        got = {pii.pseudonym("id_number", p + suffix, b"k") for p in payload}
+        assert len(got) == len(payload)
+    valid = [f"{i:08d}" + "TRWAGMYFPDXBNJZSQVHLCKE"[i % 23] for i in range(3000)]
+    assert all(_dni(pii.pseudonym("id_number", v, b"k")) for v in valid)
+
+
+def test_dates_of_birth_are_permuted_within_their_format():
+    got = pii.date_pseudonym("14.03.1987", b"k")
+    assert re.fullmatch(r"\d\d\.\d\d\.\d{4}", got) and got != "14.03.1987"
+    a, b = got.split("."), pii.date_pseudonym("1987-03-14", b"k").split("-")
+    assert a[::-1] == b  # the same day stays the same day
+    assert pii.date_pseudonym("31.02.1987", b"k") == "31.02.1987"
+    days = [f"{y}-{m:02d}-{d:02d}" for y in (1950, 1987, 2012) for m in range(1, 13) for d in range(1, 29)]
+    assert len({pii.date_pseudonym(x, b"k") for x in days}) == len(days)
+    text = "geb. 14.03.1987, released 2020-01-01, DOB: 1990-02-11"
+    assert [text[s:e] for s, e, _ in pii.births(text, [])] == ["14.03.1987", "1990-02-11"]
+
+
 FAM = {"vossgard", "larchmont-oye", "d'orvane"}
 GIVEN = frozenset({"freya", "viktor", "grace", "rose"})
+EVERYDAY = frozenset({"ask", "with", "by", "grace", "rose"})
 
 
 @pytest.mark.parametrize(
@@ -152,6 +197,7 @@ GIVEN = frozenset({"freya", "viktor", "grace", "rose"})
         ("Pinned fennelkit@5.12.2 and @cached.property, cache key user@release", []),
         ("contact: dagny.s AT tolvane DOT example now", [("email", "dagny.s AT tolvane DOT example")]),
         ("Call +33 6 39 98 38 86 if", [("phone", "+33 6 39 98 38 86")]),
+        ("我的电话是13812345678。", [("phone", "13812345678")]),
         ("(602) 555-0183 or 808.555.0162", [("phone", "(602) 555-0183"), ("phone", "808.555.0162")]),
         ("Trace 8563-4657-5509, Order no. 558-80-52189, Range 100-777-883, Build 20256306-5987", []),
         ("v2.88.1913 on Port 5432 on 10.209.37.131, Epoch 1765148502, Row 44859337986555418", []),
@@ -166,7 +212,7 @@ GIVEN = frozenset({"freya", "viktor", "grace", "rose"})
     ],
 )
 def test_personal_spans(text, want):
-    assert [(k, text[s:e]) for s, e, k in pii.spans(text, GIVEN, FAM, set())] == want
+    assert [(k, text[s:e]) for s, e, k in pii.spans(text, GIVEN, FAM, set(), EVERYDAY)] == want
 
 
 def test_scan_learns_names_and_survives_dirt(spark, rows):
@@ -175,13 +221,28 @@ def test_scan_learns_names_and_survives_dirt(spark, rows):
     m = spark.createDataFrame([(*r, "clash") for r in mem], "path string, kind string, title string, body string, mtime double, spans string")
     p = spark.createDataFrame([("p1", "s", "", "t", "tel 020 7946 0274", 1.0)], "path string, slug string, agent_id string, title string, body string, mtime double")
     g = spark.createDataFrame([(x,) for x in [*givens, None, "Grace"]], "given string")
-    x = pii.scan(m, p, g)
+    x = pii.scan(m, p, g, b"key")
     got = rows(pii.found(x))
     assert ("memory_entries", "m9", "name") in got and ("memory_entries", "m6", "email") in got and ("plan_entries", "p1", "phone") in got
     assert {r[1] for r in got} == {"m0", "m1", "m2", "m3", "m9", "m6", "p1"}
     out = {r.path: r.redacted for r in x.collect()}
     assert out["m9"].startswith("thanks to <NAME ") and out["m9"].endswith("> for it") and out["m8"] is None and out["m7"] == ""
-    assert pii.found(pii.scan(m.limit(0), p.limit(0), g.limit(0))).count() == 0
+    assert pii.found(pii.scan(m.limit(0), p.limit(0), g.limit(0), b"key")).count() == 0
+    joined = pii.scan(m, p, g, b"key", most_sent=0)
+    assert rows(joined.select("entry_table", "path", "redacted")) == rows(x.select("entry_table", "path", "redacted"))
+    with pytest.raises(TypeError):
+        pii.scan(m, p, g)
+
+
+def test_everyday_words_are_told_by_how_they_are_written(spark, rows):
+    prose = "we ask them and ask again, for grace and rose may come in may. " * 3
+    mem = [(f"m{i}", f"{prose}Owner: {n} Vossgard.") for i, n in enumerate(("Freya", "Viktor", "Sven"))]
+    mem += [("q", "Ask Vossgard about it. Rose Garden is a menu."), ("r", "The note of Talwyn Vossgard.")]
+    m = spark.createDataFrame(mem, "path string, body string")
+    p = m.limit(0)
+    g = spark.createDataFrame([("Freya",), ("Viktor",), ("Sven",), ("Rose",)], "given string")
+    got = rows(pii.found(pii.scan(m, p, g, b"k")).select("path", "pii_type"))
+    assert got == [("m0", "name"), ("m1", "name"), ("m2", "name"), ("r", "name")]
 
 
 # ---------------------------------------------------------------- non-source files
@@ -313,10 +374,34 @@ LONG_SHORT = "Were it not that the job is held to be one with what it was when f
 
 def test_syllables_and_languages():
     assert [readability.syllables(w) for w in ("the", "table", "readability", "jumped", "variation")] == [1, 2, 5, 1, 4]
+    assert readability.language(["这个服务读取列表并写入报告。"]) == "zh" and readability.language(["この設定を読み込んでください。"]) == "ja"
     assert readability.language("der Dienst prüft das Paket und die Liste".split()) == "de"
     assert readability.language("le service trie la liste et écrit un rapport".split()) == "fr"
 
 
+def test_hyphenation_of_common_words():
+    known = "create 2 science 2 business 2 rhythm 2 naive 2 something 2 statement 2 completely 3 creation 3 area 3 idea 3 table 2 people 2 used 1 needed 2 houses 2 language 2 different 3 every 2 special 2 quiet 2 queue 1 requirement 3 variable 4 various 3 video 3 client 2 experience 4 efficient 3 actual 3 individual 5 situation 4 fluid 2 doing 2 poem 2 cooperate 4 prism 2 mechanism 4 careful 2 therefore 2 everything 3 handled 2 simple 2 style 1 merges 2 cached 1 packages 3 repository 5 university 5 biology 4 reuse 2 serious 3 player 2 beyond 2 tries 1 strength 1 enough 2 courageous 3".split()
+    wrong = [(w, hyphens.hyphenate(w)) for w, n in zip(known[::2], known[1::2], strict=True) if hyphens.syllables(w) != int(n)]
+    assert not wrong
+    others = {"de": "verantwortung 4 entwicklung 3 straße 2 häuser 2", "fr": "maison 2 utilisateur 5 petites 2 table 1", "es": "ciudad 2 aplicación 4 país 2 aéreo 4", "nl": "ontwikkeling 4 ruimte 2 leeuw 1"}
+    for lang, ws in others.items():
+        ws = ws.split()
+        assert [hyphens.syllables(w, lang) for w in ws[::2]] == [int(n) for n in ws[1::2]], lang
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(min_size=1, max_size=20), st.sampled_from(["en", "de", "fr", "es", "nl", "zh"]))
+def test_hyphenation_keeps_the_word(word, lang):
+    assert "".join(hyphens.hyphenate(word, lang)) == word
+
+
+def test_prose_without_spaces_has_a_grade():
+    short = "今天天气很好。我们去公园玩。大家都很高兴。" * 5
+    long = "在没有任何预先配置的情况下，系统必须根据历史记录中所有可用的统计信息重新推导出每个分区的边界并且保证结果在节点失效后依然可以完全重现而不需要额外的协调过程。" * 5
+    a, b = readability.analyse(short), readability.analyse(long)
+    assert a[0] == b[0] == "zh" and readability.middle(a[2]) < readability.middle(b[2])
+
+
 def test_grades_order_texts():
     grades = [readability.middle(readability.analyse(t * 3)[2]) for t in (PLAIN, HARD, LONG_SHORT)]
     assert grades[0] < 5 and grades[1] > 20 and grades[2] > 18
