@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import fnmatch
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import importable
 
 MOST_MOUNTS = 8
 BLOCK = 10_000
-_PARAM = re.compile(r"\{[^}/]*\}|<[^>/]*>|(?<![^/]):[A-Za-z_]\w*")
-_REST = re.compile(r"\{[^}/:]*:path\}|<path:[^>/]*>|\*\w*|\[\.\.\.\w+\]")
+# A parameter of a path, and a segment that takes all that is left, as the routers of the frameworks write them.
+PARAM = r"\{[^}/]*\}|<[^>/]*>|(?<![^/]):[A-Za-z_]\w*"
+REST = r"^(?:\{[^}/:]*:path\}|<path:[^>/]*>|\*\w*|\[\.\.\.\w+\])$"
 
 
 def joined(prefix: Column, path: Column) -> Column:
@@ -50,105 +43,84 @@ def full_paths(endpoints: DataFrame, routers: DataFrame, includes: DataFrame) ->
     return e.join(m, "key").select("id", F.when(p == "", "/").otherwise(p).alias("full_path")).distinct()
 
 
-def _segments(path: str) -> list[str]:
-    return [s for s in path.split("/") if s]
-
-
-def _fits(stored: str, want: str) -> int | None:
-    """Score of one segment: 2 literal, 1 parameter on parameter or mixed, 0 bare parameter on a value."""
-    if not _PARAM.search(stored):
-        return 2 if stored == want else None
-    shape = _PARAM.sub("{}", stored)
-    if _PARAM.search(want):
-        return 1 if _PARAM.sub("{}", want) == shape else None
-    rx = "".join("[^/]+" if p is None else re.escape(p) for p in _pieces(stored))
-    if not re.fullmatch(rx, want):
-        return None
-    return 0 if shape == "{}" else 1
-
-
-def _pieces(stored: str) -> list[str | None]:
-    out: list[str | None] = []
-    at = 0
-    for m in _PARAM.finditer(stored):
-        if m.start() > at:
-            out.append(stored[at : m.start()])
-        if not out or out[-1] is not None:
-            out.append(None)
-        at = m.end()
-    if at < len(stored):
-        out.append(stored[at:])
-    return out
-
-
-def align(stored: list[str], want: list[str]) -> tuple[int, int, bool] | None:
-    """(score, shared literal segments, catch-all used) of the best way the stored path takes all wanted segments."""
-    n, m = len(stored), len(want)
-    best: list[list[tuple[int, int, bool] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
-    best[n][m] = (0, 0, False)
-    for i in range(n - 1, -1, -1):
-        rest = _REST.fullmatch(stored[i]) is not None
-        for j in range(m - 1, -1, -1):
-            if rest:
-                options = [(t[0], t[1], True) for k in range(j + 1, m + 1) if (t := best[i + 1][k])]
-            else:
-                s = _fits(stored[i], want[j])
-                t = best[i + 1][j + 1]
-                options = [(t[0] + s, t[1] + (s == 2), t[2])] if s is not None and t else []
-            best[i][j] = max(options, key=lambda x: (x[0], x[1], not x[2]), default=None)
-    return best[0][0]
-
-
-def match_path(stored: str, want: str) -> tuple[str, int, bool] | None:
-    """(how, score, catch-all used): ``glob``, ``exact`` or ``suffix``, or None."""
-    if any(c in want for c in "*?["):
-        plain = lambda p: _PARAM.sub("{}", p).rstrip("/")
-        return ("glob", 0, False) if fnmatch.fnmatchcase(stored, want) or fnmatch.fnmatchcase(plain(stored), plain(want)) else None
-    s, w = _segments(stored), _segments(want)
-    got = align(s, w)
-    if got and got[1]:
-        return "exact", got[0], got[2]
-    if _PARAM.sub("{}", stored).rstrip("/") == _PARAM.sub("{}", want).rstrip("/"):
-        return "exact", got[0] if got else 0, False
-    if not want.startswith("/") or any(_REST.fullmatch(x) for x in s):
-        return None
-    tails = [t for i in range(1, len(s)) if (t := align(s[i:], w)) and t[1]]
-    return ("suffix", max(t[0] for t in tails), False) if tails else None
+def shape(path: Column) -> Column:
+    """A path with every parameter as ``{}``."""
+    return F.regexp_replace(path, PARAM, "{}")
+
+
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def _fit(stored: Column, want: Column) -> Column:
+    """How well one segment takes another: 2 the same literal, 1 parameter for parameter or in part, 0 a bare parameter for a value, null not at all."""
+    kind, asked = shape(stored), shape(want)
+    pattern = F.concat(F.lit("^\\Q"), F.regexp_replace(stored, f"(?:{PARAM})+", r"\\E[^/]+\\Q"), F.lit("\\E$"))
+    by_value = F.when(F.rlike(want, pattern), F.when(kind == "{}", 0).otherwise(1))
+    return F.when(kind == stored, F.when(stored == want, 2)).when(asked != want, F.when(asked == kind, 1)).otherwise(by_value)
+
+
+def _aligned(c: DataFrame) -> DataFrame:
+    """Rows of ``s`` (stored segments) that take all of ``w``, with ``score``, ``n_same`` literals and ``rest``.
+
+    What stands before a catch-all is laid against the front, what stands behind it
+    against the end; the catch-all takes at least one segment.
+    """
+    c = c.withColumn("at", F.coalesce(F.array_position(F.transform("s", lambda x: x.rlike(REST)), F.lit(True)), F.lit(0)).cast("int"))
+    n, m, at = F.size("s"), F.size("w"), F.col("at")
+    c = c.where(F.when(at == 0, n == m).otherwise(m >= n))
+    front = F.when(at == 0, n).otherwise(at - 1)
+    back = F.when(at == 0, 0).otherwise(n - at)
+    head = F.zip_with(F.slice("s", F.lit(1), front), F.slice("w", F.lit(1), front), _fit)
+    tail = F.zip_with(F.slice("s", n - back + 1, back), F.slice("w", m - back + 1, back), _fit)
+    c = c.withColumn("fits", F.concat(head, tail)).where(~F.exists("fits", lambda x: x.isNull()))
+    return c.select("query", "id", "from", F.aggregate("fits", F.lit(0), lambda a, x: a + x).alias("score"), F.size(F.filter("fits", lambda x: x == 2)).alias("n_same"), (at > 0).alias("rest"))
+
+
+def _glob(want: Column) -> Column:
+    """A shell pattern as a regular expression: ``*`` and ``?`` cross slashes, classes as they are."""
+    x = F.regexp_replace(want, r"[.+^$(){}|\\]", r"\\$0")
+    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\*", ".*"), r"\?", "."), r"\[!", "[^"), F.lit("$"))
 
 
 def find(endpoints: DataFrame, queries: DataFrame, path: str = "full_path", method: str = "method") -> DataFrame:
     """Endpoints that answer each query (``query, path, method``): ``query, id, how, rank``.
 
-    Candidates share a literal segment with the query; globs and queries without a
-    literal segment go against all rows.  Suffix matches count only for queries
-    without exact ones.
+    ``exact`` takes the whole path and shares a literal segment with it (or is the
+    same path but for parameter names), ``suffix`` a tail of the stored path, for
+    queries without exact ones; a query with ``*``, ``?`` or ``[`` is a pattern over
+    whole paths (``glob``).  Candidates share a literal at the same place from the
+    end, or from the front where a catch-all follows.
     """
-    importable(endpoints.sparkSession)
-    # queries meet endpoints through a shared literal segment, globs and segment-free paths meet all of their method
-    lits = lambda p: F.filter(F.split(p, "/"), lambda x: (x != "") & ~x.rlike(r"[{}<>:*?\[\]]"))
-    e = endpoints.select("id", F.col(path).alias("stored"), F.upper(method).alias("m"))
-    q = queries.select("query", F.col("path").alias("want"), F.upper(F.coalesce("method", F.lit(""))).alias("wm"))
-    loose = F.col("want").rlike(r"[*?\[]") | (F.size(lits(F.col("want"))) == 0)
-    eq = e.withColumn("lit", F.explode(F.array_distinct(lits(F.col("stored")))))
-    cand = q.where(~loose).withColumn("lit", F.explode(F.array_distinct(lits(F.col("want"))))).join(eq, "lit").drop("lit").distinct()
-    # the few that could be anywhere go against all rows in blocks of a fixed size
-    c = cand
-    wide = q.where(loose)
-    n = -(-wide.count() // BLOCK)
-    block = F.pmod(F.xxhash64("query"), F.lit(max(1, n)))
-    for b in range(n):
-        c = c.unionByName(F.broadcast(wide.where(block == b)).crossJoin(e).select(cand.columns))
-    c = c.where((F.col("wm") == "") | (F.col("m") == F.col("wm")) | (F.col("m") == "ANY"))
-
-    @F.pandas_udf(T.StructType([T.StructField("how", T.StringType()), T.StructField("score", T.IntegerType()), T.StructField("rest", T.BooleanType())]))
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for s, w in batches:
-            yield pd.DataFrame([match_path(a, b) or (None, None, None) for a, b in zip(s, w, strict=True)], columns=["how", "score", "rest"])
-
-    from pyspark.sql import Window
-
-    h = c.withColumn("x", run("stored", "want")).where("x.how is not null").select("query", "id", "stored", "x.how", "x.score", "x.rest")
+    e = endpoints.select("id", F.col(path).alias("stored"), F.upper(method).alias("m"), segments(F.col(path)).alias("s"))
+    q = queries.select("query", F.col("path").alias("want"), F.upper(F.coalesce("method", F.lit(""))).alias("wm"), segments(F.col("path")).alias("w"))
+    allowed = (F.col("wm") == "") | (F.col("m") == F.col("wm")) | (F.col("m") == "ANY")
+    glob = F.col("want").rlike(r"[*?\[]")
+
+    def places(df: DataFrame, of: str) -> DataFrame:
+        n = F.size(of)
+        both = lambda x, i: F.array(F.struct((n - i).alias("place"), x.alias("lit")), F.struct((-1 - i).alias("place"), x.alias("lit")))
+        at = F.explode(F.flatten(F.transform(of, both)))
+        return df.withColumn("k", at).select(*df.columns, "k.place", "k.lit").where((F.col("lit") == shape(F.col("lit"))) & ~F.col("lit").rlike(REST))
+
+    literal = q.where(~glob)
+    pairs = places(literal.select("query", "wm", "w"), "w").join(places(e.select("id", "m", "s"), "s"), ["place", "lit"]).where(allowed).select("query", "id").distinct()
+    c = pairs.join(literal, "query").join(e, "id")
+    tails = F.when(F.col("want").startswith("/") & ~F.exists("s", lambda x: x.rlike(REST)), F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)))).otherwise(F.array(F.lit(0)))
+    c = c.withColumn("from", F.explode(tails)).withColumn("s", F.slice("s", F.col("from") + 1, F.size("s")))
+    got = _aligned(c).where("n_same > 0").groupBy("query", "id").agg(F.max(F.when(F.col("from") == 0, F.struct("score", "rest"))).alias("whole"), F.max(F.when(F.col("from") > 0, F.col("score"))).alias("part"))
+    hits = got.select("query", "id", F.when(F.col("whole").isNotNull(), "exact").otherwise("suffix").alias("how"), F.coalesce("whole.score", "part").alias("score"), F.coalesce("whole.rest", F.lit(False)).alias("rest"))
+    # the same path but for the names of its parameters
+    trimmed = lambda p: F.regexp_replace(shape(F.col(p)), "/+$", "")
+    same = literal.withColumn("k", trimmed("want")).join(e.withColumn("k", trimmed("stored")), "k").where(allowed).select("query", "id", F.lit("exact").alias("how"), F.lit(0).alias("score"), F.lit(False).alias("rest"))
+    # patterns could be anywhere: a stated set against all rows, in blocks of a fixed size
+    wide = q.where(glob).select("query", "wm", _glob(F.col("want")).alias("rx"), _glob(trimmed("want")).alias("rx_shape"))
+    blocks = -(-wide.count() // BLOCK)
+    for b in range(blocks):
+        part = F.broadcast(wide.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
+        g = e.join(part, F.rlike(F.col("stored"), F.col("rx")) | F.rlike(trimmed("stored"), F.col("rx_shape"))).where(allowed)
+        same = same.unionByName(g.select("query", "id", F.lit("glob").alias("how"), F.lit(0).alias("score"), F.lit(False).alias("rest")))
+    h = hits.unionByName(same).groupBy("query", "id").agg(F.max_by(F.struct("how", "score", "rest"), F.struct((F.col("how") != "suffix").cast("int"), "score")).alias("b")).select("query", "id", "b.*").join(e.select("id", "stored").distinct(), "id")
     w = Window.partitionBy("query")
     h = h.withColumn("_exact", F.max((F.col("how") != "suffix").cast("int")).over(w)).where("_exact = 0 or how <> 'suffix'")
-    order = w.orderBy(F.col("rest").cast("int"), F.desc("score"), "stored", "id")
-    return h.withColumn("rank", F.row_number().over(order)).select("query", "id", "how", "rank")
+    return h.withColumn("rank", F.row_number().over(w.orderBy(F.col("rest").cast("int"), F.desc("score"), "stored", "id"))).select("query", "id", "how", "rank")
