@@ -81,22 +81,36 @@ def slugify(c: Column | str) -> Column:
 
 # The volatile parts of an error message, in the order they are replaced.
 SYMPTOM_PATTERNS = (
-    (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?", "<ts>"),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<ts>"),
+    (r"/(?:[\w.\-]+/)+[\w.\-]+", "<path>"),
     (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<hex>"),
-    (r"([A-Za-z]:\\|\.{0,2}/)[^\s:'\"]+", "<path>"),
-    (r"\b0x[0-9a-fA-F]+\b|\b[0-9a-f]{12,40}\b", "<hex>"),
-    (r"\b1[5-9]\d{8}(\.\d+)?\b", "<ts>"),
-    (r"\b\d+(\.\d+)?\b", "<n>"),
+    (r"\b0x[0-9a-fA-F]+\b", "<hex>"),
+    (r"\b(?=[0-9]*[a-fA-F])[0-9a-fA-F]{7,}\b", "<hex>"),
+    (r"\b\d{13}\b|\b\d{10}\b", "<ts>"),
+    (r"\b\d+\b", "<n>"),
 )
+# Quoted phrases that are the message itself.
+SYMPTOM_PHRASES = ("is not installed", "database is locked", "permission denied", "command not found", "no such file or directory", "connection refused", "already exists", "service_disabled")
+_QUOTES = (('"', '"'), ("'", "'"), ("`", "`"), ("«", "»"))
 
 
 def normalize_symptom(c: Column | str) -> Column:
-    """An error message without what differs between two occurrences of it: times, ids, paths, numbers, quoted values."""
+    """An error message without what differs between two occurrences of it: quoted values, times, paths, ids, numbers.
+
+    Letters keep their case.  A quoted reason code in capitals, or a quoted phrase
+    that is the message itself, loses its quotes only; null and empty give ''.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    x = F.regexp_replace(c, r"'(?![A-Z_]+')[^'\n]{1,80}'|\"(?![A-Z_]+\")[^\"\n]{1,80}\"", "<q>")
+    # a quotation runs to the next sign of its own kind, wherever the first one opens
+    body = "|".join(f"{a}[^{z}]*{z}" for a, z in _QUOTES)
+    kept = "|".join(rf"{a}(\s*(?:[A-Z][A-Z0-9_]{{2,}}|[^{z}]*(?i:{'|'.join(SYMPTOM_PHRASES)})[^{z}]*)\s*){z}" for a, z in _QUOTES)
+    # the first alternative that matches decides, so kept ones go first and all are read in one pass from the left
+    parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"(?s:{body}|[^\"'`«]+|.)"), F.lit(0))
+    inner = lambda x: F.trim(F.substr(x, F.lit(2), F.length(x) - 2))
+    x = F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(rf"(?s)^(?:{kept})$")), inner(p)).when(F.rlike(p, F.lit(rf"(?s)^(?:{body})$")), F.lit("<q>")).otherwise(p)), "")
     for rx, to in SYMPTOM_PATTERNS:
         x = F.regexp_replace(x, rx, to)
-    return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
 def symptom_tokens(c: Column | str) -> Column:
