@@ -173,16 +173,16 @@ def hubs(degree: DataFrame, least: int = HUB_LEAST_DEGREE, percentile: float = H
     return degree.where(F.col("degree") >= F.greatest(F.lit(least), at.scalar()))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Weakly connected components: ``node, component`` (its least node).
 
     Alternating large-star and small-star steps: each round links nodes to the
-    least node of their neighbourhood, a logarithmic number of rounds, all
-    groupings pre-aggregated.
+    least node of their neighbourhood until nothing changes, a logarithmic number
+    of rounds, all groupings pre-aggregated.
     """
     e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     last = None
-    for _ in range(most_rounds):
+    while True:
         # large star: every node's larger neighbours point at the least of its neighbourhood
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -204,18 +204,18 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     return out
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node, or with a self link: ``node, component``.
 
     Trims nodes without both directions, then colours forward (each node takes
     the least node that reaches it) and collects backward inside each colour; a
     colour's root with all that it reaches backward is one component.  Repeats on
-    the rest.
+    the rest until no edge is left; every round removes at least one component.
     """
     self_loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found = None
-    for _ in range(most_rounds):
+    while True:
         # trim: a node without an incoming or outgoing edge is alone
         while True:
             n = e.count()

@@ -14,13 +14,18 @@ def rounded(x: Column, places: int) -> Column:
     return F.round(x.cast("decimal(28,9)"), places).cast("double")
 
 
+def calls(log: DataFrame, *columns: str) -> DataFrame:
+    """The given columns of every call; a row delivered twice, unchanged, is one call."""
+    return log.select("id", *columns).distinct()
+
+
+
 def call_stats(log: DataFrame) -> DataFrame:
-    """Calls, errors, latency and size per tool, busiest first in the order of the caller; a latency that is NaN is none."""
+    """Calls, errors (success 0), latency and size per tool, busiest first in the order of the caller; a latency that is NaN is none."""
     ms = F.when(~F.isnan("latency_ms"), F.col("latency_ms"))
-    ok = F.coalesce(F.col("success"), F.lit(0)) != 0
-    return log.groupBy("tool").agg(
+    return calls(log, "tool", "success", "latency_ms", "result_size").groupBy("tool").agg(
         F.count(F.lit(1)).alias("calls"),
-        F.count(F.when(~ok, 1)).alias("errors"),
+        F.count(F.when(F.col("success") == 0, 1)).alias("errors"),
         rounded(F.avg(ms), 2).alias("avg_ms"),
         rounded(F.min(ms), 2).alias("min_ms"),
         rounded(F.max(ms), 2).alias("max_ms"),
@@ -29,26 +34,26 @@ def call_stats(log: DataFrame) -> DataFrame:
 
 
 def calls_by_origin(log: DataFrame) -> DataFrame:
-    return log.groupBy("tool", F.coalesce("origin", F.lit("unknown")).alias("origin")).agg(F.count(F.lit(1)).alias("calls"))
+    return calls(log, "tool", "origin").groupBy("tool", F.coalesce("origin", F.lit("unknown")).alias("origin")).agg(F.count(F.lit(1)).alias("calls"))
 
 
 def error_rate(log: DataFrame) -> DataFrame:
     """All calls, errors and the rate as text, one row."""
-    bad = F.count(F.when(F.coalesce(F.col("success"), F.lit(0)) == 0, 1))
+    bad = F.count(F.when(F.col("success") == 0, 1))
     n = F.count(F.lit(1))
-    return log.agg(n.alias("calls"), bad.alias("errors"), F.format_string("%.1f%%", F.coalesce(100.0 * bad / n, F.lit(0.0))).alias("rate"))
+    return calls(log, "success").agg(n.alias("calls"), bad.alias("errors"), F.format_string("%.1f%%", F.coalesce(100.0 * bad / n, F.lit(0.0))).alias("rate"))
 
 
 def call_history(log: DataFrame) -> DataFrame:
     """Calls and errors per day."""
     day = F.to_date(F.timestamp_seconds("timestamp"))
-    return log.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.coalesce(F.col("success"), F.lit(0)) == 0, 1)).alias("errors"))
+    return calls(log, "timestamp", "success").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("success") == 0, 1)).alias("errors"))
 
 
 def top_tools(log: DataFrame, k: int = 3) -> DataFrame:
     """The k busiest tools of each day; the window runs over tools, not calls."""
     day = F.to_date(F.timestamp_seconds("timestamp"))
-    c = log.groupBy(day.alias("day"), "tool").agg(F.count(F.lit(1)).alias("calls"))
+    c = calls(log, "timestamp", "tool").groupBy(day.alias("day"), "tool").agg(F.count(F.lit(1)).alias("calls"))
     w = Window.partitionBy("day").orderBy(F.desc("calls"), F.col("tool").asc_nulls_last())
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalize_symptom, stem, symptom_tokens, words
+from ..session import cut
 from .search import bm25, postings, top_k
 
 HALF_LIFE_DAYS = 30.0
@@ -174,16 +175,28 @@ def supersede_candidates(notes: DataFrame, least: float = 0.6) -> DataFrame:
     return s.select(F.when(newer, F.col("x")).otherwise(F.col("y")).alias("newer"), F.when(newer, F.col("y")).otherwise(F.col("x")).alias("older"), "score")
 
 
-def chain_ends(notes: DataFrame, most_hops: int = 32) -> DataFrame:
-    """The note that finally stands for each superseded one: ``id, current, hops``, by pointer doubling; cycles end at their start."""
+def chain_ends(notes: DataFrame) -> DataFrame:
+    """The note that finally stands for each superseded one: ``id, current, hops``, by pointer doubling until no pointer moves.
+
+    A note that leads into a circle of notes has no end: ``current`` is null.  Steps
+    double each round, so what still moves once they are longer than any chain is on a
+    circle.
+    """
     p = notes.select("id", F.col("superseded_by").alias("to")).where("to is not null")
-    cur = notes.select("id", F.coalesce("superseded_by", "id").alias("current"), F.when(F.col("superseded_by").isNotNull(), 1).otherwise(0).alias("hops"))
-    hop = 1
-    while hop < most_hops:
+    cur = cut(notes.groupBy("id").agg(F.max("superseded_by").alias("to")).select("id", F.coalesce("to", "id").alias("current"), F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("hops")))
+    reach, total = 1, cur.count()
+    while True:
         nxt = cur.select(F.col("id").alias("current"), F.col("current").alias("_c"), F.col("hops").alias("_h"))
-        cur = cur.join(nxt, "current", "left").select("id", F.coalesce("_c", "current").alias("current"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
-        hop *= 2
-    return cur.join(p.select("id"), "id", "left_semi")
+        step = cut(cur.join(nxt, "current", "left").select("id", F.coalesce("_c", "current").alias("current"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), (F.coalesce("_h", F.lit(0)) > 0).alias("moved")))
+        cur, reach = step.select("id", "current", "hops"), 2 * reach
+        open_ = step.where("moved")
+        if open_.isEmpty():
+            break
+        if reach > 2 * total:
+            circle = open_.select("id", F.lit(True).alias("_circle"))
+            cur = cur.join(circle, "id", "left").select("id", F.when(F.col("_circle"), None).otherwise(F.col("current")).alias("current"), F.when(F.col("_circle"), None).otherwise(F.col("hops")).alias("hops"))
+            break
+    return cur.join(p.select("id").distinct(), "id", "left_semi")
 
 
 def promote(notes: DataFrame, target: DataFrame) -> DataFrame:

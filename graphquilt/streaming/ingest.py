@@ -55,7 +55,7 @@ def call_stream(spark: SparkSession, path: str, schema: T.StructType, most_files
 def daily_counters(events: DataFrame, late: str = "400 days") -> DataFrame:
     """Calls and errors per day and tool; deliveries of one id count once within the watermark."""
     e = events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["id"])
-    return e.groupBy(F.window("event_time", "1 day").alias("w"), "tool").agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.coalesce(F.col("success"), F.lit(0)) == 0, 1)).alias("errors")).select(F.to_date("w.start").alias("day"), "tool", "calls", "errors")
+    return e.groupBy(F.window("event_time", "1 day").alias("w"), "tool").agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("success") == 0, 1)).alias("errors")).select(F.to_date("w.start").alias("day"), "tool", "calls", "errors")
 
 
 def first_mentions(events: DataFrame, late: str = "1 day") -> DataFrame:

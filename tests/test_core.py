@@ -169,26 +169,19 @@ def _modularity(labels, edges):
     return sum((2 * w if labels[i] == labels[j] else 0) for (i, j), w in edges.items()) / m2 - sum((sum(deg[i] for i in range(len(labels)) if labels[i] == c) / m2) ** 2 for c in set(labels))
 
 
-def test_louvain_finds_cliques_on_driver_and_by_moves(spark):
+def test_communities_find_cliques(spark):
     n, edges = 15, {}
     for c in range(3):
         for i, j in permutations(range(c * 5, c * 5 + 5), 2):
             if i < j:
                 edges[(i, j)] = 1.0
     edges[(4, 5)] = edges[(9, 10)] = 0.5
-    lab = communities.louvain(n, edges)
-    assert [len(set(lab[i : i + 5])) for i in (0, 5, 10)] == [1, 1, 1] and len(set(lab)) == 3
     links = spark.createDataFrame([(f"f{i:02d}", f"f{j:02d}", w) for (i, j), w in edges.items()], "a string, b string, weight double")
     m = communities.detect(links)
-    groups = defaultdict(set)
-    for r in m.collect():
-        groups[r.community].add(r.node)
-    assert sorted(map(len, groups.values())) == [5, 5, 5]
-    moved = {r.node: r.community for r in communities.by_moves(links).collect()}
-    q = _modularity([moved[f"f{i:02d}"] for i in range(n)], edges)
-    assert q >= 0.8 * _modularity(lab, edges)
-    got = graph.modularity(links, m.select("node", "community")).first()[0]
-    assert got == pytest.approx(_modularity(lab, edges), abs=1e-4)
+    at = {r.node: r.community for r in m.collect()}
+    assert [{at[f"f{i:02d}"] for i in range(c * 5, c * 5 + 5)} for c in range(3)] == [{"f00"}, {"f05"}, {"f10"}]
+    cliques = [i // 5 for i in range(n)]
+    assert graph.modularity(links, m.select("node", "community")).first()[0] == pytest.approx(_modularity(cliques, edges), abs=1e-4)
     d = communities.describe(links, m).collect()
     assert sorted(r.n_files for r in d) == [5, 5, 5] and all(0.9 < r.cohesion <= 1 for r in d)
 
@@ -326,6 +319,9 @@ def test_recall_diagnosis_lists_and_chains(spark, rows):
     assert [(x.doc, x.score) for x in d] == [(1, 1.0)]
     assert rows(knowledge.supersede_candidates(notes), "newer", "older") == [(1, 2)]
     assert rows(knowledge.chain_ends(notes), "id", "current") == [(2, 1), (4, 1)]
+    long = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 71)] + [(100, 101), (101, 100), (102, 100)], "id long, superseded_by long")
+    ends = {r.id: (r.current, r.hops) for r in knowledge.chain_ends(long).collect()}
+    assert ends[70] == (1, 69) and ends[2] == (1, 1) and ends[100] == ends[102] == (None, None) and len(ends) == 72
     assert [x.id for x in knowledge.tiered_list(notes, st, 10).collect()] == [2, 3, 4, 1]
     assert [(x.term, x.n) for x in knowledge.terms(notes).collect()] == [("ops", 2), ("queue", 1)]
     assert knowledge.promote(notes, notes.limit(1)).count() == 3
@@ -341,6 +337,17 @@ def test_text_functions(spark):
     assert X.prose_terms("Where is parseHeader of l'index 42?") == ["parseheader", "parse", "header", "index"]
     a = df.select(X.normalize_symptom(F.lit("Error 17 in /srv/x/y.py at 2025-01-02T03:04:05Z 'abc'")).alias("x"), X.normalize_symptom(F.lit("Error 9 in /srv/z.py at 2024-11-12T13:14:15Z 'def'")).alias("y")).first()
     assert a.x == a.y and "<path>" in a.x and "<ts>" in a.x and "<q>" in a.x
+    cases = {
+        "2026-11-14T08:12:03Z ERROR pid 48213 at /Users/joy/app/db.py:120 conn 0xDEADBEEF failed": "<ts> ERROR pid <n> at <path>:<n> conn <hex> failed",
+        "ModuleNotFoundError: No module named 'requests'": "ModuleNotFoundError: No module named <q>",
+        "reason 'SERVICE_DISABLED' in \"a b\"": "reason SERVICE_DISABLED in <q>",
+        "`database is locked` and «x»": "database is locked and <q>",
+        "commit 117af85 of 1765148502000 and 1765148502, 123456789012345": "commit <hex> of <ts> and <ts>, <n>",
+        "id 550e8400-e29b-41d4-a716-446655440000   end": "id <hex> end",
+        "": "",
+    }
+    d = spark.createDataFrame([(k,) for k in cases] + [(None,)], "e string")
+    assert {r.e: r.n for r in d.select("e", X.normalize_symptom("e").alias("n")).collect()} == {**cases, None: ""}
 
 
 @pytest.mark.parametrize(
@@ -377,10 +384,12 @@ def test_scan_counts_lines_and_validates(spark, rows):
     out = scanning.redact(df, "body").collect()
     assert out[0].body.count("[EMAIL_") == 3 and "hunter2" not in out[0].body and out[1].body is None
     assert scanning.redact_text("a@b.example and a@b.example") == "[EMAIL_1] and [EMAIL_1]"
+    for long in ("password = '" + "k7" * 4000 + "' end", "api_key=" + "Zq9" * 2000 + " end"):
+        assert "k7" not in scanning.redact_text(long) and "Zq9" not in scanning.redact_text(long) and scanning.redact_text(long).endswith(" end")
     assert scanning.pseudonymize("x", b"k") == scanning.pseudonymize("x", b"k") != scanning.pseudonymize("x", b"l")
 
 
-@pytest.mark.parametrize(("value", "ok"), [("4111111111111111", True), ("4111111111111112", False), ("1111111111111117", False), ("4444444444444444", False)])
+@pytest.mark.parametrize(("value", "ok"), [("4111111111111111", True), ("4111111111111112", False), ("1111111111111117", False), ("4444444444444444", False), ("4111 1111 1111 1111", True), ("378282246310005", True)])
 def test_cards(value, ok):
     assert scanning.card_ok(value) is ok
 
@@ -404,11 +413,12 @@ def test_finding_store_and_egress(spark, rows):
 
 @pytest.mark.parametrize(
     ("stored", "want", "how"),
-    [("/users/{id}", "/users/42", "exact"), ("/users/{id}", "/users/{uid}", "exact"), ("/users/{id}", "/items/42", None), ("/files/{p:path}", "/files/a/b/c", "exact"), ("/api/v1/users/{id}", "/users/7", "suffix"), ("/r/{id}.pdf", "/r/9.pdf", "exact"), ("/users", "/us*", "glob"), ("/", "/", "exact"), ("/{x}", "/7", None)],
+    [("/users/{id}", "/users/42", "exact"), ("/users/{id}", "/users/{uid}", "exact"), ("/users/{id}", "/items/42", None), ("/files/{p:path}", "/files/a/b/c", "exact"), ("/api/v1/users/{id}", "/users/7", "suffix"), ("/r/{id}.pdf", "/r/9.pdf", "exact"), ("/users", "/us*", "glob"), ("/", "/", "exact"), ("/{x}", "/7", None), ("/a/{p:path}/end", "/a/b/c/end", "exact"), ("/a/{p:path}", "/a", None), ("/v.{n}/x", "/v.7/x", "exact"), ("/a+b/{id}", "/a+b/1", "exact"), ("/x/{a}/{b}", "/x/{c}/{d}", "exact"), ("/users/{id}", "/[u]sers/*", "glob")],
 )
-def test_path_matching(stored, want, how):
-    got = endpoints.match_path(stored, want)
-    assert (got[0] if got else None) == how
+def test_path_matching(spark, stored, want, how):
+    e = spark.createDataFrame([("e", stored, "GET")], "id string, full_path string, method string")
+    q = spark.createDataFrame([("q", want, None)], "query string, path string, method string")
+    assert [r.how for r in endpoints.find(e, q).collect()] == ([how] if how else [])
 
 
 def test_router_mounts_compose(spark, rows):
@@ -455,16 +465,6 @@ def test_shared_types_and_directories(spark, rows):
     assert rows(insight.top_directories(f), "directory", "n_files") == [("app/x0", 5), ("app/x1", 5)]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), min_size=1, max_size=15))
-def test_louvain_is_a_partition(pairs):
-    e = {}
-    for a, b in pairs:
-        e[(min(a, b), max(a, b))] = e.get((min(a, b), max(a, b)), 0) + 1.0
-    lab = communities.louvain(6, e)
-    assert len(lab) == 6 and lab[0] == 0 and set(lab) == set(range(len(set(lab))))
-
-
 def test_reports_lookup_and_stores(spark, rows):
     from graphquilt.operators import report
     from graphquilt.session import cleanup, materialise
@@ -484,11 +484,11 @@ def test_reports_lookup_and_stores(spark, rows):
     assert cleanup(spark) >= 1 and cleanup(spark) == 0
 
 
-def test_communities_fold_and_settle_without_the_driver(spark, monkeypatch):
+def test_communities_fold_and_settle(spark):
     n, edges = 48, {(i, i + 1): 1.0 for i in range(47)}
-    best = _modularity(communities.louvain(n, edges), edges)
+    # a path parts best into pieces of about the root of twice its length; every cut into equal pieces is a lower bound
+    best = max(_modularity([i // k for i in range(n)], edges) for k in range(2, 25))
     links = spark.createDataFrame([(f"f{i:02d}", f"f{j:02d}", w) for (i, j), w in edges.items()], "a string, b string, weight double")
-    monkeypatch.setattr(communities, "louvain", None)
     m = {r.node: r.community for r in communities.detect(links).collect()}
     lab = [m[f"f{i:02d}"] for i in range(n)]
     q = _modularity(lab, edges)
@@ -501,10 +501,10 @@ def test_communities_fold_and_settle_without_the_driver(spark, monkeypatch):
 def test_call_stats_count_calls_without_a_latency(spark, rows, tmp_path):
     from graphquilt.plans import catalogue
 
-    log = [("a", 1, 10.0, 5), ("a", 0, float("nan"), 7), ("a", 1, None, None), ("b", None, float("nan"), 1)]
-    spark.createDataFrame(log, "tool string, success long, latency_ms double, result_size long").write.parquet(f"{tmp_path}/call_log.parquet")
+    log = [(1, "a", 1, 10.0, 5), (2, "a", 0, float("nan"), 7), (2, "a", 0, float("nan"), 7), (3, "a", 1, None, None), (4, "b", None, float("nan"), 1)]
+    spark.createDataFrame(log, "id long, tool string, success long, latency_ms double, result_size long").write.parquet(f"{tmp_path}/call_log.parquet")
     got = catalogue.QUERIES["q_call_stats"](spark, str(tmp_path))
-    assert rows(got, "tool", "calls", "errors", "avg_ms", "min_ms", "max_ms", "bytes") == [("a", 3, 1, 10.0, 10.0, 10.0, 12.0), ("b", 1, 1, None, None, None, 1.0)]
+    assert rows(got, "tool", "calls", "errors", "avg_ms", "min_ms", "max_ms", "bytes") == [("a", 3, 1, 10.0, 10.0, 10.0, 12.0), ("b", 1, 0, None, None, None, 1.0)]
 
 
 def test_fetched_search_keeps_every_text_of_a_chunk(spark, tmp_path):
