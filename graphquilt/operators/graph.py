@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .skew import hot_keys, salted_join, salted_semi_join
 
 # Names that something outside the code calls.
 ENTRY_NAMES = ("__init__", "__main__", "main", "app", "setup", "teardown", "conftest", "pytest_configure", "pytest_collection_modifyitems", "lifespan", "startup", "shutdown")
@@ -24,9 +25,23 @@ def pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def live(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """Edges both ends of which exist."""
+    """Edges both ends of which exist; an end that many edges share is spread."""
     k = nodes.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    return edges.join(k, F.col("src") == F.col("_k"), "left_semi").join(k, F.col("dst") == F.col("_k"), "left_semi")
+    e = salted_semi_join(edges, k.withColumnRenamed("_k", "dst"), "dst", F.col("src"))
+    return salted_semi_join(e, k.withColumnRenamed("_k", "src"), "src", F.col("dst")).select(*edges.columns)
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame, key: str, value: str, src: str, dst: str) -> DataFrame:
+    """``edges`` with a value of either end's node as columns ``src`` and ``dst``, edges without both nodes dropped; shared ends are spread."""
+    n = nodes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+    e = salted_join(edges, n.select(F.col(key).alias("dst"), F.col(value).alias("_d")), "dst", F.col("src"))
+    e = salted_join(e, n.select(F.col(key).alias("src"), F.col(value).alias("_s")), "src", F.col("dst"))
+    return e.select(*edges.columns, F.col("_s").alias(src), F.col("_d").alias(dst))
+
+
+def hop(front: DataFrame, edges: DataFrame, at: str, hot: DataFrame) -> DataFrame:
+    """Edges (``src``, ...) that leave the rows of ``front`` at its column ``at``; the hot ends of the edges, found once for a walk, are spread."""
+    return salted_join(edges, front.withColumnRenamed(at, "src"), "src", F.col("dst"), hot=hot)
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
@@ -34,10 +49,13 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
 
     A start is in its own result only when it lies on a cycle short enough.
     """
-    front = starts.select(F.col(starts.columns[0]).alias("start")).distinct().join(edges, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1))
+    edges = cut(edges)
+    hot = cut(hot_keys(edges, "src"))
+    first = starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("node", F.col("start"))
+    front = hop(first, edges, "node", hot).select("start", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1))
     seen = front
     for depth in range(2, max_depth + 1):
-        step = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        step = hop(front.select("start", "node"), edges, "node", hot).select("start", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
@@ -52,9 +70,10 @@ def reverse(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """Least hops from any start: ``node, depth, origin`` (origin: the least start among the nearest); starts have 0."""
     seen = starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)).withColumn("origin", F.col("node"))
-    front = seen
+    edges = cut(edges)
+    front, hot = seen, cut(hot_keys(edges, "src"))
     for depth in range(1, max_depth + 1):
-        step = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("origin").alias("origin"))
+        step = hop(front.select("node", "origin"), edges, "node", hot).groupBy(F.col("dst").alias("node")).agg(F.min("origin").alias("origin"))
         front = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "origin"))
         if front.isEmpty():
             break
@@ -66,12 +85,13 @@ def path_between(edges: DataFrame, src: str, dst: str, max_depth: int = 12) -> D
     """The shortest path as one row (``path`` array, ``hops``), least nodes on ties; no row when there is none."""
     spark = edges.sparkSession
     front = spark.createDataFrame([(src, [src])], "node string, path array<string>")
-    seen = front.select("node")
+    edges = cut(edges)
+    seen, hot = front.select("node"), cut(hot_keys(edges, "src"))
     for hops in range(max_depth + 1):
         hit = front.where(F.col("node") == dst)
         if not hit.isEmpty():
             return hit.select("path", F.lit(hops).alias("hops"))
-        step = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("path")).alias("path"))
+        step = hop(front, edges, "node", hot).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("path")).alias("path"))
         front = cut(step.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
         if front.isEmpty():
             break
@@ -108,18 +128,19 @@ def impact_of_files(links: DataFrame, starts: DataFrame, max_depth: int = 3) ->
     s = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
     front = s.select("start", F.col("start").alias("file"))
     seen = front.withColumn("depth", F.lit(0)).withColumn("via", F.lit("")).withColumn("stop", F.lit(False))
-    e = links.select(F.col("dst").alias("file"), F.col("src").alias("by"), "kind", "local")
+    e = cut(links.select(F.col("dst").alias("file"), F.col("src").alias("by"), "kind", "local"))
+    hot = cut(hot_keys(e, "file"))
     for depth in range(1, max_depth + 1):
-        hop, nxt = front, None
+        now, nxt = front, None
         while True:
-            step = hop.join(e, "file").groupBy("start", F.col("by").alias("file")).agg(F.min(_rank(F.col("kind"))).alias("r"), F.min(F.col("local")).alias("stop"))
+            step = salted_join(e, now.select("start", "file"), "file", F.col("by"), hot=hot).groupBy("start", F.col("by").alias("file")).agg(F.min(_rank(F.col("kind"))).alias("r"), F.min(F.col("local")).alias("stop"))
             step = step.join(seen.select("start", "file"), ["start", "file"], "left_anti")
             step = cut(step.select("start", "file", F.lit(depth).alias("depth"), F.element_at(F.array(F.lit("reexport"), F.lit("import"), F.lit("dynamic")), F.col("r") + 1).alias("via"), "stop"))
             if step.isEmpty():
                 break
             seen = seen.unionByName(step)
             nxt = step if nxt is None else nxt.unionByName(step)
-            hop = step.where("via = 'reexport'").select("start", "file")
+            now = step.where("via = 'reexport'").select("start", "file")
         if nxt is None:
             break
         front = nxt.where("not stop and via <> 'reexport'").select("start", "file")
@@ -132,9 +153,10 @@ def callers_of_files(calls: DataFrame, functions: DataFrame, files: DataFrame, m
     starts = f.join(files.select(F.col(files.columns[0]).alias("file_path")).distinct(), "file_path").select("id", F.col("file_path").alias("start"))
     e = live(pairs(calls, "from_id", "to_id"), functions, "id")
     seen = starts.select("start", F.col("id").alias("node")).withColumn("depth", F.lit(0))
-    front = seen.select("start", "node")
+    front, back = seen.select("start", "node"), cut(reverse(e))
+    hot = cut(hot_keys(back, "src"))
     for depth in range(1, max_depth + 1):
-        step = front.join(e, F.col("node") == F.col("dst")).select("start", F.col("src").alias("node")).distinct()
+        step = hop(front, back, "node", hot).select("start", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if front.isEmpty():
             break
@@ -269,14 +291,13 @@ def file_graph(files: DataFrame, imports: DataFrame, functions: DataFrame, calls
     def kept(df: DataFrame) -> DataFrame:
         return df.where("x <> y").join(keep, F.col("x") == F.col("_k"), "left_semi").join(keep, F.col("y") == F.col("_k"), "left_semi")
 
-    i = kept(imports.select(F.col("from_path").alias("x"), F.col("to_path").alias("y")).where("x is not null and y is not null"))
-    f = functions.select("id", "file_path")
-    c = calls.select("from_id", "to_id").where("from_id is not null and to_id is not null")
-    c = c.join(f.select(F.col("id").alias("from_id"), F.col("file_path").alias("x")), "from_id").join(f.select(F.col("id").alias("to_id"), F.col("file_path").alias("y")), "to_id")
-    c = kept(c.select("x", "y"))
+    # edges are counted by their ends before anything is joined, so one pair of ends is one row
+    i = kept(imports.groupBy(F.col("from_path").alias("x"), F.col("to_path").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("x is not null and y is not null"))
+    c = calls.where("from_id is not null and to_id is not null").groupBy(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    c = kept(with_ends(c, functions, "id", "file_path", "x", "y").groupBy("x", "y").agg(F.sum("n").alias("n")))
 
     def paired(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias(name))
+        return df.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").alias(name))
 
     g = paired(i, "n_imports").join(paired(c, "n_calls"), ["a", "b"], "full_outer").na.fill(0, ["n_imports", "n_calls"])
     w = F.when(F.col("n_imports") > 0, 1.0).otherwise(0.0) + F.when(F.col("n_calls") > 0, 0.5 * F.log2(F.col("n_calls") + 1)).otherwise(0.0)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
-from .graph import importers, live, pairs
+from .graph import importers, live, pairs, with_ends
+from .skew import salted_left_join
 
 
 def rounded(x: Column, places: int) -> Column:
@@ -116,14 +117,13 @@ def layer_matrix(files: DataFrame, imports: DataFrame) -> DataFrame:
     """Distinct import links from layer to layer."""
     lay = files.select("path", F.coalesce("layer", F.lit("other")).alias("layer"))
     e = pairs(imports, "from_path", "to_path")
-    return e.join(lay.withColumnsRenamed({"path": "src", "layer": "src_layer"}), "src").join(lay.withColumnsRenamed({"path": "dst", "layer": "dst_layer"}), "dst").groupBy("src_layer", "dst_layer").agg(F.count(F.lit(1)).alias("n_links"))
+    return with_ends(e, lay, "path", "layer", "src_layer", "dst_layer").groupBy("src_layer", "dst_layer").agg(F.count(F.lit(1)).alias("n_links"))
 
 
 def calls_without_import(functions: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
     """Files that call into files they do not import: ``src, dst, n_calls``."""
-    e = live(pairs(calls, "from_id", "to_id"), functions, "id")
-    fp = functions.select("id", "file_path")
-    c = e.withColumnsRenamed({"src": "a", "dst": "b"}).join(fp.withColumnsRenamed({"id": "a", "file_path": "src"}), "a").join(fp.withColumnsRenamed({"id": "b", "file_path": "dst"}), "b").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_calls"))
+    e = with_ends(pairs(calls, "from_id", "to_id"), functions, "id", "file_path", "a", "b")
+    c = e.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("n_calls"))
     return c.join(imports.select(F.col("from_path").alias("src"), F.col("to_path").alias("dst")).distinct(), ["src", "dst"], "left_anti")
 
 
@@ -140,9 +140,7 @@ def file_summary(files: DataFrame, functions: DataFrame, imports: DataFrame, cal
     e = live(pairs(imports, "from_path", "to_path"), files, "path")
     out = e.groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("n_imports"))
     inc = e.groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("n_importers"))
-    c = live(pairs(calls, "from_id", "to_id"), functions, "id")
-    fp = functions.select("id", "file_path")
-    c = c.join(fp.withColumnsRenamed({"id": "src", "file_path": "a"}), "src").join(fp.withColumnsRenamed({"id": "dst", "file_path": "b"}), "dst").where("a <> b")
+    c = with_ends(pairs(calls, "from_id", "to_id"), functions, "id", "file_path", "a", "b").where("a <> b")
     co = c.groupBy(F.col("a").alias("path")).agg(F.count(F.lit(1)).alias("n_calls_out"))
     ci = c.groupBy(F.col("b").alias("path")).agg(F.count(F.lit(1)).alias("n_calls_in"))
     r = files.select("path", "lang", "role", "layer")
@@ -153,29 +151,26 @@ def file_summary(files: DataFrame, functions: DataFrame, imports: DataFrame, cal
 
 def callers(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """Every called function with its distinct callers and calling files."""
-    e = live(pairs(calls, "from_id", "to_id"), functions, "id")
-    fp = functions.select(F.col("id").alias("src"), F.col("file_path").alias("src_file"))
-    g = e.join(fp, "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_callers"), F.countDistinct("src_file").alias("n_files"))
+    e = with_ends(pairs(calls, "from_id", "to_id"), functions, "id", "file_path", "src_file", "dst_file")
+    g = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_callers"), F.countDistinct("src_file").alias("n_files"))
     return g.join(functions.select("id", "name", "file_path"), "id")
 
 
 def resolution(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """How sure each call edge is: ``resolved`` when only one function has the callee's name, ``name`` when the caller's file imports nothing of it but few do, ``ambiguous`` otherwise."""
-    e = live(pairs(calls, "from_id", "to_id"), functions, "id")
     n = functions.groupBy("name").agg(F.count(F.lit(1)).alias("same_name"))
-    d = functions.select(F.col("id").alias("dst"), "name", F.col("file_path").alias("dst_file")).join(n, "name")
-    s = functions.select(F.col("id").alias("src"), F.col("file_path").alias("src_file"))
+    d = functions.select("id", F.struct("name", "file_path").alias("_f"))
+    e = with_ends(pairs(calls, "from_id", "to_id"), d, "id", "_f", "s", "d").select("src", "dst", F.col("s.file_path").alias("src_file"), F.col("d.file_path").alias("dst_file"), F.col("d.name").alias("name"))
+    e = salted_left_join(e, n, "name", F.col("src"))
     lab = F.when((F.col("same_name") == 1) | (F.col("src_file") == F.col("dst_file")), "resolved").when(F.col("same_name") <= 3, "name").otherwise("ambiguous")
-    return e.join(d, "dst").join(s, "src").select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "same_name", lab.alias("resolution"))
+    return e.where("name is not null").select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "same_name", lab.alias("resolution"))
 
 
 def tests_of(files: DataFrame, imports: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
     """Test files of every file: those importing it or calling into it: ``path, test, how``."""
     tests = files.where("role = 'test'").select(F.col("path").alias("test"))
     imp = importers(imports).select(F.col("dst").alias("path"), F.col("src").alias("test")).join(tests, "test", "left_semi").withColumn("how", F.lit("import"))
-    e = live(pairs(calls, "from_id", "to_id"), functions, "id")
-    fp = functions.select("id", "file_path")
-    c = e.join(fp.withColumnsRenamed({"id": "src", "file_path": "test"}), "src").join(fp.withColumnsRenamed({"id": "dst", "file_path": "path"}), "dst").select("path", "test").distinct().join(tests, "test", "left_semi").where("path <> test").withColumn("how", F.lit("call"))
+    c = with_ends(pairs(calls, "from_id", "to_id"), functions, "id", "file_path", "test", "path").select("path", "test").distinct().join(tests, "test", "left_semi").where("path <> test").withColumn("how", F.lit("call"))
     return imp.select("path", "test", "how").unionByName(c).groupBy("path", "test").agg(F.max("how").alias("how"))
 
 
