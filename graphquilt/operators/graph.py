@@ -25,17 +25,17 @@ def pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def live(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """Edges both ends of which exist; an end that many edges share is spread."""
+    """Edges both ends of which exist; a target that many edges share is spread (sources are left to adaptive execution, they share less)."""
     k = nodes.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    e = salted_semi_join(edges, k.withColumnRenamed("_k", "dst"), "dst", F.col("src"))
-    return salted_semi_join(e, k.withColumnRenamed("_k", "src"), "src", F.col("dst")).select(*edges.columns)
+    e = edges.join(k, F.col("src") == F.col("_k"), "left_semi")
+    return salted_semi_join(e, k.withColumnRenamed("_k", "dst"), "dst", F.col("src"), hot=hot_keys(edges, "dst")).select(*edges.columns)
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame, key: str, value: str, src: str, dst: str) -> DataFrame:
-    """``edges`` with a value of either end's node as columns ``src`` and ``dst``, edges without both nodes dropped; shared ends are spread."""
+    """``edges`` with a value of either end's node as columns ``src`` and ``dst``, edges without both nodes dropped; shared targets are spread."""
     n = nodes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
     e = salted_join(edges, n.select(F.col(key).alias("dst"), F.col(value).alias("_d")), "dst", F.col("src"))
-    e = salted_join(e, n.select(F.col(key).alias("src"), F.col(value).alias("_s")), "src", F.col("dst"))
+    e = e.join(n.select(F.col(key).alias("src"), F.col(value).alias("_s")), "src")
     return e.select(*edges.columns, F.col("_s").alias(src), F.col("_d").alias(dst))
 
 

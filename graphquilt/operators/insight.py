@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 from .graph import importers, live, pairs, with_ends
-from .skew import salted_left_join
 
 
 def rounded(x: Column, places: int) -> Column:
@@ -161,9 +160,9 @@ def resolution(functions: DataFrame, calls: DataFrame) -> DataFrame:
     n = functions.groupBy("name").agg(F.count(F.lit(1)).alias("same_name"))
     d = functions.select("id", F.struct("name", "file_path").alias("_f"))
     e = with_ends(pairs(calls, "from_id", "to_id"), d, "id", "_f", "s", "d").select("src", "dst", F.col("s.file_path").alias("src_file"), F.col("d.file_path").alias("dst_file"), F.col("d.name").alias("name"))
-    e = salted_left_join(e, n, "name", F.col("src"))
+    e = e.join(n, "name")
     lab = F.when((F.col("same_name") == 1) | (F.col("src_file") == F.col("dst_file")), "resolved").when(F.col("same_name") <= 3, "name").otherwise("ambiguous")
-    return e.where("name is not null").select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "same_name", lab.alias("resolution"))
+    return e.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), "same_name", lab.alias("resolution"))
 
 
 def tests_of(files: DataFrame, imports: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
