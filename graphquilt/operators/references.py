@@ -53,7 +53,7 @@ def resolve(edge_calls: DataFrame, edge_imports: DataFrame, function_node: DataF
     for edges, name, nodes, node_table, key in ((edge_calls, "edge_calls", function_node, "function_node", "id"), (edge_imports, "edge_imports", file_node, "file_node", "path")):
         refs = references(edges, name).drop("node_table")
         parents = parent_intervals(nodes, key, purge_log, node_table).drop("node_table")
-        out.append(salted_left_join(refs, parents, "ref_key", F.concat_ws("\x00", "from_key", "to_key")))
+        out.append(salted_left_join(refs, parents, "ref_key", F.concat_ws("\x00", "from_key", "to_key"), merge=True))
     purged = F.col("last_purged").isNotNull() & (F.col("last_indexed").isNull() | (F.col("last_purged") > F.col("last_indexed")))
     status = F.when(F.col("known").isNull(), "missing").when(purged, "deleted").when(F.col("first_indexed") > F.col("first_seen"), "late").otherwise("live")
     return out[0].unionByName(out[1]).withColumn("status", status)

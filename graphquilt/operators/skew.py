@@ -19,20 +19,21 @@ def hot_keys(df: DataFrame, key: str, share: int = SHARE) -> DataFrame:
     return counts.where(F.col("_n") * F.lit(share) > counts.agg(F.sum("_n")).scalar()).select(key)
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = SALTS, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = SALTS, how: str = "left", hot: DataFrame | None = None, merge: bool = False) -> DataFrame:
     """``left`` joined with ``right`` (unique by ``key``), hot keys of ``left`` spread by ``spread``.
 
     Only the fewer than ``SHARE`` hot keys are broadcast (a proven bound) and
     only their rows in ``right`` are replicated ``salts`` times.  Null keys match
     nothing and are spread as well.  ``right`` must not share other column names.
-    ``hot`` passes hot keys that are known already; the join itself is left to
-    adaptive execution, which takes a small ``right`` by broadcast.
+    ``hot`` passes hot keys that are known already.  ``merge`` asks for both sides
+    sorted and merged; else the join is left to adaptive execution, which takes a
+    small ``right`` by broadcast.
     """
     keys = hot_keys(left, key) if hot is None else hot.select(F.col(hot.columns[0]).alias(key))
     marked = F.broadcast(keys.withColumn("_hot", F.lit(1)))
     lo = left.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     ro = right.join(marked, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return lo.join(ro, [key, "_salt"], how).drop("_salt")
+    return lo.join(ro.hint("merge") if merge else ro, [key, "_salt"], how).drop("_salt")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot: DataFrame | None = None) -> DataFrame:

@@ -292,16 +292,26 @@ def _files(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "file_node").select("path", "git_blob_sha").join(table(s, d, "source_blob").select("git_blob_sha", "body"), "git_blob_sha").select("path", "body")
 
 
-# of one-line bundles the graph has the first function only, and the SQL has functions of several lines only
-_q("q_parse_functions", "select id, name, file_path, start_line, end_line from function_node where start_line < end_line")(
-    lambda s, d: code.functions(code.definitions(_files(s, d))).select("id", "name", "file_path", "start_line", "end_line")
-)
-_q("q_parse_definitions")(lambda s, d: code.definitions(_files(s, d)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")))
+def _defs(s: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """Definitions of all files, or of those a condition names; each blob is parsed once."""
+    return code.definitions(table(s, d, "file_node").where(where).select("path", "git_blob_sha"), table(s, d, "source_blob"))
+
+
+# The graph names the first function of a one-line bundle only.  The SQL reads the others of such a line from the text itself.
+_q(
+    "q_parse_functions",
+    r"""with l as (select f.path, unnest(string_split(b.body, 'function')) as t, unnest(generate_series(1, len(string_split(b.body, 'function')))) as i from file_node f join source_blob b using (git_blob_sha) where regexp_matches(f.path, '\.(js|ts)$')),
+n as (select *, sum(length(t) - length(replace(t, chr(10), ''))) over (partition by path order by i rows between unbounded preceding and 1 preceding) + 1 as line, regexp_extract(t, '^\s+[A-Za-z_$][\w$]*\s*\([^)]*\)\s*\{[^{}]*\}') as m from l),
+m as (select path, line, regexp_extract(m, '^\s+([A-Za-z_$][\w$]*)', 1) as name, length(m) - length(replace(m, chr(10), '')) as more from n where i > 1 and m <> '')
+select id, name, file_path, start_line, end_line from function_node where start_line < end_line
+union select path || '::' || name, name, path, line::bigint, (line + more)::bigint from m""",
+)(lambda s, d: code.functions(_defs(s, d)).select("id", "name", "file_path", "start_line", "end_line"))
+_q("q_parse_definitions")(lambda s, d: _defs(s, d).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")))
 _q("q_sql_tables", "select f.path, regexp_extract(b.body, 'create table (\\w+)', 1) as name from file_node f join source_blob b using (git_blob_sha) where f.path like '%.sql' and regexp_matches(b.body, 'create table \\w+')")(
-    lambda s, d: code.definitions(_files(s, d).where("path like '%.sql'")).where("kind = 'sql_table'").select("path", "name")
+    lambda s, d: _defs(s, d, "path like '%.sql'").where("kind = 'sql_table'").select("path", "name")
 )
 _q("q_tf_variables", "select f.path, regexp_extract(b.body, 'variable \"(\\w+)\"', 1) as name from file_node f join source_blob b using (git_blob_sha) where f.path like '%.tf' and regexp_matches(b.body, 'variable \"\\w+\"')")(
-    lambda s, d: code.definitions(_files(s, d).where("path like '%.tf'")).where("kind = 'tf_variable'").select("path", "name")
+    lambda s, d: _defs(s, d, "path like '%.tf'").where("kind = 'tf_variable'").select("path", "name")
 )
 _q("q_config_sections")(lambda s, d: S.config_sections(_files(s, d)))
 _q("q_html_text")(lambda s, d: S.pages(table(s, d, "documents").where("source = 'fetched_page'").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("html"))))

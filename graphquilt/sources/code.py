@@ -14,11 +14,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable
+from ..session import importable, spread
 
 _DEF = T.StructType(
     [
@@ -216,7 +216,7 @@ def _braced(text: str, defs: re.Pattern, owners: re.Pattern, imports: re.Pattern
     return out + _calls(code, inside, starts)
 
 
-_JS_DEF = re.compile(r"(?m)^(?P<head>[ \t]*)(?:export\s+)?(?:default\s+)?(?:(?:async\s+)?function\s*\*?\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>{]*>)?\s*\([^)]*\)[^{;]*\{)")
+_JS_DEF = re.compile(r"(?m)(?:^|(?<=[;{}(!,&|=:?]))(?P<head>[ \t]*)(?:export\s+)?(?:default\s+)?(?:(?:async\s+)?function\s*\*?\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>{]*>)?\s*\([^)]*\)[^{;]*\{)")
 _JS_METHOD = re.compile(r"(?m)^(?P<head>[ \t]+)(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?P<name>[A-Za-z_$#][\w$]*)\s*(?:<[^>{]*>)?\([^)]*\)\s*(?::[^{;=]+)?\{")
 _JS_ARROW = re.compile(r"(?m)^(?P<head>[ \t]*)(?:export\s+)?(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^={]+)?=>\s*\{")
 _JS_CLASS = re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[A-Za-z_$][\w$]*)(?:\s*<[^>{]*>)?(?P<bases>[^{]*)\{")
@@ -243,7 +243,8 @@ def parse_vue(text: str) -> list[Row]:
     return parse_script(kept)
 
 
-_JAVA_DEF = re.compile(r"(?m)^(?P<head>[ \t]+)(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|internal|virtual|override|async|sealed|partial)\s+)*(?:<[^>]+>\s*)?[\w.$<>\[\], ?]+?\s+(?P<name>[A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w., ]+)?\s*\{")
+# what stands before the name is read once, up to the bracket, and given back by words only
+_JAVA_DEF = re.compile(r"(?m)^(?P<head>[ \t]+)(?!(?:return|new|throw|else|case|assert|yield)\b)[\w@<][^\n(){};=]*[ \t>\]](?P<name>[A-Za-z_]\w*)\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:throws\s+[\w., ]+)?\s*\{")
 _JAVA_CLASS = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed|partial|internal)\s+)*(?:class|interface|enum|record|struct)\s+(?P<name>[A-Za-z_]\w*)(?:\s*<[^>{]*>)?(?:\s*\([^)]*\))?(?P<bases>[^{;]*)\{")
 
 
@@ -396,24 +397,44 @@ def parse(text: str | None, lang: str | None) -> list[Row]:
     return [*_PARSERS[lang](text), *parse_routes(text, lang)]
 
 
+def _language(path: Column) -> Column:
+    """The language of a path by its suffix, null for others."""
+    suffix = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(LANGUAGES.items()) for x in kv]), suffix)
+
+
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f.name for f in _DEF]
     for pdf in batches:
         rows: list[tuple] = []
-        for path, body in zip(pdf.path, pdf.body, strict=True):
-            dot = path.rfind(".")
-            lang = LANGUAGES.get(path[dot:].lower()) if dot >= 0 else None
-            rows += [(path, *r) for r in parse(body, lang)]
+        for key, lang, body in zip(pdf.path, pdf.lang, pdf.body, strict=True):
+            rows += [(key, *r) for r in parse(body, lang)]
             if len(rows) > 20_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
         yield pd.DataFrame(rows, columns=names)
 
 
-def definitions(files: DataFrame) -> DataFrame:
-    """``path, kind, name, qualified, start_line, end_line, detail`` of every definition, import, call and route of ``files`` (path, body)."""
+def definitions(files: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """``path, kind, name, qualified, start_line, end_line, detail`` of every definition, import, call and route.
+
+    ``files`` has ``path, body``, or ``path, git_blob_sha`` with the contents in
+    ``blobs`` (``git_blob_sha, body``).  Each content is parsed once per language,
+    in parts spread over all cores, and then given to all its paths.
+    """
     importable(files.sparkSession)
-    return files.where("path is not null and body is not null").select("path", "body").mapInPandas(_run, _DEF)
+    f = files.where(F.col("path").isNotNull()).withColumn("lang", _language(F.col("path"))).where(F.col("lang").isin(*_PARSERS))
+    if blobs is None:
+        # the digest stands for the text: paths meet the parsed rows without carrying it
+        f = f.where(F.col("body").isNotNull()).select("path", "lang", F.md5("body").alias("key"), "body")
+        texts = f.groupBy("key", "lang").agg(F.first("body").alias("body"))
+    else:
+        f = f.where(F.col("git_blob_sha").isNotNull()).select("path", "lang", F.col("git_blob_sha").alias("key"))
+        b = blobs.where(F.col("git_blob_sha").isNotNull() & F.col("body").isNotNull()).groupBy(F.col("git_blob_sha").alias("key")).agg(F.first("body").alias("body"))
+        texts = f.select("key", "lang").distinct().join(b, "key")
+    parsed = spread(texts.select(F.concat_ws("\x00", "key", "lang").alias("path"), "lang", "body")).mapInPandas(_run, _DEF).withColumnRenamed("path", "_of")
+    at = f.select("path", F.concat_ws("\x00", "key", "lang").alias("_of")).distinct()
+    return parsed.join(at, "_of").select(*[c.name for c in _DEF])
 
 
 def functions(defs: DataFrame) -> DataFrame:
