@@ -282,7 +282,9 @@ def usefulness(files: DataFrame, functions: DataFrame, imports: DataFrame) -> Da
 
 def fingerprint(files: DataFrame, edges: list[DataFrame]) -> DataFrame:
     """A fingerprint of the index that any change of a file row or an edge count alters, independent of row order."""
-    f = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "git_blob_sha", "mtime").cast("decimal(38,0)")).alias("h"))
+    row = F.md5(F.concat_ws("|", F.coalesce("path", F.lit("")), F.coalesce("git_blob_sha", F.lit("")), F.coalesce(F.floor(F.col("mtime") * 1000).cast("long"), F.lit(0)).cast("string")))
+    part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")
+    f = files.agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("h"))
     parts = [F.col("n").cast("string"), F.col("h").cast("string")]
     for i, e in enumerate(edges):
         f = f.withColumn(f"e{i}", e.agg(F.count(F.lit(1))).scalar())

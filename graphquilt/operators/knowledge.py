@@ -206,6 +206,15 @@ def promote(notes: DataFrame, target: DataFrame) -> DataFrame:
     return notes.withColumn("_k", key).dropDuplicates(["_k"]).join(have, "_k", "left_anti").drop("_k")
 
 
+def entry_list(entries: DataFrame, limit: int | None = None, **where: str) -> DataFrame:
+    """Notes or plans of given field values, newest first, then by path."""
+    for c, v in where.items():
+        e = F.coalesce(F.col(c), F.lit(""))
+        entries = entries.where(e != "" if v == "*" else e == v)
+    out = entries.orderBy(F.desc("mtime"), "path")
+    return out.limit(limit) if limit else out
+
+
 def dead_ends(notes: DataFrame, standing: DataFrame, limit: int = 20) -> DataFrame:
     """Notes that led nowhere, the worst score first."""
     s = standing.where(F.col("status").isin("dead_end", "corrected")).select(F.col("entry_id").alias("id"), "status", "score", "last_ts", "last_note")

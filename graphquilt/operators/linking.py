@@ -34,22 +34,33 @@ def call_edges(sites: DataFrame, functions: DataFrame, imports: DataFrame, has_m
     Code of one language family only; product code never links into tests; a bare
     or attribute call that no import explains links only to a name carried by at
     most ``MOST_TARGETS`` functions, and never to a common method.
+
+    Every rule is an equi-join of its own on all that it asks for, and names are
+    counted before they are joined, so a name that thousands of functions carry is
+    never paired with all sites that use it.
     """
-    f = functions.select(F.col("id").alias("to_id"), "name", F.col("file_path").alias("to_file")).withColumn("fam", family("to_file")).withColumn("to_test", is_test("to_file"))
+    f = functions.select(F.col("id").alias("to_id"), "name", F.col("file_path").alias("to_file")).distinct().withColumn("fam", family("to_file")).withColumn("to_test", is_test("to_file"))
     s = sites.drop("to_id").withColumn("fam", family("file_path")).withColumn("from_test", is_test("file_path"))
-    c = s.join(f, ["name", "fam"]).where("from_test or not to_test").where("from_id <> to_id")
-    n = f.groupBy("name", "fam").agg(F.count(F.lit(1)).alias("n_named"))
-    imp = imports.select(F.col("from_path").alias("file_path"), F.col("to_path").alias("to_file")).distinct().withColumn("imported", F.lit(True))
-    c = c.join(n, ["name", "fam"]).join(imp, ["file_path", "to_file"], "left")
-    to_class = F.regexp_extract(F.substring_index("to_id", "::", -1), r"^(.*)\.[^.]+$", 1)
-    same_class = (F.col("kind") == "self") & (F.col("file_path") == F.col("to_file")) & (to_class == F.col("ctx"))
-    loose = F.col("kind").isin("attr", "") & (F.col("n_named") <= MOST_TARGETS) & ~F.col("name").isin(*COMMON_METHODS)
-    rule = F.when(same_class, 0).when((F.col("kind") != "self") & (F.col("file_path") == F.col("to_file")), 1).when(F.col("imported"), 2).when(loose, 3)
-    c = c.withColumn("rule", rule).where("rule is not null").select("from_id", "name", "kind", "hint", "to_id", "rule")
+    keep = ["from_id", "name", "kind", "hint", "to_id", "rule"]
+
+    def linked(j: DataFrame, rule: int) -> DataFrame:
+        return j.where("(from_test or not to_test) and from_id <> to_id").withColumn("rule", F.lit(rule)).select(keep)
+
+    of_class = f.withColumn("ctx", F.regexp_extract(F.substring_index("to_id", "::", -1), r"^(.*)\.[^.]+$", 1)).withColumnRenamed("to_file", "file_path")
+    own_class = linked(s.where("kind = 'self'").join(of_class, ["name", "fam", "file_path", "ctx"]), 0)
+    own_file = linked(s.where("kind <> 'self'").join(f.withColumnRenamed("to_file", "file_path"), ["name", "fam", "file_path"]), 1)
+    imp = imports.select(F.col("from_path").alias("file_path"), F.col("to_path").alias("to_file")).where("to_file is not null and to_file <> ''").distinct()
+    # the functions an importing file can see: a row per import and function of the imported file
+    seen = imp.join(f, "to_file")
+    imported = linked(s.join(seen, ["file_path", "name", "fam"]), 2)
+    few = f.groupBy("name", "fam").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") <= MOST_TARGETS) & ~F.col("name").isin(*COMMON_METHODS)).select("name", "fam")
+    loose = linked(s.where(F.col("kind").isin("attr", "")).join(f.join(few, ["name", "fam"]), ["name", "fam"]), 3)
+    c = own_class.unionByName(own_file).unionByName(imported).unionByName(loose)
     if has_method is not None and inherits is not None:
         c = c.unionByName(_inherited(s, functions, has_method, inherits))
-    w = Window.partitionBy("from_id", "name", "kind", "hint")
-    return c.withColumn("_best", F.min("rule").over(w)).where("rule = _best").groupBy("from_id", "to_id").agg(F.min("rule").alias("rule"))
+    best = c.groupBy("from_id", "name", "kind", "hint").agg(F.min("rule").alias("_best")).withColumnsRenamed({x: f"_{x}" for x in ("from_id", "name", "kind", "hint")})
+    same = [c[x].eqNullSafe(best[f"_{x}"]) for x in ("from_id", "name", "kind", "hint")]
+    return c.join(best, [*same, c["rule"] == best["_best"]], "left_semi").groupBy("from_id", "to_id").agg(F.min("rule").alias("rule"))
 
 
 def ancestors(inherits: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
@@ -101,21 +112,23 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     tail = F.regexp_replace(F.regexp_replace("name", r"^\.+", ""), r"\.", "/")
     py_base = F.when(py_rel != "", F.concat_ws("/", up, F.when(tail != "", tail))).otherwise(tail)
     py = F.array(F.concat(py_base, F.lit(".py")), F.concat(py_base, F.lit("/__init__.py")), F.concat(py_base, F.lit("/"), "qualified", F.lit(".py")))
-    # ../ steps are taken out one folder at a time, bounded by the depth a module path may have
-    js_base = F.concat_ws("/", here, mod)
-    for _ in range(8):
-        js_base = F.regexp_replace(F.regexp_replace(js_base, r"/\.(?=/|$)", ""), r"(^|/)(?!\.\.)[^/]+/\.\.(?=/|$)", "")
-    js_root = F.when(mod.startswith("."), F.regexp_replace(js_base, r"^/", "")).otherwise(F.regexp_replace(mod, r"^(@/|~/|#)", ""))
-    js = F.array(js_root, *[F.concat(js_root, F.lit(x)) for x in (".ts", ".tsx", ".js", ".jsx", ".vue", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.vue")])
+    # steps up and down a folder, folded over the segments
+    walked = F.aggregate(
+        F.split(F.concat_ws("/", here, mod), "/"),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+    )
+    js_root = F.when(mod.startswith("."), F.array_join(walked, "/")).otherwise(F.regexp_replace(mod, r"^(@/|~/|#)", ""))
+    endings = F.array(*[F.lit(x) for x in ("", ".ts", ".tsx", ".js", ".jsx", ".vue", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.vue")])
+    js = F.transform(endings, lambda x: F.concat(js_root, x))
     java = F.array(F.concat(F.regexp_replace("name", r"\.", "/"), F.lit(".java")))
     rust = F.array(*[F.concat(F.regexp_replace(F.regexp_replace("name", r"^(crate|self|super)::", ""), "::", "/"), F.lit(x)) for x in (".rs", "/mod.rs")])
     cand = F.when(fam == "py", py).when(fam == "js", js).when(fam == ".java", java).when(fam == ".rs", rust).otherwise(F.array())
     i = imports.select("path", "name", F.coalesce("qualified", F.lit("")).alias("qualified"), F.posexplode(cand).alias("pri", "cand")).where("cand is not null and cand <> ''")
-    # the last two segments are the join key, the whole candidate decides
-    key = F.substring_index
-    i = i.withColumn("k", key("cand", "/", -1))
-    g = f.withColumn("k", key("to_path", "/", -1))
-    j = i.join(g, "k").where((F.col("to_path") == F.col("cand")) | F.col("to_path").endswith(F.concat(F.lit("/"), F.col("cand"))))
+    # a file is found under every tail of its path, a handful, so a candidate meets only files that end with all of it
+    parts = F.split("to_path", "/")
+    g = f.withColumn("cand", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))))
+    j = i.join(g, "cand")
     # how many leading folders importer and target share
     a, b = F.split("path", "/"), F.split("to_path", "/")
     n = F.least(F.size(a), F.size(b))

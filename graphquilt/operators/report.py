@@ -5,29 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trigrams
 from ..session import materialise
 from . import communities, graph, insight
 
 
-#: Lookups of one call; they are broadcast.
-MOST_QUERIES = 100_000
+#: Lookups too short for a trigram go against all names, in blocks of this size.
+BLOCK = 10_000
 
 
-def symbol_lookup(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Symbols for each query (``query, text``): exact names first, then prefixes, then names that contain it; ``query, id, match, rank``.
+def symbols(**tables: DataFrame) -> DataFrame:
+    """``label, id, name, file_path`` over several kinds of nodes: each keyword is a label, each table has ``id, name, file_path``."""
+    out = None
+    for label, df in tables.items():
+        x = df.select(F.lit(label).alias("label"), "id", "name", "file_path")
+        out = x if out is None else out.unionByName(x)
+    return out
 
-    Queries are a stated set that goes to every task; each name is tested against
-    each of them once.
+
+def symbol_lookup(names: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """Symbols for each query (``query, text``): exact names first, then prefixes, then names that contain it; ``query, id, match, rank`` and the label where there is one.
+
+    A query of three letters and more meets the names that hold its rarest trigram;
+    shorter ones are a stated set that goes against all names in blocks.
     """
-    asked = queries.select("query", F.lower("text").alias("_q")).where("length(_q) > 0")
-    if asked.count() > MOST_QUERIES:
-        raise ValueError("too many lookups at once; pass them in parts")
-    q = F.broadcast(asked)
-    s = symbols.select("id", "name", F.lower("name").alias("_n"))
-    j = s.join(q, F.contains(F.col("_n"), F.col("_q")))
+    carried = [c for c in ("label",) if c in names.columns]
+    asked = queries.select("query", F.lower("text").alias("_q")).where("length(_q) > 0").distinct()
+    s = names.select("id", "name", *carried, F.lower("name").alias("_n")).where("_n is not null")
+    grams = s.select(F.explode(trigrams("_n")).alias("g"), "id", "name", *carried, "_n")
+    qg = asked.where("length(_q) >= 3").select("query", "_q", F.explode(trigrams("_q")).alias("g"))
+    df = grams.join(qg.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rare = qg.join(df, "g", "left").groupBy("query", "_q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("query", "_q", F.col("r.g").alias("g"))
+    j = rare.join(grams, "g").drop("g").where(F.contains(F.col("_n"), F.col("_q")))
+    short = asked.where("length(_q) < 3")
+    blocks = -(-short.count() // BLOCK)
+    for b in range(blocks):
+        part = F.broadcast(short.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b))
+        j = j.unionByName(s.join(part, F.contains(F.col("_n"), F.col("_q"))).select(j.columns))
     match = F.when(F.col("_n") == F.col("_q"), 0).when(F.col("_n").startswith(F.col("_q")), 1).otherwise(2)
-    w = Window.partitionBy("query").orderBy("match", F.length("name"), "name", "id")
-    return j.withColumn("match", match).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit).select("query", "id", "match", "rank")
+    w = Window.partitionBy("query").orderBy("match", F.length("name"), "name", "id", *carried)
+    return j.distinct().withColumn("match", match).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit).select("query", *carried, "id", "match", "rank")
+
+
+def impact_report(starts: DataFrame, files: DataFrame, imports: DataFrame, functions: DataFrame, calls: DataFrame, mentions: DataFrame | None = None, max_depth: int = 2) -> DataFrame:
+    """What a change of files reaches, as rows ``start, section, key, n``.
+
+    Sections: ``importer`` and ``caller`` (n: depth), ``test`` (tests among them),
+    ``mention`` (documents, ``mentions`` has ``path, to_id``), and ``role`` and
+    ``layer`` with the number of files that are reached in either way.
+    """
+    imp = graph.impact_of_files(graph.importers(imports), starts, max_depth).select("start", "file", "depth")
+    cal = graph.callers_of_files(calls, functions, starts, max_depth)
+    near = materialise(imp.withColumn("section", F.lit("importer")).unionByName(cal.withColumn("section", F.lit("caller"))), "impact")
+    known = files.groupBy(F.col("path").alias("file")).agg(F.max(F.struct("role", "layer")).alias("r")).select("file", "r.role", "r.layer")
+    reached = near.select("start", "file").distinct().join(known, "file")
+    out = near.groupBy("start", "section", F.col("file").alias("key")).agg(F.min("depth").cast("long").alias("n"))
+    tests = reached.where("role = 'test'").select("start", F.lit("test").alias("section"), F.col("file").alias("key"), F.lit(1).cast("long").alias("n"))
+    out = out.unionByName(tests)
+    for c in ("role", "layer"):
+        out = out.unionByName(reached.groupBy("start", F.lit(c).alias("section"), F.coalesce(c, F.lit("other")).alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    if mentions is not None:
+        f = functions.select(F.col("id").alias("to_id"), F.col("file_path").alias("start")).join(starts.select(F.col(starts.columns[0]).alias("start")).distinct(), "start", "left_semi")
+        out = out.unionByName(mentions.join(f, "to_id").groupBy("start", F.lit("mention").alias("section"), F.col("path").alias("key")).agg(F.countDistinct("to_id").alias("n")))
+    return out
 
 
 def architecture_report(files: DataFrame, imports: DataFrame, functions: DataFrame, calls: DataFrame, most: int = 10) -> DataFrame:

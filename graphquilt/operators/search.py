@@ -50,7 +50,8 @@ def bm25(posts: DataFrame, queries: DataFrame, conjunctive: bool = True, n_docs:
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     scored = hit.join(df, "term").withColumn("n", stats.select("n").scalar()).withColumn("avg_len", stats.select("avg_len").scalar()).withColumn("w", weight).select("term", "doc", "w")
-    s = q.join(scored, "term").groupBy("query", "doc").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    # rounded, so that a rank does not hang on the order of a sum
+    s = q.join(scored, "term").groupBy("query", "doc").agg(F.round(F.sum("w"), 9).alias("score"), F.count(F.lit(1)).alias("n_terms"))
     if conjunctive:
         need = q.groupBy("query").agg(F.count(F.lit(1)).alias("_need"))
         s = s.join(need, "query").where("n_terms = _need").drop("_need")
@@ -101,7 +102,7 @@ def fuse(*ranked: DataFrame, k: int = RRF) -> DataFrame:
     for r in ranked:
         x = r.select("query", "doc", (1.0 / (F.lit(k) + F.col("rank"))).alias("s"))
         u = x if u is None else u.unionByName(x)
-    return u.groupBy("query", "doc").agg(F.sum("s").alias("score"))
+    return u.groupBy("query", "doc").agg(F.round(F.sum("s"), 12).alias("score"))
 
 
 def search(docs: DataFrame, key: str, name: Column, body: Column, queries: DataFrame, limit: int = 15) -> DataFrame:

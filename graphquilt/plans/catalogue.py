@@ -16,7 +16,7 @@ from ..sources import code
 from ..sources import text as S
 from ..sources.tables import table
 from ..streaming import ingest
-from . import references
+from . import references, wider
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {**references.QUERIES}
@@ -63,21 +63,7 @@ _q("q_find_neighbors", "select a.path as src_path, a.role as src_role, b.path as
 _q("q_without_incoming", "select id, name, file_path from function_node n where not exists (select 1 from edge_calls e where e.to_id = n.id) and substr(name, 1, 4) <> 'load' and file_path like '%src/%'")(
     lambda s, d: _store(s, d).find_nodes_without_incoming("Function", "CALLS", {"file_path": "src/"}, "load", ["id", "name", "file_path"])
 )
-_q(
-    "q_ensure_edges",
-    "select from_path, to_path, symbol, coalesce(kind, '') as kind from (select *, row_number() over (partition by from_path, to_path, symbol order by seen_at, coalesce(kind, '')) as rn from edge_imports where from_path is not null and to_path is not null and symbol is not null) where rn = 1",
-)(lambda s, d: _first_edges(s, d))
-
-
-def _first_edges(s: SparkSession, d: str) -> DataFrame:
-    """Import edges as set semantics keep them: one per (from, to, symbol), the first seen wins, null kinds empty."""
-    e = table(s, d, "edge_imports").where("from_path is not null and to_path is not null and symbol is not null")
-    return e.groupBy("from_path", "to_path", "symbol").agg(F.min(F.struct("seen_at", F.coalesce("kind", F.lit("")).alias("kind"))).alias("m")).select("from_path", "to_path", "symbol", "m.kind")
 
-
-_q("q_upsert_nodes", "select path, lang, git_blob_sha from (select *, row_number() over (partition by git_blob_sha order by mtime desc, path) as rn from file_node where git_blob_sha is not null) where rn = 1")(
-    lambda s, d: table(s, d, "file_node").where("git_blob_sha is not null").groupBy("git_blob_sha").agg(F.min_by(F.struct("path", "lang"), F.struct(-F.col("mtime"), F.col("path"))).alias("r")).select("r.path", "r.lang", "git_blob_sha")
-)
 _q("q_purge_files", "select id, name, file_path from function_node where file_path not in (select node_key from purge_log where node_table = 'file_node' and node_key is not null)")(
     lambda s, d: _store(s, d).purge_file_data(table(s, d, "purge_log").where("node_table = 'file_node'").select(F.col("node_key").alias("path")).where("path is not null")).node("Function").select("id", "name", "file_path")
 )
@@ -99,11 +85,6 @@ _q(
     "q_importers",
     "select from_path as src, to_path as dst, case min(case coalesce(kind, '') when 'reexport' then 0 when 'dynamic' then 2 else 1 end) when 0 then 'reexport' when 2 then 'dynamic' else '' end as kind, false as local from edge_imports where from_path is not null and to_path is not null and from_path <> '' and to_path <> '' group by 1, 2",
 )(lambda s, d: graph.importers(table(s, d, "edge_imports")))
-_q("q_impact_of_files")(lambda s, d: graph.impact_of_files(graph.importers(table(s, d, "edge_imports")), table(s, d, "file_node").where("role = 'schema'").select("path"), 2))
-_q("q_callers_of_files")(lambda s, d: graph.callers_of_files(table(s, d, "edge_calls"), table(s, d, "function_node"), table(s, d, "file_node").where("role = 'adapter'").select("path"), 2))
-_q(
-    "q_path_between",
-)(lambda s, d: graph.path_between(graph.reverse(_imports(s, d)), "libs/corelog/emit.py", table(s, d, "file_node").where("role = 'test'").agg(F.min("path")).first()[0] or "", 6))
 _q("q_import_cycles", f"with recursive {_LIVE}, r(a, b) as (select src, dst from live union select r.a, l.dst from r join live l on l.src = r.b), c as (select x.a as node, min(x.b) as component from r x join r y on y.a = x.b and y.b = x.a group by x.a) select component, count(*) as n_files, list(node order by node) as members from c group by component")(lambda s, d: graph.cycles(_imports(s, d)))
 _q("q_components", f"with recursive {_LIVE}, e as (select src as a, dst as b from live union select dst, src from live union select path, path from file_node), r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b) select a as node, min(b) as component from r group by a")(
     lambda s, d: graph.components(_imports(s, d), table(s, d, "file_node").select("path"))
@@ -165,15 +146,15 @@ def _hotspots(s: SparkSession, d: str) -> DataFrame:
 
 
 _q("q_import_in_degree", "select to_path as path, count(*) as importers from edge_imports where to_path is not null and to_path <> '' group by 1")(lambda s, d: insight.in_degree(table(s, d, "edge_imports")))
-_OK = "coalesce(success, 0) <> 0"
-_q("q_call_stats", f"select tool, count(*) as calls, count(case when not {_OK} then 1 end) as errors, round(avg(latency_ms)::decimal(28,9), 2)::double as avg_ms, round(min(latency_ms)::decimal(28,9), 2)::double as min_ms, round(max(latency_ms)::decimal(28,9), 2)::double as max_ms, sum(result_size)::double as bytes from (select * from call_log where latency_ms is null or not isnan(latency_ms)) group by tool")(
+_BAD = "success = 0"
+_q("q_call_stats", f"select tool, count(*) as calls, count(case when {_BAD} then 1 end) as errors, round(avg(latency_ms)::decimal(28,9), 2)::double as avg_ms, round(min(latency_ms)::decimal(28,9), 2)::double as min_ms, round(max(latency_ms)::decimal(28,9), 2)::double as max_ms, sum(result_size)::double as bytes from (select distinct id, tool, success, case when not isnan(latency_ms) then latency_ms end as latency_ms, result_size from call_log) group by tool")(
     lambda s, d: insight.call_stats(table(s, d, "call_log")).withColumn("bytes", F.col("bytes").cast("double"))
 )
-_q("q_calls_by_origin", "select tool, coalesce(origin, 'unknown') as origin, count(*) as calls from call_log group by 1, 2")(lambda s, d: insight.calls_by_origin(table(s, d, "call_log")))
-_q("q_error_rate", f"select count(*) as calls, count(case when not {_OK} then 1 end) as errors, printf('%.1f%%', 100.0 * count(case when not {_OK} then 1 end) / count(*)) as rate from call_log")(lambda s, d: insight.error_rate(table(s, d, "call_log")))
+_q("q_calls_by_origin", "select tool, coalesce(origin, 'unknown') as origin, count(*) as calls from (select distinct id, tool, origin from call_log) group by 1, 2")(lambda s, d: insight.calls_by_origin(table(s, d, "call_log")))
+_q("q_error_rate", f"select count(*) as calls, count(case when {_BAD} then 1 end) as errors, printf('%.1f%%', 100.0 * count(case when {_BAD} then 1 end) / count(*)) as rate from (select distinct id, success from call_log)")(lambda s, d: insight.error_rate(table(s, d, "call_log")))
 _DAY = "cast(make_timestamp(cast(floor(\"timestamp\") * 1000000 as bigint)) as date)"
-_q("q_call_history", f"select {_DAY} as day, count(*) as calls, count(case when not {_OK} then 1 end) as errors from call_log group by 1")(lambda s, d: insight.call_history(table(s, d, "call_log")))
-_q("q_top_tools", f"select day, tool, calls, rank::int as rank from (select *, row_number() over (partition by day order by calls desc, tool nulls last) as rank from (select {_DAY} as day, tool, count(*) as calls from call_log group by 1, 2)) where rank <= 3")(lambda s, d: insight.top_tools(table(s, d, "call_log")))
+_q("q_call_history", f"select {_DAY} as day, count(*) as calls, count(case when {_BAD} then 1 end) as errors from (select distinct id, \"timestamp\", success from call_log) group by 1")(lambda s, d: insight.call_history(table(s, d, "call_log")))
+_q("q_top_tools", f"select day, tool, calls, rank::int as rank from (select *, row_number() over (partition by day order by calls desc, tool nulls last) as rank from (select {_DAY} as day, tool, count(*) as calls from (select distinct id, \"timestamp\", tool from call_log) group by 1, 2)) where rank <= 3")(lambda s, d: insight.top_tools(table(s, d, "call_log")))
 _q("q_architecture", "with f as (select coalesce(layer, 'other') as layer, coalesce(role, 'other') as role, path from file_node), r as (select *, row_number() over (partition by layer, role order by path) as rn, count(*) over (partition by layer, role) as n_files from f) select layer, role, n_files, list(path order by path) as files from r where rn <= 10 group by 1, 2, 3")(lambda s, d: insight.architecture(table(s, d, "file_node")))
 _q("q_domain_map", "with f as (select coalesce(layer, 'other') as layer, coalesce(role, 'other') as role, path from file_node where contains(lower(path), 'session')), r as (select *, row_number() over (partition by layer, role order by path) as rn, count(*) over (partition by layer, role) as n_files from f) select layer, role, n_files, list(path order by path) as files from r where rn <= 8 group by 1, 2, 3")(lambda s, d: insight.domain_map(table(s, d, "file_node"), "session"))
 _q("q_layer_matrix", f"with p as ({_PAIRS}) select coalesce(a.layer, 'other') as src_layer, coalesce(b.layer, 'other') as dst_layer, count(*) as n_links from p join file_node a on a.path = p.src join file_node b on b.path = p.dst group by 1, 2")(lambda s, d: insight.layer_matrix(table(s, d, "file_node"), table(s, d, "edge_imports")))
@@ -196,9 +177,6 @@ i as (select distinct to_path as path, from_path as test, 'import' as how from e
 c as (select distinct b.file_path as path, a.file_path as test, 'call' as how from clive join function_node a on a.id = src join function_node b on b.id = dst where a.file_path in (select path from t) and a.file_path <> b.file_path)
 select path, test, max(how) as how from (select * from i union all select * from c) group by 1, 2""",
 )(lambda s, d: insight.tests_of(table(s, d, "file_node"), table(s, d, "edge_imports"), table(s, d, "function_node"), table(s, d, "edge_calls")))
-_q("q_top_directories")(lambda s, d: insight.top_directories(table(s, d, "file_node")))
-_q("q_roles")(lambda s, d: table(s, d, "file_node").select("path", roles.classify("path").alias("r")).select("path", "r.role", "r.layer"))
-_q("q_fingerprint")(lambda s, d: insight.fingerprint(table(s, d, "file_node"), [table(s, d, "edge_calls"), table(s, d, "edge_imports")]))
 
 # ---------------------------------------------------------------- search and ranking
 
@@ -227,17 +205,6 @@ def _bm25(s: SparkSession, d: str) -> DataFrame:
 
 
 _q("q_bm25_symbols", _BM25)(_bm25)
-_q("q_search_symbols")(lambda s, d: search.search(table(s, d, "function_node").select("id", "name", "docstring"), "id", X.tokenize_identifier("name"), F.col("docstring"), _text_queries(s)))
-_q("q_memory_search")(lambda s, d: search.search(table(s, d, "memory_entries").select("path", "title", "body"), "path", F.col("title"), F.col("body"), _text_queries(s)))
-_q("q_plan_search")(lambda s, d: search.search(table(s, d, "plan_entries").select("path", "title", "body"), "path", F.col("title"), F.col("body"), _text_queries(s)))
-_q("q_search_fetched")(lambda s, d: search.search(_fetched(s, d), "key", F.col("title"), F.col("text"), _text_queries(s)))
-
-
-def _fetched(s: SparkSession, d: str) -> DataFrame:
-    """Every distinct text stored under a (url, chunk_no), the digest of its title and text in the key."""
-    variant = F.md5(F.to_json(F.struct("title", "text")))
-    return table(s, d, "fetched_chunks").select(F.concat_ws("#", "url", "chunk_no", variant).alias("key"), "title", "text").distinct()
-
 
 _q(
     "q_substring",
@@ -258,13 +225,10 @@ def _semantic(s: SparkSession, d: str) -> DataFrame:
     return search.nearest(v, "id", "v", v.where(F.col("id").isin("q1", "q2", "q3", "q4")), 15)
 
 
-_q("q_memory_list", "select path, kind, title, mtime from memory_entries where kind = 'project'")(lambda s, d: table(s, d, "memory_entries").where("kind = 'project'").select("path", "kind", "title", "mtime"))
-_q("q_plan_list", "select path, slug, title, mtime from plan_entries where coalesce(agent_id, '') <> ''")(lambda s, d: table(s, d, "plan_entries").where("coalesce(agent_id, '') <> ''").select("path", "slug", "title", "mtime"))
-_q("q_symptoms")(lambda s, d: table(s, d, "call_log").where("error is not null and error <> ''").groupBy(X.normalize_symptom("error").alias("symptom")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")))
 
 # ---------------------------------------------------------------- documents and code
 
-_MD = "select doc_id::varchar as path, replace(text, chr(13), '') as body from documents where source in ('readme', 'guide')"
+_MD = "select doc_id::varchar as path, replace(text, chr(13), '') as body from documents"
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -279,8 +243,6 @@ h as (select path, line as start_line, last, length(regexp_extract(t, '^ {{0,3}}
 select a.path, a.start_line, coalesce((select min(b.start_line) - 1 from h b where b.path = a.path and b.start_line > a.start_line and b.level <= a.level), a.last) as end_line, a.level::int as level, a.title from h a""",
 )(lambda s, d: S.sections(_docs(s, d)).select("path", "start_line", "end_line", "level", "title"))
 _q("q_code_mentions", "select distinct doc_id::varchar as path, unnest(regexp_extract_all(text, '`([A-Za-z_][\\w.]*)(?:\\([^`\\n]*\\))?`', 1)) as name from documents")(lambda s, d: S.code_mentions(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("body"))))
-_q("q_doc_links")(lambda s, d: S.links(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("body"))))
-_q("q_paragraph_chunks")(lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(S.paragraphs_packed("text")).alias("chunk_no", "chunk")))
 _q(
     "q_pattern_search",
     "with l as (select path, unnest(string_split(replace(body, chr(13), ''), chr(10))) as text, unnest(generate_series(1, len(string_split(replace(body, chr(13), ''), chr(10))))) as line from memory_entries) select path, line, text from l where regexp_matches(text, 'port \\d+', 'i')",
@@ -315,10 +277,6 @@ _q("q_tf_variables", "select f.path, regexp_extract(b.body, 'variable \"(\\w+)\"
 )
 _q("q_config_sections")(lambda s, d: S.config_sections(_files(s, d)))
 _q("q_html_text")(lambda s, d: S.pages(table(s, d, "documents").where("source = 'fetched_page'").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("html"))))
-_q(
-    "q_blob_sha",
-    "select git_blob_sha, n_bytes from source_blob where n_bytes = octet_length(encode(body))",
-)(lambda s, d: table(s, d, "source_blob").where("n_bytes = octet_length(body)").select("git_blob_sha", "n_bytes"))
 
 # ---------------------------------------------------------------- findings
 
@@ -343,7 +301,7 @@ def _stream_counters(s: SparkSession, d: str) -> DataFrame:
     return ingest.to_table(ingest.daily_counters(ingest.call_stream(s, path, schema)), f"{base}/out", f"{base}/state")
 
 
-_q("q_stream_counters", f"select {_DAY} as day, tool, count(*) as calls, count(case when not {_OK} then 1 end) as errors from (select distinct id, \"timestamp\", tool, success from call_log) group by 1, 2")(_stream_counters)
+_q("q_stream_counters", f"select {_DAY} as day, tool, count(*) as calls, count(case when {_BAD} then 1 end) as errors from (select distinct id, \"timestamp\", tool, success from call_log) group by 1, 2")(_stream_counters)
 
 # ---------------------------------------------------------------- compositions
 
@@ -377,7 +335,6 @@ _q(
 )(lambda s, d: insight.usefulness(table(s, d, "file_node"), table(s, d, "function_node"), table(s, d, "edge_imports")))
 _q("q_fresh_chunks", "select url, chunk_no, fetched_at from fetched_chunks where fetched_at > 1748736000.0 - 720 * 3600.0")(lambda s, d: context.fresh(table(s, d, "fetched_chunks"), 1748736000.0, 720.0).select("url", "chunk_no", "fetched_at"))
 _q("q_architecture_report")(lambda s, d: report.architecture_report(table(s, d, "file_node"), table(s, d, "edge_imports"), table(s, d, "function_node"), table(s, d, "edge_calls")))
-_q(
-    "q_symbol_lookup",
-    "with v(query, t) as (values ('l1', 'emit'), ('l2', 'merge_'), ('l3', 'sessionedge')), j as (select v.query, f.id, f.name, case when lower(f.name) = v.t then 0 when starts_with(lower(f.name), v.t) then 1 else 2 end as match from function_node f, v where contains(lower(f.name), v.t)), r as (select *, row_number() over (partition by query order by match, length(name), name, id) - 1 as rank from j) select query, id, match::int as match, rank::int as rank from r where rank < 20",
-)(lambda s, d: report.symbol_lookup(table(s, d, "function_node"), s.createDataFrame([("l1", "emit"), ("l2", "merge_"), ("l3", "sessionedge")], "query string, text string")))
+
+QUERIES.update(wider.QUERIES)
+SQL.update(wider.SQL)

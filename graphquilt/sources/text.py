@@ -20,6 +20,11 @@ from .code import LANGUAGES
 MOST_BYTES = 1_000_000
 
 
+def blob_sha(content: Column) -> Column:
+    """The sha git gives a content (binary): of the word blob, its length and itself."""
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "UTF-8"), F.lit(b"\x00"), content))
+
+
 def discover(spark: SparkSession, root: str, ignore: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Files below a folder that can be parsed: ``path`` (relative), ``mtime, body, git_blob_sha``.
 
@@ -33,8 +38,7 @@ def discover(spark: SparkSession, root: str, ignore: list[str] | None = None, mo
     f = raw.withColumn("rel", rel).where((F.col("length") <= most_bytes) & suffix.isin(*LANGUAGES))
     if ignore:
         f = f.where(~ignored("rel", ignore))
-    sha = F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.col("length").cast("string")), "UTF-8"), F.lit(b"\x00"), F.col("content")))
-    return f.select(F.col("rel").alias("path"), F.unix_micros("modificationTime").cast("double").alias("_us"), F.decode("content", "UTF-8").alias("body"), sha.alias("git_blob_sha")).select("path", (F.col("_us") / 1e6).alias("mtime"), "body", "git_blob_sha")
+    return f.select(F.col("rel").alias("path"), F.unix_micros("modificationTime").cast("double").alias("_us"), F.decode("content", "UTF-8").alias("body"), blob_sha(F.col("content")).alias("git_blob_sha")).select("path", (F.col("_us") / 1e6).alias("mtime"), "body", "git_blob_sha")
 
 
 def changed_files(stored: DataFrame, current: DataFrame) -> DataFrame:
