@@ -45,8 +45,8 @@ def importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder
-    is set as the checkpoint directory and used.
+    Only where the session names none and runs in one process (tests), a temporary
+    folder is set as the checkpoint directory and used; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -54,22 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return str(jsc.getCheckpointDir().get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphquilt-"))
     return str(jsc.getCheckpointDir().get()).rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     Used where a plan must be computed exactly once (range bounds, iterations):
     the files outlive any executor, so a lost one re-reads instead of re-deriving
-    different partitions.  Rows keep no order; order must be a column.
+    different partitions.  Rows keep no order; order must be a column.  ``by`` names
+    columns whose values become folders.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphquilt-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    # the schema is known: folders' values keep their type and empty tables their columns
+    names = [c for c in df.columns if c not in (by or [])] + (by or [])
+    return spark.read.schema(df.select(*names).schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -508,14 +508,14 @@ def test_call_stats_count_calls_without_a_latency(spark, rows, tmp_path):
 
 
 def test_fetched_search_keeps_every_text_of_a_chunk(spark, tmp_path):
-    from graphquilt.plans import catalogue
+    from graphquilt.plans import catalogue, wider
 
     chunks = [("u", "t", 0, "merge session here"), ("u", "t", 0, "oldest lease here"), ("u", "t", 0, "oldest lease here"), ("v", "t", 1, "batch")]
     spark.createDataFrame(chunks, "url string, title string, chunk_no long, text string").write.parquet(f"{tmp_path}/fetched_chunks.parquet")
     got = catalogue.QUERIES["q_search_fetched"](spark, str(tmp_path)).where("rank = 0").collect()
     best = {r.query: r.doc.split("#")[:2] for r in got}
     assert best["q1"] == best["q2"] == ["u", "0"] and best["q4"] == ["v", "1"] and len({r.doc for r in got if r.query in ("q1", "q2")}) == 2
-    assert len(catalogue._fetched(spark, str(tmp_path)).collect()) == 3
+    assert len(wider.fetched(spark, str(tmp_path)).collect()) == 3
 
 
 def test_sections_of_documents_of_every_source(spark, rows, tmp_path):
