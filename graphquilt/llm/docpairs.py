@@ -1,11 +1,12 @@
 """Functions paired with their documentation (problem 6).
 
-A Python lexer turns each distinct blob into coarse tokens (comments, strings,
-braces, definition heads, line ends), which are exploded into rows.  From there
-on it is SQL: a running sum of braces over the tokens of a blob gives the depth,
-gaps-and-islands over comment rows group adjacent comment lines, ``lag`` hands
-the island above to the definition below it, and for languages of indentation
-the end of a function is the last line before the next one indented no deeper.
+A Python lexer turns each distinct blob into tokens, one row each: braces,
+comments, strings that stand alone, heads of definitions, the line after a head
+and, in languages of indentation, lines that step back.  From there on it is SQL: a
+running sum over the brace rows of a blob gives the depth, gaps-and-islands over
+comment rows group adjacent comment lines, ``lag`` hands the island above to the
+definition below it, and a definition ends at the next brace that closes its level
+or, by indentation, before the next line that steps back to it.
 
 ``pairs`` joins these with function_node: documentation is the stored docstring
 or, where that is null, the comment directly above the first line or the string
@@ -33,11 +34,10 @@ from ..session import importable, materialise
 
 _TOKEN = re.compile(
     r'''(?P<doc>"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\')|(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*|\#[^\n]*)'''
-    r'''|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<open>\{)|(?P<close>\})|(?P<nl>\n)'''
-    r"""|(?P<word>[^\W\d]\w*)""",
+    r'''|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<open>\{)|(?P<close>\})|(?P<nl>\n)''',
     re.S,
 )
-_HEAD = {"def", "func", "fn", "function", "public", "private", "protected", "static", "async", "export", "class", "pub", "override", "final", "abstract"}
+_HEAD = re.compile(r"\b(?:def|func|fn|function|public|private|protected|static|async|export|class|pub|override|final|abstract|internal|interface|impl)\b")
 
 _TOKENS = T.StructType(
     [
@@ -47,7 +47,6 @@ _TOKENS = T.StructType(
         T.StructField("kind", T.StringType()),
         T.StructField("first_line", T.IntegerType()),
         T.StructField("last_line", T.IntegerType()),
-        T.StructField("delta", T.IntegerType()),
         T.StructField("indent", T.IntegerType()),
         T.StructField("text", T.StringType()),
     ]
@@ -55,65 +54,74 @@ _TOKENS = T.StructType(
 
 
 def lex(body: str | None, hash_comments: bool) -> list[tuple]:
-    """Coarse tokens (seq, kind, first line, last line, brace delta, indent, text).
+    """Tokens (seq, kind, first line, last line, indent, text) of kinds open, close, comment, string and code.
 
-    One row per comment, per string that stands alone on its line, and per code
-    line (its brace sum and indent, text only for definition heads); blank lines
-    leave a gap in the line numbers.  Braces in strings and comments do not count.
+    A code row is a head of a definition (with its text), the line after one or,
+    where blocks are indented, a line that steps back; its ``last_line`` is that of
+    the code before it.  Braces in strings and comments are none, and blocks of
+    indentation have no brace rows.
     """
     if not body:
         return []
     body = body.replace("\r\n", "\n").replace("\r", "\n")
     out: list[tuple] = []
-    line, at_start, begun, delta, words = 1, True, 0, 0, []
-    line_start = 0
+    seq, line, at_start, begun, line_start, first_seq = 0, 1, True, 0, 0, 0
+    before, depth_before, after_head = 0, 0, False  # the last code line, its indent, whether it was a head
+    braces: list[tuple] = []
 
-    def flush() -> None:
-        nonlocal delta, words
+    def flush(end: int) -> None:
+        """The code line that ends here, ahead of its braces."""
+        nonlocal before, depth_before, after_head, seq
         if not at_start:
-            raw = body[line_start:pos].split("\n", 1)[0]
-            text = raw.strip() if any(w in _HEAD for w in words) else None
-            out.append((len(out), "code", begun, line, delta, len(raw) - len(raw.lstrip()), text))
-        delta, words = 0, []
+            raw = body[line_start:end].split("\n", 1)[0]
+            head = _HEAD.search(raw) is not None
+            indent = len(raw) - len(raw.lstrip())
+            if head or after_head or (hash_comments and indent < depth_before):
+                out.append((first_seq, "code", begun, before or begun, indent, raw.strip() if head else None))
+            before, depth_before, after_head = line, indent, head
+            out.extend(braces)
+            braces.clear()
+
+    def open_line() -> None:
+        nonlocal at_start, begun, first_seq, seq
+        at_start, begun, first_seq = False, line, seq
+        seq += 1
 
     pos = 0
     for m in _TOKEN.finditer(body):
         kind, s, e = m.lastgroup, m.start(), m.end()
         if at_start and body[pos:s].strip():
-            at_start, begun = False, line
-        if kind == "line" and m.group()[0] == "#" and not hash_comments:
-            kind = "other"
+            open_line()
         if kind == "nl":
-            pos = s
-            flush()
-            line, at_start, line_start = line + 1, True, e
-            pos = e
+            flush(s)
+            line, at_start, line_start, pos = line + 1, True, e, e
             continue
-        n = m.group().count("\n")
-        if kind in ("line", "block", "doc") and at_start:
-            tail = body[e : body.find("\n", e) if body.find("\n", e) >= 0 else len(body)]
-            if kind != "doc" or not tail.strip():
+        if kind == "line" and body[s] == "#" and not hash_comments:
+            kind = "other"
+        n = body.count("\n", s, e)
+        if at_start and kind in ("line", "block", "doc"):
+            stop = body.find("\n", e)
+            if kind != "doc" or not body[e : stop if stop >= 0 else len(body)].strip():
                 indent = s - (body.rfind("\n", 0, s) + 1)
-                out.append((len(out), "string" if kind == "doc" else "comment", line, line + n, 0, indent, m.group()))
+                out.append((seq, "string" if kind == "doc" else "comment", line, line + n, indent, m.group()))
+                seq += 1
                 line += n
                 if n:
                     line_start = body.rfind("\n", 0, e) + 1
                 pos = e
                 continue
         if at_start:
-            at_start, begun = False, line
-        if kind == "open":
-            delta += 1
-        elif kind == "close":
-            delta -= 1
-        elif kind == "word":
-            words.append(m.group())
+            open_line()
+        if kind in ("open", "close") and not hash_comments:
+            braces.append((seq, kind, line, line, 0, None))
+            seq += 1
         line += n
         pos = e
-    if body[pos:].strip() and at_start:
-        at_start, begun = False, line
-    pos = len(body)
-    flush()
+    if at_start and body[pos:].strip():
+        open_line()
+    flush(len(body))
+    if before:
+        out.append((seq, "end", before, before, 0, None))
     return out
 
 
@@ -142,63 +150,59 @@ def tokens(files: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def outline(toks: DataFrame) -> DataFrame:
-    """Code lines with depth, definition head, the comment island above and the text at the top of the body.
+    """Tokens with the depth of braces before them, and beside heads the comment island above and the text at the top of the body.
 
     Windows over the tokens of one blob only (one shuffle by blob serves all of
-    them): running sum of braces for the depth, islands of adjacent comments by
-    lag and running sum, lag and lead to attach them.
+    them): running sum of the brace rows for the depth, islands of adjacent comments
+    by lag and running sum, lag and lead to attach them.
     """
     key = ["git_blob_sha", "hashed"]
     w = Window.partitionBy(*key).orderBy("seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = toks.withColumn("depth", F.sum("delta").over(upto)).withColumn("_p", F.lag(F.struct("kind", "last_line", "indent")).over(w))
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    t = toks.withColumn("depth", F.sum(step).over(upto)).withColumn("_p", F.lag(F.struct("kind", "last_line", "indent")).over(w))
     joined = (F.col("kind") == "comment") & (F.col("_p.kind") == "comment") & (F.col("_p.last_line") + 1 >= F.col("first_line")) & (F.col("_p.indent") == F.col("indent"))
-    t = t.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(upto))
-    isles = t.groupBy(*key, "island").agg(
-        F.min("seq").alias("seq"),
-        F.min("kind").alias("kind"),
-        F.min("first_line").alias("first_line"),
-        F.max("last_line").alias("last_line"),
-        F.min("indent").alias("indent"),
-        F.max("depth").alias("depth"),
-        F.max(F.col("depth") - F.col("delta")).alias("before"),
-        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("seq", "text")))).alias("_t"),
-    )
-    isles = isles.withColumn("text", F.array_join(F.col("_t.text"), "\n"))
-    near = isles.withColumn("_above", F.lag(F.struct("kind", "last_line", "text")).over(w)).withColumn("_below", F.lead(F.struct("kind", "text", "indent")).over(w))
-    return near.where(F.col("kind") == "code").select(
+    t = t.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(upto)).drop("_p")
+    # the text of an island, at its last row; braces stand aside for what is above and below
+    of = Window.partitionBy(*key, "island")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "comment", F.struct("seq", "text"))).over(of)), lambda x: x["text"]), "\n")
+    c = t.where(F.col("kind").isin("comment", "string")).withColumn("whole", F.when(F.col("kind") == "comment", lines).otherwise(F.col("text"))).withColumn("_last", F.max("seq").over(of)).withColumn("_first", F.min("seq").over(of))
+    c = c.select(*key, "seq", "kind", "first_line", "last_line", "indent", "depth", F.lit(None).cast("string").alias("head"), F.col("whole"), (F.col("seq") == F.col("_first")).alias("opens"), (F.col("seq") == F.col("_last")).alias("closes"))
+    code = t.where(F.col("kind") == "code").select(*key, "seq", "kind", "first_line", "last_line", "indent", "depth", F.col("text").alias("head"), F.lit(None).cast("string").alias("whole"), F.lit(True).alias("opens"), F.lit(True).alias("closes"))
+    x = c.unionByName(code)
+    near = x.withColumn("_above", F.lag(F.struct("kind", "last_line", "whole", "closes")).over(w)).withColumn("_below", F.lead(F.struct("kind", "whole", "indent", "depth", "opens")).over(w))
+    inside = F.when(F.col("hashed"), F.col("_below.indent") > F.col("indent")).otherwise(F.col("_below.depth") > F.col("depth"))
+    heads = near.where((F.col("kind") == "code") & F.col("head").isNotNull()).select(
         *key,
-        "first_line",
-        "last_line",
-        "indent",
-        "depth",
-        "before",
-        F.when(F.col("text") != "", F.col("text")).alias("head"),
-        F.when((F.col("_above.kind") == "comment") & (F.col("_above.last_line") + 1 == F.col("first_line")), F.col("_above.text")).alias("comment_above"),
-        F.when(F.col("_below.kind").isin("comment", "string") & F.when(F.col("hashed"), F.col("_below.indent") > F.col("indent")).otherwise(F.col("depth") > F.col("before")), F.col("_below.text")).alias("top_of_body"),
+        "seq",
+        F.when((F.col("_above.kind") == "comment") & (F.col("_above.last_line") + 1 == F.col("first_line")), F.col("_above.whole")).alias("comment_above"),
+        F.when(F.col("_below.kind").isin("comment", "string") & inside, F.col("_below.whole")).alias("top_of_body"),
     )
+    return t.where(F.col("kind").isin("code", "close", "end")).withColumnRenamed("text", "head").drop("island").join(heads, [*key, "seq"], "left")
 
 
 def delimit(lines: DataFrame) -> DataFrame:
     """Definition heads with the line on which each ends.
 
-    A line closes every level not below it: for braces the levels at or above
-    its depth (it is the end itself), for indentation those at or above its
-    indent (the end is the line before).  Each line is exploded over the levels
-    at which its blob has heads, a handful, and a head takes the next closing
-    line of its own level.
+    A closing brace ends the levels at or above the depth it leaves, a line of code
+    by indentation those at or above its indent, with the line of code before it.
+    Each is exploded over the levels at which its blob has heads, a handful, and a
+    head takes the next that ends its own level; a head whose surroundings close
+    first has no body and ends on its own line.
     """
     key = ["git_blob_sha", "hashed"]
     blob = Window.partitionBy(*key)
-    at = F.when(F.col("hashed"), F.col("indent")).otherwise(F.col("before"))
-    x = lines.withColumn("at", at.cast("int")).withColumn("value", F.when(F.col("hashed"), F.col("indent")).otherwise(F.col("depth")).cast("int"))
-    x = x.withColumn("_levels", F.collect_set(F.when(F.col("head").isNotNull(), F.col("at"))).over(blob)).withColumn("_prev", F.lag("last_line").over(blob.orderBy("first_line"))).withColumn("_last", F.max("last_line").over(blob))
-    x = x.withColumn("level", F.explode(F.filter("_levels", lambda v: (v >= F.col("value")) | ((v == F.col("at")) & F.col("head").isNotNull()))))
-    mine = F.col("head").isNotNull() & (F.col("level") == F.col("at"))
-    ends = F.when(F.col("level") >= F.col("value"), F.when(F.col("hashed"), F.col("_prev")).otherwise(F.col("last_line")))
-    one_line = mine & ~F.col("hashed") & (F.col("depth") <= F.col("before"))
-    nxt = F.first(ends, ignorenulls=True).over(Window.partitionBy(*key, "level").orderBy("first_line").rowsBetween(1, Window.unboundedFollowing))
-    return x.withColumn("_next", nxt).where(mine).select(*key, "first_line", "head", "comment_above", "top_of_body", F.when(one_line, F.col("last_line")).otherwise(F.coalesce("_next", "_last")).alias("ends"))
+    at = F.when(F.col("hashed"), F.col("indent")).otherwise(F.col("depth")).cast("int")
+    head = F.col("head").isNotNull()
+    x = lines.withColumn("at", at).withColumn("_levels", F.collect_set(F.when(head, at)).over(blob)).withColumn("_last", F.max("last_line").over(blob))
+    ends = (F.col("kind") == "close") | (F.col("hashed") & (F.col("kind") == "code"))
+    x = x.where(head | ends).withColumn("level", F.explode(F.filter("_levels", lambda v: (ends & (v >= F.col("at"))) | ((v == F.col("at")) & head))))
+    mine = head & (F.col("level") == F.col("at"))
+    closed = F.when(ends, F.struct(F.when(F.col("hashed"), F.col("last_line")).otherwise(F.col("first_line")).alias("line"), F.col("at").alias("to")))
+    nxt = F.first(closed, ignorenulls=True).over(Window.partitionBy(*key, "level").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    x = x.withColumn("_next", nxt).where(mine)
+    end = F.when(F.col("_next").isNull(), F.when(F.col("hashed"), F.col("_last")).otherwise(F.col("first_line"))).when(~F.col("hashed") & (F.col("_next.to") < F.col("at")), F.col("first_line")).otherwise(F.col("_next.line"))
+    return x.select(*key, "first_line", "head", "comment_above", "top_of_body", end.alias("ends"))
 
 
 # Documentation that says nothing, in the languages of the corpus.
