@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import at_ranks, offsets, sort_once
+from ..operators.ranking import rank_within, sort_once
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99, 0.999)
 ALPHA = 0.01
@@ -46,11 +46,11 @@ def exact(vals: DataFrame, by: list[str], percentiles: tuple[float, ...] = PERCE
     """``metric, *by, p, n, lower_stat, upper_stat, lower_exact, upper_exact, value`` of every group."""
     group = ["metric", *by]
     s = sort_once(vals.select(*group, "v", "exact", "tie"), group, ["v", "exact", "tie"], "percentiles")
-    n = offsets(s, group).groupBy(*group).agg(F.max("n_group").alias("n"))
-    t = n.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
-    t = t.withColumn("pos", (F.col("n") - 1) * F.col("p")).withColumn("lo", F.floor("pos")).withColumn("hi", F.ceil("pos"))
-    wanted = t.select(*group, "n", "p", "pos", "lo", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rank"))
-    got = at_ranks(s, group, wanted)
+    # the table of counts gives every row its rank as it is read; the few at a wanted position go on, the sorted rows are never shuffled again
+    r = rank_within(s, group).withColumnRenamed("n_group", "n")
+    at = F.transform(F.array(*[F.lit(float(p)) for p in percentiles]), lambda p: F.struct(p.alias("p"), ((F.col("n") - 1) * p).alias("pos")))
+    hit = F.filter(at, lambda x: (F.col("rank") == F.floor(x["pos"])) | (F.col("rank") == F.ceil(x["pos"])))
+    got = r.withColumn("_hit", hit).where(F.size("_hit") > 0).select(*group, "n", "rank", "v", "exact", F.explode("_hit").alias("h")).select(*group, "n", "rank", "v", "exact", "h.p", "h.pos", F.floor("h.pos").alias("lo"))
     # one or two rows per (group, p)
     out = got.groupBy(*group, "n", "p", "pos", "lo").agg(
         F.min(F.struct("rank", "v", "exact")).alias("a"),
