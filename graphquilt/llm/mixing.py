@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import importable, materialise
@@ -99,8 +99,12 @@ def budgets(targets: list[tuple[str, float]], capacity: dict[str, float], total:
     return {x.name: x.given for x in root.leaves()}
 
 
-def draw(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """(drawn documents with ``repeats``, shares per source)."""
+def draw(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED, vocabulary: str = VOCABULARY, size: Column | None = None, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(drawn documents with ``repeats``, shares per source).
+
+    Sizes are tokens, or ``size`` of the text; ``order`` (a long column over doc_id and
+    n_tokens, spread over all longs) replaces the seeded order of the last epoch.
+    """
     spark = documents.sparkSession
     importable(spark)
     rows = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeat").alias("max_repeat")).limit(MOST_SOURCES + 1).collect()
@@ -109,7 +113,8 @@ def draw(documents: DataFrame, targets: DataFrame, total: float | None = None, s
     listed = spark.createDataFrame([(r["source"],) for r in rows], "source string")
     d = documents.select("doc_id", "source", "text").join(F.broadcast(listed), "source").distinct()
     # counted once: a filter ahead of the write would be pushed below and count again
-    d = materialise(counted(d, ["doc_id", "source"], vocabulary), "mixing").where("n_tokens > 0")
+    n = counted(d, ["doc_id", "source"], vocabulary) if size is None else d.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("long").alias("n_tokens"))
+    d = materialise(n, "mixing").where("n_tokens > 0")
     have = {r["source"]: r["n"] for r in d.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # one row per listed source
     cap = {r["source"]: float(have.get(r["source"], 0) * max(0, r["max_repeat"] or 0)) for r in rows}
     want = budgets([(r["source"], r["weight"]) for r in rows], cap, total)
@@ -120,7 +125,7 @@ def draw(documents: DataFrame, targets: DataFrame, total: float | None = None, s
         full = min(int((b + 1e-6) // n), r["max_repeat"] or 0) if n else 0
         plan.append((s, float(r["weight"] or 0.0), r["max_repeat"], int(n), float(b), full, int(b + 1e-6) - full * n if n else 0))
     p = F.broadcast(spark.createDataFrame(plan, "source string, weight double, max_repeat int, available long, budget double, full int, rest long"))
-    h = F.xxhash64(F.lit(seed), F.col("full"), "doc_id", "n_tokens")
+    h = F.xxhash64(F.lit(seed), F.col("full"), "doc_id", "n_tokens") if order is None else order
     x = d.join(p, "source").withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - BITS))
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = x.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest")).withColumn("upto", F.sum("n").over(w))

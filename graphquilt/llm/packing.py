@@ -4,13 +4,18 @@ Variable-capacity best-fit, solved on the histogram of sizes: a size is an
 integer up to the capacity, so the histogram, the open bins by remaining space
 and the resulting plan are bounded by the capacity whatever the number of
 documents.  Sizes are placed from the largest down into the tightest open bins;
-where none fits, the permitted capacity of least cost is opened; at the end every
-bin shrinks to the smallest permitted capacity that holds its contents.  The plan
-equals best-fit decreasing over all items one by one.  Documents take their place
-by their rank within their size, found by a distributed sort.
-
-With one permitted capacity (the project's case) opening and shrinking have no
-choice and it is plain best-fit decreasing.
+where none fits, a bin of the permitted capacity of least cost is opened, and at
+the end every bin shrinks to the smallest permitted capacity that holds its
+contents.
+
+The cost of a capacity is what a bin of it is expected to leave unused, which
+hangs on what the other capacities do with the sizes still to come.  So all of them
+are optimised jointly: a plan is computed for every choice of capacities that may
+be opened (``joint``), with the cost rule among those of the choice, and the plan
+with the least total of unused space after shrinking stands.  With one permitted
+capacity (the project's case) there is one choice and it is plain best-fit
+decreasing, item by item.  Documents take their place by their rank within their
+size, found by a distributed sort.
 
 Defined results: a text beyond the largest capacity is cut into full containers
 and a rest; nothing else is cut; a null or empty text has size 0 and stands at
@@ -21,8 +26,9 @@ doc_id is a document; no documents give no containers.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,12 +67,40 @@ def open_size(size: int, capacities: list[int], smaller: list[int]) -> int:
     return best
 
 
-def plan(histogram: dict[int, int], capacities: list[int]) -> tuple[list[tuple], list[tuple]]:
+#: All choices of capacities are tried up to this many permitted ones; beyond, choices grow one capacity at a time.
+MOST_JOINT = 6
+
+
+def joint(histogram: dict[int, int], capacities: list[int]) -> tuple[list[tuple], list[tuple]]:
+    """The plan of least unused space over the choices of capacities that may be opened; the largest is always among them."""
+    caps = sorted(set(capacities))
+    most, rest = caps[-1], caps[:-1]
+
+    def cost(choice: tuple[int, ...]) -> tuple:
+        placed, bins = plan(histogram, [*choice, most], caps)
+        return sum((hi - lo) * (cap - used) for lo, hi, cap, used, _ in bins), sum(hi - lo for lo, hi, *_ in bins), choice, placed, bins
+
+    if len(rest) <= MOST_JOINT:
+        best = min((cost(c) for k in range(len(rest) + 1) for c in combinations(rest, k)), key=lambda x: x[:3])
+    else:
+        best = cost(())
+        while True:
+            more = [cost(tuple(sorted({*best[2], c}))) for c in rest if c not in best[2]]
+            nxt = min(more, key=lambda x: x[:3], default=best)
+            if nxt[:2] >= best[:2]:
+                break
+            best = nxt
+    return best[3], best[4]
+
+
+def plan(histogram: dict[int, int], capacities: list[int], shrink_to: list[int] | None = None) -> tuple[list[tuple], list[tuple]]:
     """(placements, bins): rows of ``_PLAN`` and (bin_from, bin_to, capacity, used, slots).
 
-    Bins with the same contents are one range, so this runs over distinct sizes.
+    Bins of ``capacities`` are opened, and shrink to the least of ``shrink_to`` at the
+    end.  Bins with the same contents are one range, so this runs over distinct sizes.
     """
     caps = sorted(capacities)
+    ends = sorted(shrink_to or capacities)
     sizes = sorted(s for s in histogram if s > 0)
     placed: list[tuple] = []
     # remaining space -> stack of (bin_from, bin_to, slots, used, capacity)
@@ -109,7 +143,7 @@ def plan(histogram: dict[int, int], capacities: list[int]) -> tuple[list[tuple],
                 put(space - n * s, (lo, lo + 1, slots + n, used + n * s, cap))
                 rank, n, lo = rank + n, 0, lo + 1
             put(space, (lo, hi, slots, used, cap))
-    bins = [(lo, hi, next(c for c in caps if c >= used), used, slots) for groups in open_bins.values() for lo, hi, slots, used, _ in groups]
+    bins = [(lo, hi, next(c for c in ends if c >= used), used, slots) for groups in open_bins.values() for lo, hi, slots, used, _ in groups]
     return placed, sorted(bins)
 
 
@@ -127,24 +161,25 @@ def with_capacity(placed: list[tuple], bins: list[tuple]) -> list[tuple]:
     return out
 
 
-def items(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, piece, size``: whole documents, or full pieces and a rest of the oversized."""
+def items(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY, size: Column | None = None) -> DataFrame:
+    """``doc_id, piece, size``: whole documents, or full pieces and a rest of the oversized; sizes are tokens, or ``size`` of the text."""
+    d = documents.select("doc_id", "text").distinct()
     # written once: the sampling of the sort below would count every text a second time
-    c = materialise(counted(documents.select("doc_id", "text").distinct(), ["doc_id"], vocabulary), "counted")
+    c = materialise(counted(d, ["doc_id"], vocabulary) if size is None else d.select("doc_id", F.coalesce(size, F.lit(0)).cast("long").alias("n_tokens")), "counted")
     full = F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / capacity)
     x = c.withColumn("_full", full)
     return x.select("doc_id", F.col("n_tokens"), F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_full")), lambda i: F.when(i < F.col("_full"), F.lit(capacity).cast("long")).otherwise(F.col("n_tokens") - F.col("_full") * capacity))).alias("piece", "size"))
 
 
-def pack(documents: DataFrame, capacities: list[int] | int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(documents: DataFrame, capacities: list[int] | int = CAPACITY, vocabulary: str = VOCABULARY, size: Column | None = None) -> DataFrame:
     """One row per document piece: ``doc_id, piece, n_tokens, container, capacity, position, token_offset``."""
     spark = documents.sparkSession
     importable(spark)
     caps = sorted([capacities] if isinstance(capacities, int) else set(capacities))
-    it = items(documents, caps[-1], vocabulary)
+    it = items(documents, caps[-1], vocabulary, size)
     s = sort_once(it.select("size", "doc_id", "piece", F.xxhash64("doc_id", "piece").alias("tie")), ["size"], ["doc_id", "piece", "tie"], "packing")
     histogram = {r["size"]: r["n"] for r in s.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
-    placed, bins = plan(histogram, caps)
+    placed, bins = joint(histogram, caps)
     r = rank_within(s, ["size"])
     # the plan is bounded by the capacity (distinct sizes and remainders), not by the documents
     p = F.broadcast(spark.createDataFrame(with_capacity(placed, bins), _PLAN))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphquilt.llm import mixing, packing, percentiles
 from graphquilt.llm.tokens import encoding
@@ -101,6 +103,23 @@ def test_variable_capacities_hold_their_contents(sizes):
     check(packing.with_capacity(placed, bins), hist)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 96), max_size=80))
+def test_capacities_are_chosen_jointly(sizes):
+    hist = defaultdict(int)
+    for s in sizes:
+        hist[s] += 1
+    caps = [16, 40, 64, 96]
+    unused = lambda bins: sum((hi - lo) * (cap - used) for lo, hi, cap, used, _ in bins)
+    placed, bins = packing.joint(dict(hist), caps)
+    check(packing.with_capacity(placed, bins), hist)
+    for k in range(4):
+        for choice in combinations(caps[:-1], k):
+            assert unused(bins) <= unused(packing.plan(dict(hist), [*choice, 96], caps)[1])
+    # no more waste than bins of one size that shrink
+    assert unused(bins) <= unused(packing.plan(dict(hist), [96], caps)[1])
+
+
 def check(rows, hist):
     """Every item is placed once, no bin overflows, offsets do not overlap."""
     used = defaultdict(list)
@@ -141,6 +160,12 @@ def test_pack_places_every_document(spark):
     total = sum(tokens.values())
     assert len([c for c, n in fill.items() if n]) <= math.ceil(total / 100) * 1.1 + 1
     assert packing.pack(df.limit(0), 100).count() == 0
+    by_length = packing.pack(df, [64, 256, 1024], size=F.length("text")).collect()
+    length = {i: len(t or "") for i, t in enumerate(texts)} | {None: 5}
+    have = defaultdict(int)
+    for r in by_length:
+        have[r.doc_id] += r.n_tokens
+    assert dict(have) == length and {r.capacity for r in by_length} <= {64, 256, 1024}
     assert packing.pack(df.where("doc_id = 0"), 100).count() == 1
 
 
