@@ -424,6 +424,9 @@ def name_spans(blank: str, given: frozenset | set, families: set, learned: set,
     Words that are known start the search: a pair is read from each place where a
     known family could belong to it, and from each listed given name.
     """
+    here = set(_WORDS.findall(norm(blank)))
+    if here.isdisjoint(families) and here.isdisjoint(given):
+        return []
     words = [(m.start(), norm(m.group())) for m in _WORDS.finditer(blank)]
     starts: set[int] = set()
     initials: set[int] = set()
@@ -521,8 +524,9 @@ def entries(memory: DataFrame, plans: DataFrame) -> DataFrame:
     return m.unionByName(plans.select(F.lit("plan_entries").alias("entry_table"), "path", "body")).distinct()
 
 
-# a capital here says nothing: the beginning of a text, line, item or sentence
-_CASED = re.compile(rf"(?P<start>(?:^|[.!?…]|\n)[\s>*#\"'(-]*)?(?<![\w@.'’/+=-])(?P<w>{_W})(?![\w@]|\(\)|://)")
+# a capital at the beginning of a text, line, item or sentence says nothing; one behind a word and a blank does
+_INSIDE = re.compile(rf" (?<![.!?…>*#\"'(-] )(?=[^\W\d_a-zß-öø-ÿ])({_W})(?![\w@]|\(\)|://)")
+_EDGES = ".,;:!?…()[]{}<>\"'’«»„“”*_`~-"
 
 
 def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -530,16 +534,17 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f.name for f in _PASS]
     for pdf in batches:
         out: list[tuple] = []
-        small, capital = Counter(), Counter()
+        tokens, small, capital = Counter(), Counter(), Counter()
         for t, p, body in zip(pdf.entry_table, pdf.path, pdf.body, strict=True):
             blank, got = _masked(body)
             pairs_here = {(norm(g), norm(f)) for _, _, g, f, _ in pairs(blank, _PROPER) if _proper(g) and _proper(f) and len(f) > 2 and len(g) > 1}
             out.append((t, p, body, [{"start": s, "end": e, "pii_type": k} for s, e, k in got], [{"given": g, "family": f} for g, f in sorted(pairs_here) if g not in TITLES and f not in TITLES], None, None, None))
-            for start, w in _CASED.findall(blank):
-                if w.islower():
-                    small[w.replace("’", "'")] += 1
-                elif not start and w[0].isupper():
-                    capital[norm(w)] += 1
+            tokens.update(blank.split())
+            capital.update(map(norm, _INSIDE.findall(blank)))
+        for w, n in tokens.items():
+            w = w.strip(_EDGES)
+            if w.islower() and _WORDS.fullmatch(w):
+                small[w.replace("’", "'")] += n
         out += [(None, None, None, None, None, w, small[w], capital[w]) for w in small.keys() | capital.keys()]
         yield pd.DataFrame(out, columns=names)
 
