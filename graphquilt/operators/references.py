@@ -6,9 +6,13 @@ validity interval of its parent.  The interval tells the cases apart:
 
 * ``missing``  no parent row has exactly this key;
 * ``deleted``  every parent row was purged after it was last indexed;
-* ``late``     the parent is live but was indexed after the edge was seen;
+* ``late``     the parent is live at the end, but was not yet (or not again) when the edge
+  was first seen;
 * ``live``     otherwise.
 
+A parent that was purged and indexed again has several intervals; each begins with
+an indexing and ends with the next purge, and an edge seen between two is late.
+
 Defined results: a null or empty key is no reference and yields no row; a null
 ``to`` end is written ``''``; repeated edges count once per distinct pair in
 ``found`` and once per stored row in ``report``; a null ``seen_at`` reports under
@@ -32,10 +36,10 @@ FIELDS = (
 
 
 def parent_intervals(nodes: DataFrame, key: str, purges: DataFrame, node_table: str) -> DataFrame:
-    """One row per parent key: when it was first and last indexed and last purged."""
-    seen = nodes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("ref_key")).agg(F.min("indexed_at").alias("first_indexed"), F.max("indexed_at").alias("last_indexed"))
-    gone = purges.where((F.col("node_table") == node_table) & F.col("node_key").isNotNull()).groupBy(F.col("node_key").alias("ref_key")).agg(F.max("purged_at").alias("last_purged"))
-    return seen.join(gone, "ref_key", "left").withColumn("node_table", F.lit(node_table)).withColumn("known", F.lit(True))
+    """One row per parent key with the times at which it was indexed and purged; there are as many as it has rows, distinct."""
+    seen = nodes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("ref_key")).agg(F.collect_set("indexed_at").alias("indexed"))
+    gone = purges.where((F.col("node_table") == node_table) & F.col("node_key").isNotNull()).groupBy(F.col("node_key").alias("ref_key")).agg(F.collect_set("purged_at").alias("purged"))
+    return seen.join(gone, "ref_key", "left").withColumn("known", F.lit(True))
 
 
 def references(edges: DataFrame, edge_table: str) -> DataFrame:
@@ -52,11 +56,16 @@ def resolve(edge_calls: DataFrame, edge_imports: DataFrame, function_node: DataF
     out = []
     for edges, name, nodes, node_table, key in ((edge_calls, "edge_calls", function_node, "function_node", "id"), (edge_imports, "edge_imports", file_node, "file_node", "path")):
         refs = references(edges, name).drop("node_table")
-        parents = parent_intervals(nodes, key, purge_log, node_table).drop("node_table")
+        parents = parent_intervals(nodes, key, purge_log, node_table)
         out.append(salted_left_join(refs, parents, "ref_key", F.concat_ws("\x00", "from_key", "to_key"), merge=True))
-    purged = F.col("last_purged").isNotNull() & (F.col("last_indexed").isNull() | (F.col("last_purged") > F.col("last_indexed")))
-    status = F.when(F.col("known").isNull(), "missing").when(purged, "deleted").when(F.col("first_indexed") > F.col("first_seen"), "late").otherwise("live")
-    return out[0].unionByName(out[1]).withColumn("status", status)
+    last = lambda c, upto=None: F.array_max(F.col(c) if upto is None else F.filter(c, lambda t: t <= F.col(upto)))
+    purged = last("purged").isNotNull() & (last("indexed").isNull() | (last("purged") > last("indexed")))
+    # alive when first seen: an indexing up to then, and no purge after the last of them
+    begun, ended = last("indexed", "first_seen"), last("purged", "first_seen")
+    alive = F.coalesce(begun >= ended, begun.isNotNull())
+    late = F.col("first_seen").isNotNull() & last("indexed").isNotNull() & ~alive
+    status = F.when(F.col("known").isNull(), "missing").when(purged, "deleted").when(late, "late").otherwise("live")
+    return out[0].unionByName(out[1]).withColumn("status", status).drop("indexed", "purged", "known")
 
 
 def found(resolved: DataFrame) -> DataFrame:

@@ -27,14 +27,16 @@ folded as (
   from refs where ref_key is not null and ref_key <> '' group by all
 ),
 nodes as (
-  select 'function_node' as node_table, id as node_key, min(indexed_at) as first_indexed, max(indexed_at) as last_indexed from function_node group by id
-  union all select 'file_node', path, min(indexed_at), max(indexed_at) from file_node group by path
+  select 'function_node' as node_table, id as node_key, list(distinct indexed_at) as indexed, max(indexed_at) as last_indexed from function_node group by id
+  union all select 'file_node', path, list(distinct indexed_at), max(indexed_at) from file_node group by path
 ),
-gone as (select node_table, node_key, max(purged_at) as last_purged from purge_log group by all),
+gone as (select node_table, node_key, list(distinct purged_at) as purged, max(purged_at) as last_purged from purge_log group by all),
 judged as (
   select f.*, case when n.node_key is null then 'missing'
                    when g.last_purged is not null and (n.last_indexed is null or g.last_purged > n.last_indexed) then 'deleted'
-                   when n.first_indexed > f.first_seen then 'late' else 'live' end as status
+                   when f.first_seen is not null and n.last_indexed is not null and not coalesce(
+                     list_max(list_filter(n.indexed, lambda t: t <= f.first_seen)) >= list_max(list_filter(g.purged, lambda t: t <= f.first_seen)),
+                     list_max(list_filter(n.indexed, lambda t: t <= f.first_seen)) is not null) then 'late' else 'live' end as status
   from folded f left join nodes n on n.node_table = f.node_table and n.node_key = f.ref_key
   left join gone g on g.node_table = f.node_table and g.node_key = f.ref_key
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -21,19 +21,60 @@ def apply_changes(store: DataFrame, batch: DataFrame, key: str, order: str, dele
     return store.join(last.select(key), key, "left_anti").unionByName(last.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted).select(*store.columns))
 
 
-def ingest(changes: DataFrame, folder: str, checkpoint: str, key: str, order: str, available_now: bool = True, seconds: float = 0.3) -> StreamingQuery:
-    """Runs a stream of changes (rows with ``deleted``) into numbered parquet snapshots under ``folder``.
+#: Parts of a store; a batch rewrites those that hold one of its keys.
+BUCKETS = 64
 
-    Each batch writes ``v=<id>`` from ``v=<id - 1>``; a replayed batch rewrites the
-    same version, so results are exactly once.
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _manifest(spark: SparkSession, folder: str, version: int) -> dict[int, int]:
+    """The version in which each part was last written, as of a version: at most as many rows as parts."""
+    if version < 0:
+        return {}
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{folder}/manifest/v={version}").collect()}
+
+
+def snapshot(spark: SparkSession, folder: str, schema: T.StructType, version: int, buckets: list[int] | None = None) -> DataFrame:
+    """The store as of a version, or some parts of it."""
+    at = _manifest(spark, folder, version)
+    paths = [f"{folder}/data/v={v}/bucket={b}" for b, v in sorted(at.items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def latest_version(spark: SparkSession, folder: str) -> int:
+    """The last version whose manifest is complete, or -1."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return -1
+    done = [int(x.getPath().getName()[2:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return max(done, default=-1)
+
+
+def ingest(changes: DataFrame, folder: str, checkpoint: str, key: str, order: str, available_now: bool = True, seconds: float = 0.3, buckets: int = BUCKETS) -> StreamingQuery:
+    """Runs a stream of changes (rows with ``deleted``) into a versioned parquet store under ``folder``.
+
+    The store is parted by a hash of the key; each batch reads and rewrites only the
+    parts that hold one of its keys and writes a manifest that names the version of
+    every part.  A replayed batch starts from the same manifest and rewrites the same
+    version, so results are exactly once; parts no manifest names may be removed.
     """
-    cols = [f for f in changes.schema.fields if f.name != "deleted"]
-    schema = T.StructType(cols)
+    schema = T.StructType([f for f in changes.schema.fields if f.name != "deleted"])
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(schema).parquet(f"{folder}/v={batch_id - 1}") if batch_id > 0 else spark.createDataFrame([], schema)
-        apply_changes(old, batch, key, order).write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+        known = _manifest(spark, folder, batch_id - 1)
+        touched = sorted(r[0] for r in batch.where(F.col(key).isNotNull()).select(_bucket(key, buckets)).distinct().collect())
+        old = snapshot(spark, folder, schema, batch_id - 1, touched)
+        new = apply_changes(old, batch, key, order)
+        new.withColumn("bucket", _bucket(key, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/v={batch_id}")
+        # a part that lost its last row has no folder and leaves the manifest
+        left = {r[0] for r in spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{folder}/data/v={batch_id}").select("bucket").distinct().collect()} if touched else set()
+        now = {**{b: v for b, v in known.items() if b not in touched}, **{b: batch_id for b in left}}
+        spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/v={batch_id}")
 
     w = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{seconds} seconds")).start()

@@ -65,6 +65,17 @@ def _ref_tables(spark):
     )
 
 
+def test_references_fall_between_two_lives_of_a_parent(spark, rows):
+    t = lambda n: f"2025-0{n}-10 00:00:00"
+    timed = lambda data, names: spark.createDataFrame(data, ", ".join(f"{n} string" for n in names)).withColumn(names[-1], F.col(names[-1]).cast("timestamp"))
+    fn = timed([("p", t(1)), ("p", t(5)), ("q", t(1))], ["id", "indexed_at"])
+    purge = timed([("function_node", "p", t(2))], ["node_table", "node_key", "purged_at"])
+    calls = timed([("q", "p", t(m)) for m in (1, 3, 6)], ["from_id", "to_id", "seen_at"])
+    none = spark.createDataFrame([], "from_path string, to_path string, seen_at timestamp"), spark.createDataFrame([], "path string, indexed_at timestamp")
+    r = references.resolve(calls, none[0], fn, none[1], purge).where("field = 'to_id'")
+    assert rows(r.select("month", "status")) == [("2025-01", "live"), ("2025-03", "late"), ("2025-06", "live")]
+
+
 def test_references_tell_missing_deleted_late_live(spark, rows):
     tabs = _ref_tables(spark)
     r = references.resolve(*tabs)

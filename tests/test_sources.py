@@ -196,9 +196,14 @@ def test_incremental_equals_rebuild(spark, rows, tmp_path: Path):
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "path", "seq").awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    got = rows(spark.read.parquet(str(last)), "path", "sha")
-    store = spark.createDataFrame([], T.StructType(schema.fields[:3]))
+    kept = T.StructType(schema.fields[:3])
+    last = ingest.latest_version(spark, str(tmp_path / "out"))
+    got = rows(ingest.snapshot(spark, str(tmp_path / "out"), kept, last), "path", "sha")
+    assert last == 2 and ingest.latest_version(spark, str(tmp_path / "nothing")) == -1
+    # an earlier version still reads as it was, and the last batch left the part of c alone
+    assert rows(ingest.snapshot(spark, str(tmp_path / "out"), kept, 0), "path", "sha") == [("a", "1"), ("b", "1")]
+    assert len(list((tmp_path / "out" / "data" / "v=2").glob("bucket=*"))) <= 2
+    store = spark.createDataFrame([], kept)
     assert got == rows(ingest.apply_changes(store, spark.createDataFrame([r for b in batches for r in b], schema), "path", "seq"), "path", "sha") == [("a", "4"), ("b", "9"), ("c", "1")]
     q = ingest.scan_queue(spark.createDataFrame([("s1",), ("s1",), (None,), ("s2",)], "git_blob_sha string"), spark.createDataFrame([("s2",)], "git_blob_sha string"))
     assert rows(q) == [("s1",)]
