@@ -40,9 +40,18 @@ def offsets(ordered: DataFrame, group: list[str]) -> DataFrame:
     return c.withColumn("before", F.sum("n_here").over(run) - F.col("n_here")).withColumn("n_group", F.sum("n_here").over(w))
 
 
+#: Counts (rows of groups and partitions) sent to every task up to this many; beyond, they are joined.
+MOST_COUNTS = 500_000
+
+
 def rank_within(ordered: DataFrame, group: list[str]) -> DataFrame:
-    """``ordered`` with ``rank`` (from 0) and ``n_group``; one hash join with the small table of counts."""
-    o = offsets(ordered, group)
+    """``ordered`` with ``rank`` (from 0) and ``n_group``; one hash join with the small table of counts.
+
+    The counts are written and counted first: while few they go to every task, so the
+    sorted rows stay where they are; beyond ``MOST_COUNTS`` both sides are shuffled.
+    """
+    o = materialise(offsets(ordered, group), "counts")
+    o = F.broadcast(o) if o.count() <= MOST_COUNTS else o
     d = ordered.withColumn("_pid", F.shiftright(F.col("_mid"), _SHIFT))
     j = d.join(o, _same(d, o, [*group, "_pid"]))
     return j.select(*[d[c] for c in ordered.columns if c != "_mid"], (d["_mid"] - o["_first"] + o["before"]).alias("rank"), o["n_group"])
