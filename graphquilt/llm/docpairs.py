@@ -163,22 +163,28 @@ def outline(toks: DataFrame) -> DataFrame:
     t = toks.withColumn("depth", F.sum(step).over(upto)).withColumn("_p", F.lag(F.struct("kind", "last_line", "indent")).over(w))
     joined = (F.col("kind") == "comment") & (F.col("_p.kind") == "comment") & (F.col("_p.last_line") + 1 >= F.col("first_line")) & (F.col("_p.indent") == F.col("indent"))
     t = t.withColumn("island", F.sum(F.when(joined, 0).otherwise(1)).over(upto)).drop("_p")
-    # the text of an island, at its last row; braces stand aside for what is above and below
+    # every row of an island knows its whole text
     of = Window.partitionBy(*key, "island")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "comment", F.struct("seq", "text"))).over(of)), lambda x: x["text"]), "\n")
-    c = t.where(F.col("kind").isin("comment", "string")).withColumn("whole", F.when(F.col("kind") == "comment", lines).otherwise(F.col("text"))).withColumn("_last", F.max("seq").over(of)).withColumn("_first", F.min("seq").over(of))
-    c = c.select(*key, "seq", "kind", "first_line", "last_line", "indent", "depth", F.lit(None).cast("string").alias("head"), F.col("whole"), (F.col("seq") == F.col("_first")).alias("opens"), (F.col("seq") == F.col("_last")).alias("closes"))
-    code = t.where(F.col("kind") == "code").select(*key, "seq", "kind", "first_line", "last_line", "indent", "depth", F.col("text").alias("head"), F.lit(None).cast("string").alias("whole"), F.lit(True).alias("opens"), F.lit(True).alias("closes"))
-    x = c.unionByName(code)
-    near = x.withColumn("_above", F.lag(F.struct("kind", "last_line", "whole", "closes")).over(w)).withColumn("_below", F.lead(F.struct("kind", "whole", "indent", "depth", "opens")).over(w))
+    t = t.withColumn("whole", F.when(F.col("kind") == "comment", lines).when(F.col("kind") == "string", F.col("text")))
+    # braces stand aside for what is above and below; the rows below are those above in the opposite order
+    back = Window.partitionBy(*key).orderBy(F.desc("seq"))
+    seen = F.when(F.col("kind").isin("comment", "string", "code"), F.struct("kind", "last_line", "indent", "depth", "whole"))
+    near = t.withColumn("_above", F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_below", F.last(seen, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     inside = F.when(F.col("hashed"), F.col("_below.indent") > F.col("indent")).otherwise(F.col("_below.depth") > F.col("depth"))
-    heads = near.where((F.col("kind") == "code") & F.col("head").isNotNull()).select(
+    head = (F.col("kind") == "code") & F.col("text").isNotNull()
+    return near.where(F.col("kind").isin("code", "close", "end")).select(
         *key,
         "seq",
-        F.when((F.col("_above.kind") == "comment") & (F.col("_above.last_line") + 1 == F.col("first_line")), F.col("_above.whole")).alias("comment_above"),
-        F.when(F.col("_below.kind").isin("comment", "string") & inside, F.col("_below.whole")).alias("top_of_body"),
+        "kind",
+        "first_line",
+        "last_line",
+        "indent",
+        "depth",
+        F.when(head, F.col("text")).alias("head"),
+        F.when(head & (F.col("_above.kind") == "comment") & (F.col("_above.last_line") + 1 == F.col("first_line")), F.col("_above.whole")).alias("comment_above"),
+        F.when(head & F.col("_below.kind").isin("comment", "string") & inside, F.col("_below.whole")).alias("top_of_body"),
     )
-    return t.where(F.col("kind").isin("code", "close", "end")).withColumnRenamed("text", "head").drop("island").join(heads, [*key, "seq"], "left")
 
 
 def delimit(lines: DataFrame) -> DataFrame:
@@ -199,7 +205,7 @@ def delimit(lines: DataFrame) -> DataFrame:
     x = x.where(head | ends).withColumn("level", F.explode(F.filter("_levels", lambda v: (ends & (v >= F.col("at"))) | ((v == F.col("at")) & head))))
     mine = head & (F.col("level") == F.col("at"))
     closed = F.when(ends, F.struct(F.when(F.col("hashed"), F.col("last_line")).otherwise(F.col("first_line")).alias("line"), F.col("at").alias("to")))
-    nxt = F.first(closed, ignorenulls=True).over(Window.partitionBy(*key, "level").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    nxt = F.last(closed, ignorenulls=True).over(Window.partitionBy(*key, "level").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
     x = x.withColumn("_next", nxt).where(mine)
     end = F.when(F.col("_next").isNull(), F.when(F.col("hashed"), F.col("_last")).otherwise(F.col("first_line"))).when(~F.col("hashed") & (F.col("_next.to") < F.col("at")), F.col("first_line")).otherwise(F.col("_next.line"))
     return x.select(*key, "first_line", "head", "comment_above", "top_of_body", end.alias("ends"))
