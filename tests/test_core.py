@@ -535,3 +535,35 @@ def test_sections_of_documents_of_every_source(spark, rows, tmp_path):
     docs = [(1, "readme", "# A\nx"), (2, "adr", "# B\nx"), (3, None, "## C")]
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(catalogue.QUERIES["q_md_sections"](spark, str(tmp_path)), "path", "title") == [("1", "A"), ("2", "B"), ("3", "C")]
+
+
+def test_impact_report_and_lookup_over_labels(spark, rows):
+    from graphquilt.operators import report
+
+    files = spark.createDataFrame([("s.py", "schema", "domain"), ("a.py", "service", None), ("t.py", "test", "test"), ("t.py", "test", "test"), (None, None, None)], "path string, role string, layer string")
+    imports = spark.createDataFrame([("a.py", "s.py", "", None), ("t.py", "a.py", "", "reexport"), ("a.py", None, "", ""), ("a.py", "", "", "")], "from_path string, to_path string, symbol string, kind string")
+    fn = spark.createDataFrame([("s.py::f", "f", "s.py"), ("t.py::g", "g", "t.py"), ("x::n", None, None)], "id string, name string, file_path string")
+    calls = spark.createDataFrame([("t.py::g", "s.py::f"), ("t.py::g", "s.py::f"), (None, "s.py::f")], "from_id string, to_id string")
+    mentions = spark.createDataFrame([("doc1", "s.py::f"), ("doc1", "s.py::f")], "path string, to_id string")
+    starts = spark.createDataFrame([("s.py",)], "path string")
+    got = rows(report.impact_report(starts, files, imports, fn, calls, mentions), "section", "key", "n")
+    assert got == sorted(
+        [("caller", "t.py", 1), ("importer", "a.py", 1), ("importer", "t.py", 2), ("layer", "other", 1), ("layer", "test", 1), ("mention", "doc1", 1), ("role", "service", 1), ("role", "test", 1), ("test", "t.py", 1)], key=repr
+    )
+    assert report.impact_report(starts.limit(0), files, imports, fn, calls).count() == 0
+    names = report.symbols(Function=fn, File=files.selectExpr("path as id", "path as name", "path as file_path"))
+    q = spark.createDataFrame([("x", "g"), ("y", "s.py"), ("z", "none at all")], "query string, text string")
+    assert ("x", "Function", "t.py::g", 0) in rows(report.symbol_lookup(names, q), "query", "label", "id", "match")
+    assert {r.query for r in report.symbol_lookup(names, q).collect()} == {"x", "y"}
+
+
+def test_hits_of_one_query_are_ranked_in_parts(spark):
+    hits = spark.range(5000).selectExpr("'q' as query", "id as doc", "cast(id % 7 as double) as score").unionByName(spark.createDataFrame([("r", None, None)], "query string, doc long, score double"))
+    got = [(r["rank"], r.doc) for r in search.top_k(hits, 5).where("query = 'q'").orderBy("rank").collect()]
+    assert got == [(0, 6), (1, 13), (2, 20), (3, 27), (4, 34)]
+
+
+def test_entry_lists_are_ordered(spark):
+    e = spark.createDataFrame([("b", "x", 2.0), ("a", "x", 2.0), ("c", "", 9.0), ("d", None, None), ("e", "x", None)], "path string, kind string, mtime double")
+    assert [r.path for r in knowledge.entry_list(e, kind="x").collect()] == ["a", "b", "e"]
+    assert [r.path for r in knowledge.entry_list(e, 2, kind="*").collect()] == ["a", "b"]
