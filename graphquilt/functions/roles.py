@@ -88,10 +88,12 @@ FILE_NAMES = (
     (r"(?i)(^|_)subscriber\.py$", "subscriber", "application"),
     (r"(?i)^conftest\.py$", "test", "test"),
     (r"(?i)^test_.*\.py$", "test", "test"),
-    (r"(?i)\.(test|spec)\.(ts|js|tsx|jsx)$", "test", "test"),
+    (r"(?i)\.test\.(ts|js|tsx|jsx)$", "test", "test"),
+    (r"(?i)\.spec\.(ts|js|tsx|jsx)$", "test", "test"),
     (r"(?i)\.vue$", "component", "presentation"),
     (r"(?i)\.tf$", "tf_resource", "infra"),
-    (r"(?i)\.mdx?$", "doc", "doc"),
+    (r"(?i)\.md$", "doc", "doc"),
+    (r"(?i)\.mdx$", "doc", "doc"),
     (r"(?i)pyproject\.toml$", "manifest", "infra"),
     (r"(?i)package\.json$", "manifest", "infra"),
     (r"(?i)Dockerfile$", "container", "infra"),
