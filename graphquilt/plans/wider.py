@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import roles
 from ..functions import text as X
-from ..operators import endpoints, graph, insight, knowledge, linking, report, search
+from ..operators import endpoints, graph, insight, knowledge, linking, report, search, upkeep
 from ..operators import terraform as TF
 from ..operators.store import GraphStore
 from ..sources import code
@@ -476,3 +476,52 @@ e as (select doc_id, case when cur <> '' then list_append(done, cur) else done e
 select doc_id, unnest(generate_series(0, len(cs) - 1))::int as chunk_no, unnest(cs) as chunk from e where len(cs) > 0""",
     lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(S.paragraphs_packed("text")).alias("chunk_no", "chunk")),
 )
+
+# ---------------------------------------------------------------- upkeep
+
+_q(
+    "q_orphans",
+    "select id, file_path from function_node where file_path not in (select path from file_node where role <> 'service' and path is not null union select node_key from purge_log where node_table = 'file_node' and node_key is not null)",
+    lambda s, d: upkeep.orphans(table(s, d, "function_node"), "file_path", table(s, d, "file_node").where("role <> 'service'").select("path"), table(s, d, "purge_log").where("node_table = 'file_node'").select("node_key")).select("id", "file_path"),
+)
+_q("q_stale_edges", f"with {_CLIVE}, e as ({SQL['q_call_edges']}) select src as from_id, dst as to_id from clive except select from_id, to_id from e", lambda s, d: upkeep.stale_edges(graph.live(graph.pairs(table(s, d, "edge_calls"), "from_id", "to_id"), table(s, d, "function_node"), "id").select(F.col("src").alias("from_id"), F.col("dst").alias("to_id")), QUERIES["q_call_edges"](s, d)))
+_q("q_relocate", "select case when path = 'apps' or starts_with(path, 'apps/') then 'moved/here' || substr(path, 5) else path end as path, lang from file_node", lambda s, d: upkeep.relocate(table(s, d, "file_node").select("path", "lang"), "apps/", "moved/here/", "path"))
+_OUTCOME = "case when result_size = 0 then 'zero' when result_size < 500 then 'low' when result_size < 5000 then 'medium' when result_size >= 5000 then 'high' end"
+_q(
+    "q_recall_stats",
+    f"with c as (select {_OUTCOME} as outcome, count(*) as n from (select distinct id, result_size from call_log) group by 1), t as (select coalesce(sum(n) filter (outcome = 'high'), 0)::bigint as high, coalesce(sum(n) filter (outcome = 'medium'), 0)::bigint as medium, coalesce(sum(n) filter (outcome = 'low'), 0)::bigint as low, coalesce(sum(n) filter (outcome = 'zero'), 0)::bigint as zero from c) select high + medium + low + zero as searches, high, medium, low, zero, printf('%.1f%%', 100.0 * zero / (high + medium + low + zero)) as zero_hit_rate, printf('%.1f%%', 100.0 * low / (high + medium + low + zero)) as low_confidence_rate from t",
+    lambda s, d: upkeep.recall_stats(insight.calls(table(s, d, "call_log"), "result_size").groupBy(F.expr(_OUTCOME).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))),
+)
+_q("q_import_coverage", "with l as (select path, max(lang) as lang from file_node group by 1) select coalesce(l.lang, 'unknown') as lang, count(*) as seen, count(*) filter (e.to_path in (select path from file_node where path is not null)) as resolved from edge_imports e left join l on l.path = e.from_path group by 1", lambda s, d: upkeep.import_coverage(table(s, d, "edge_imports"), table(s, d, "file_node")))
+_q(
+    "q_first_call_site",
+    f"with {_CLIVE}, j as (select a.file_path as a, b.file_path as b, a.start_line as line, src as from_id, dst as to_id, row_number() over (partition by a.file_path, b.file_path order by a.start_line, src, dst) as rn from clive join function_node a on a.id = src join function_node b on b.id = dst where a.file_path <> b.file_path) select a, b, line, from_id, to_id from j where rn = 1",
+    lambda s, d: upkeep.first_call_site(table(s, d, "edge_calls").where("from_id <> '' and to_id <> ''"), table(s, d, "function_node")),
+)
+_q(
+    "q_definition_order",
+    "with h as (select id, file_path, case when lower(name) = 'emit' then 0 when starts_with(lower(name), 'emit') then 1 else 2 end as match, regexp_matches(file_path, '(?i)(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|\\.(md|mdx|rst|txt)$')::int as late from function_node where contains(lower(name), 'emit')) select id, match::int as match, (row_number() over (order by match, late, length(file_path), id) - 1)::int as rank from h order by rank limit 50",
+    lambda s, d: upkeep.definition_order(table(s, d, "function_node"), "emit"),
+)
+_q(
+    "q_file_tiers",
+    f"""with h as ({cascade_sql(f"select id as doc, {_SPLIT.format('name')} as nm, docstring as bd from function_node", 40)}), j as (select h.query, f.file_path, h.score, coalesce(n.role, '') = 'test' as is_test from h join function_node f on f.id = h.doc left join (select path, max(role) as role from file_node group by 1) n on n.path = f.file_path),
+g as (select query, file_path, max(score) as b, sum(score) as s, max(is_test::int) as t from j group by 1, 2), r as (select query, file_path, round((b + 0.3 * (s - b)) * case when t = 1 then 0.5 else 1 end, 6) as score from g), k as (select *, row_number() over (partition by query order by score desc, file_path) - 1 as rank from r)
+select query, file_path, score, rank::int as rank, case when rank < 3 then 1 else 2 end::int as tier from k where rank < 8""",
+    lambda s, d: _tiers(s, d),
+)
+
+
+def _tiers(s: SparkSession, d: str) -> DataFrame:
+    h = _shown(search.search(table(s, d, "function_node").select("id", "name", "docstring"), "id", X.tokenize_identifier("name"), F.col("docstring"), asked(s), 40))
+    role = table(s, d, "file_node").groupBy(F.col("path").alias("file_path")).agg(F.max("role").alias("role"))
+    j = h.join(table(s, d, "function_node").select(F.col("id").alias("doc"), "file_path"), "doc").join(role, "file_path", "left")
+    return upkeep.file_tiers(j.select("query", "file_path", "score", (F.coalesce("role", F.lit("")) == "test").alias("is_test"), F.lit(True).alias("has_code")))
+
+
+_q("q_scoped", "select path, title, null::varchar as slug, 'memory' as scope from memory_entries union all select path, title, slug, 'plan' from plan_entries", lambda s, d: upkeep.scoped(memory=table(s, d, "memory_entries").select("path", "title"), plan=table(s, d, "plan_entries").select("path", "title", "slug")).select("path", "title", "slug", "scope"))
+_q(
+    "q_module_doc",
+    "select f.path, substr(trim(regexp_replace(regexp_replace(case when f.path like '%.py' then coalesce(nullif(regexp_extract(b.body, '^(?:\\s|#[^\\n]*\\n)*\"\"\"((?s:.)*?)\"\"\"', 1), ''), '') else '' end, '(?is)^.*?\\bdescription:\\s*', ''), '\\s+', ' ', 'g')), 1, 240) as module_doc from (select distinct path, git_blob_sha from file_node where path like '%.py' or path like '%.go') f join source_blob b using (git_blob_sha)",
+    lambda s, d: upkeep.module_doc(table(s, d, "file_node").where("path like '%.py' or path like '%.go'").select("path", "git_blob_sha").distinct().join(table(s, d, "source_blob").select("git_blob_sha", "body"), "git_blob_sha")),
+)

@@ -567,3 +567,25 @@ def test_entry_lists_are_ordered(spark):
     e = spark.createDataFrame([("b", "x", 2.0), ("a", "x", 2.0), ("c", "", 9.0), ("d", None, None), ("e", "x", None)], "path string, kind string, mtime double")
     assert [r.path for r in knowledge.entry_list(e, kind="x").collect()] == ["a", "b", "e"]
     assert [r.path for r in knowledge.entry_list(e, 2, kind="*").collect()] == ["a", "b"]
+
+
+def test_upkeep_over_dirt(spark, rows):
+    from graphquilt.operators import upkeep
+
+    owners = spark.createDataFrame([("a",), (None,)], "path string")
+    data = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None), ("3", None)], "id string, path string")
+    assert rows(upkeep.orphans(data, "path", owners, owners.limit(0)), "id") == [("2",), ("3",), ("3",)]
+    e = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "d")], "from_id string, to_id string")
+    assert rows(upkeep.stale_edges(e, e.where("from_id = 'a'"))) == [("c", "d")]
+    p = spark.createDataFrame([("apps",), ("apps/x.py",), ("apps2/x.py",), (None,)], "path string")
+    assert rows(upkeep.relocate(p, "apps", "lib/apps/", "path")) == sorted([("lib/apps",), ("lib/apps/x.py",), ("apps2/x.py",), (None,)], key=repr)
+    none = spark.createDataFrame([], "outcome string, n long")
+    assert rows(upkeep.recall_stats(none)) == [(0, 0, 0, 0, 0, "0%", "0%")]
+    files = spark.createDataFrame([("a.py", "python"), ("a.py", "python"), (None, None)], "path string, lang string")
+    imp = spark.createDataFrame([("a.py", "a.py"), ("a.py", "gone"), ("x", None)], "from_path string, to_path string")
+    assert rows(upkeep.import_coverage(imp, files)) == [("python", 2, 1), ("unknown", 1, 0)]
+    docs = [("a.py", '# -*- x -*-\n"""Reads\n  rows."""\nx'), ("b.ts", "/**\n * Description: sends it.\n */\nlet a"), ("c.md", "# T\n\nFirst line\nsecond.\n\nx"), ("d.yml", "# one\n# two\na: 1"), ("e.py", None), ("f.bin", "x")]
+    got = dict(rows(upkeep.module_doc(spark.createDataFrame(docs, "path string, body string"))))
+    assert got == {"a.py": "Reads rows.", "b.ts": "sends it.", "c.md": "First line second.", "d.yml": "one two", "e.py": "", "f.bin": ""}
+    h = spark.createDataFrame([("q", "a", 2.0, False, True), ("q", "a", 1.0, False, True), ("q", "t", 2.0, True, True), ("q", "d", 2.0, False, False)], "query string, file_path string, score double, is_test boolean, has_code boolean")
+    assert rows(upkeep.file_tiers(h, 1, 1), "file_path", "score", "tier") == [("a", 2.3, 1), ("d", 1.0, 2)]
