@@ -58,9 +58,8 @@ def call_edges(sites: DataFrame, functions: DataFrame, imports: DataFrame, has_m
     c = own_class.unionByName(own_file).unionByName(imported).unionByName(loose)
     if has_method is not None and inherits is not None:
         c = c.unionByName(_inherited(s, functions, has_method, inherits))
-    best = c.groupBy("from_id", "name", "kind", "hint").agg(F.min("rule").alias("_best")).withColumnsRenamed({x: f"_{x}" for x in ("from_id", "name", "kind", "hint")})
-    same = [c[x].eqNullSafe(best[f"_{x}"]) for x in ("from_id", "name", "kind", "hint")]
-    return c.join(best, [*same, c["rule"] == best["_best"]], "left_semi").groupBy("from_id", "to_id").agg(F.min("rule").alias("rule"))
+    w = Window.partitionBy("from_id", "name", "kind", "hint")  # the candidates of one site
+    return c.withColumn("_best", F.min("rule").over(w)).where("rule = _best").groupBy("from_id", "to_id").agg(F.min("rule").alias("rule"))
 
 
 def ancestors(inherits: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable, spread
+from ..session import importable, materialise, spread
 
 _DEF = T.StructType(
     [
@@ -432,7 +432,8 @@ def definitions(files: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
         f = f.where(F.col("git_blob_sha").isNotNull()).select("path", "lang", F.col("git_blob_sha").alias("key"))
         b = blobs.where(F.col("git_blob_sha").isNotNull() & F.col("body").isNotNull()).groupBy(F.col("git_blob_sha").alias("key")).agg(F.first("body").alias("body"))
         texts = f.select("key", "lang").distinct().join(b, "key")
-    parsed = spread(texts.select(F.concat_ws("\x00", "key", "lang").alias("path"), "lang", "body")).mapInPandas(_run, _DEF).withColumnRenamed("path", "_of")
+    # written once: definitions are read by many tables, and parsing is the costly part
+    parsed = materialise(spread(texts.select(F.concat_ws("\x00", "key", "lang").alias("path"), "lang", "body")).mapInPandas(_run, _DEF).withColumnRenamed("path", "_of"), "parsed")
     at = f.select("path", F.concat_ws("\x00", "key", "lang").alias("_of")).distinct()
     return parsed.join(at, "_of").select(*[c.name for c in _DEF])
 
