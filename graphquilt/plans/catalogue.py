@@ -11,7 +11,7 @@ from ..functions import roles
 from ..functions import text as X
 from ..operators import communities, context, graph, insight, rationale, report, scanning, search
 from ..operators.store import GraphStore
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..sources import code
 from ..sources import text as S
 from ..sources.tables import table
@@ -113,9 +113,14 @@ _q("q_communities")(lambda s, d: _communities(s, d)[1])
 _q("q_community_members")(lambda s, d: _communities(s, d)[0])
 
 
+def _members(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """File links and the communities of files, each computed once."""
+    links = materialise(_file_graph(s, d).select("a", "b", "weight"), "links")
+    return links, materialise(communities.detect(links), "members")
+
+
 def _communities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    links = _file_graph(s, d).select("a", "b", "weight")
-    m = communities.detect(links)
+    links, m = _members(s, d)
     return m, communities.describe(links, m)
 
 
@@ -325,8 +330,7 @@ _q("q_bridges")(lambda s, d: _bridges(s, d))
 
 def _bridges(s: SparkSession, d: str) -> DataFrame:
     """Files that link several communities."""
-    links = _file_graph(s, d).select("a", "b", "weight")
-    return communities.bridges(links, communities.detect(links))
+    return communities.bridges(*_members(s, d))
 
 
 _q(

@@ -589,3 +589,53 @@ def test_upkeep_over_dirt(spark, rows):
     assert got == {"a.py": "Reads rows.", "b.ts": "sends it.", "c.md": "First line second.", "d.yml": "one two", "e.py": "", "f.bin": ""}
     h = spark.createDataFrame([("q", "a", 2.0, False, True), ("q", "a", 1.0, False, True), ("q", "t", 2.0, True, True), ("q", "d", 2.0, False, False)], "query string, file_path string, score double, is_test boolean, has_code boolean")
     assert rows(upkeep.file_tiers(h, 1, 1), "file_path", "score", "tier") == [("a", 2.3, 1), ("d", 1.0, 2)]
+
+
+def _gaps(lab, edges):
+    """Gains of every single move to a neighbouring community, times all strength."""
+    m2, near, deg, mass = 2 * sum(edges.values()), defaultdict(lambda: defaultdict(float)), defaultdict(float), defaultdict(float)
+    for (i, j), w in edges.items():
+        near[i][lab[j]] += w
+        near[j][lab[i]] += w
+        deg[i] += w
+        deg[j] += w
+    for i in deg:
+        mass[lab[i]] += deg[i]
+    return [near[i][c] - deg[i] * mass[c] / m2 - near[i][lab[i]] + deg[i] * (mass[lab[i]] - deg[i]) / m2 for i in deg for c in near[i] if c != lab[i]]
+
+
+def _pieces(lab, edges):
+    """Number of connected parts of all communities."""
+    root = {i: i for i in lab}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        if lab[i] == lab[j]:
+            root[find(i)] = find(j)
+    return len({find(i) for i in root})
+
+
+def test_communities_end_where_no_file_gains_by_a_move(spark):
+    from graphquilt import session
+
+    rng = random.Random(11)
+    edges = {tuple(sorted(rng.sample(range(120), 2))): rng.choice([0.5, 1.0, 1.29]) for _ in range(600)}
+    name = lambda i: f"f{i:03d}"
+    rows = [(name(i), name(j), w) for (i, j), w in edges.items()]
+    links = spark.createDataFrame(rows, "a string, b string, weight double")
+    turned = spark.createDataFrame([(b, a, w) for a, b, w in reversed(rows)], "a string, b string, weight double").repartition(5)
+    written = len(session._WRITTEN)
+    lab = {int(r.node[1:]): r.community for r in communities.by_moves(links).collect()}
+    # few steps whatever the number of moves
+    assert len(session._WRITTEN) - written <= 2
+    assert {int(r.node[1:]): r.community for r in communities.by_moves(turned).collect()} == lab
+    # links beyond one block: groups meet in turns
+    parted = {int(r.node[1:]): r.community for r in communities.by_moves(links, most=-(-len(edges) // 2)).collect()}
+    for at in (lab, parted):
+        assert max(_gaps(at, edges)) <= 1e-9
+        assert _pieces(at, edges) == len(set(at.values()))
+        assert all(c == name(min(i for i in at if at[i] == c)) for c in set(at.values()))
