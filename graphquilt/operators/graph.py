@@ -239,12 +239,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found = None
     while True:
         # trim: a node without an incoming or outgoing edge is alone
+        n = e.count()
         while True:
-            n = e.count()
             has_in, has_out = e.select(F.col("dst").alias("k")).distinct(), e.select(F.col("src").alias("k")).distinct()
             both = has_in.join(has_out, "k")
             e = cut(e.join(both, F.col("src") == F.col("k"), "left_semi").join(both, F.col("dst") == F.col("k"), "left_semi"))
-            if e.count() == n:
+            before, n = n, e.count()
+            if n == before:
                 break
         if n == 0:
             break

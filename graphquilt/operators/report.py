@@ -75,10 +75,13 @@ def architecture_report(files: DataFrame, imports: DataFrame, functions: DataFra
     # four findings read these two tables
     links = materialise(graph.file_graph(files, imports, functions, calls).select("a", "b", "weight"), "links")
     member = materialise(communities.detect(links), "members")
-    e = graph.live(graph.pairs(imports, "from_path", "to_path"), files, "path")
+    e = materialise(graph.live(graph.pairs(imports, "from_path", "to_path"), files, "path"), "imports")
+    w = Window.partitionBy("finding").orderBy(F.desc("weight"), "subject")
 
     def found(df: DataFrame, name: str, subject: Column, weight: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("finding"), subject.alias("subject"), weight.cast("double").alias("weight"))
+        # one at a time, so the driver holds one plan and not all of them
+        f = df.select(F.lit(name).alias("finding"), subject.alias("subject"), weight.cast("double").alias("weight"))
+        return materialise(f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most), "finding")
 
     arrow = lambda a, b: F.concat(F.col(a), F.lit(" -> "), F.col(b))
     parts = [
@@ -92,8 +95,7 @@ def architecture_report(files: DataFrame, imports: DataFrame, functions: DataFra
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.partitionBy("finding").orderBy(F.desc("weight"), "subject")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return out
 
 
 def resume(parts: DataFrame, budget_bytes: int = 16_384) -> DataFrame:

@@ -639,3 +639,19 @@ def test_communities_end_where_no_file_gains_by_a_move(spark):
         assert max(_gaps(at, edges)) <= 1e-9
         assert _pieces(at, edges) == len(set(at.values()))
         assert all(c == name(min(i for i in at if at[i] == c)) for c in set(at.values()))
+
+
+def test_architecture_report_of_the_data_takes_few_steps(spark):
+    from graphquilt import session
+    from graphquilt.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    written = len(session._WRITTEN)
+    got = catalogue.QUERIES["q_architecture_report"](spark, d).collect()
+    assert len(session._WRITTEN) - written <= 12
+    by = defaultdict(list)
+    for r in got:
+        by[r.finding].append((-r.weight, r.subject, r.rank))
+    assert all([x[2] for x in sorted(v)] == list(range(1, len(v) + 1)) and len(v) <= 10 for v in by.values())
+    bridge = sorted((-r.n_communities, r.node) for r in catalogue.QUERIES["q_bridges"](spark, d).where("n_communities > 1").collect())[:10]
+    assert [x[:2] for x in sorted(by["bridge"])] == bridge
