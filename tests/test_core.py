@@ -655,3 +655,22 @@ def test_architecture_report_of_the_data_takes_few_steps(spark):
     assert all([x[2] for x in sorted(v)] == list(range(1, len(v) + 1)) and len(v) <= 10 for v in by.values())
     bridge = sorted((-r.n_communities, r.node) for r in catalogue.QUERIES["q_bridges"](spark, d).where("n_communities > 1").collect())[:10]
     assert [x[:2] for x in sorted(by["bridge"])] == bridge
+
+
+
+def test_bridges_of_the_data_take_few_steps(spark):
+    from graphquilt import session
+    from graphquilt.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    written = len(session._WRITTEN)
+    got = {r.node: r.n_communities for r in catalogue.QUERIES["q_bridges"](spark, d).collect()}
+    assert len(session._WRITTEN) - written <= 5
+    links = catalogue._file_graph(spark, d).collect()
+    at = {r.node: r.community for r in catalogue.QUERIES["q_community_members"](spark, d).where("not is_hub").collect()}
+    want = defaultdict(set)
+    for r in links:
+        if r.a in at and r.b in at and at[r.a] != at[r.b]:
+            want[r.a].add(at[r.b])
+            want[r.b].add(at[r.a])
+    assert got == {n: len(c) for n, c in want.items()}
