@@ -674,3 +674,18 @@ def test_bridges_of_the_data_take_few_steps(spark):
             want[r.a].add(at[r.b])
             want[r.b].add(at[r.a])
     assert got == {n: len(c) for n, c in want.items()}
+
+
+
+def test_members_of_the_data_take_few_steps(spark):
+    from graphquilt import session
+    from graphquilt.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    written = len(session._WRITTEN)
+    m = catalogue.QUERIES["q_community_members"](spark, d).collect()
+    assert len(session._WRITTEN) - written <= 5
+    ends = {x for r in catalogue._file_graph(spark, d).collect() for x in (r.a, r.b)}
+    assert len(m) == len(ends) and {r.node for r in m} == ends
+    assert all((r.community is None) == r.is_hub for r in m)
+    assert all(min(r.node for r in m if r.community == c) == c for c in {r.community for r in m if not r.is_hub})
