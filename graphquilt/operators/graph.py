@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, materialise
 from .skew import hot_keys, salted_join, salted_semi_join
 
 # Names that something outside the code calls.
@@ -301,8 +301,47 @@ def file_graph(files: DataFrame, imports: DataFrame, functions: DataFrame, calls
         return df.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").alias(name))
 
     g = paired(i, "n_imports").join(paired(c, "n_calls"), ["a", "b"], "full_outer").na.fill(0, ["n_imports", "n_calls"])
+    return g.withColumn("weight", _weight())
+
+
+def _weight() -> Column:
     w = F.when(F.col("n_imports") > 0, 1.0).otherwise(0.0) + F.when(F.col("n_calls") > 0, 0.5 * F.log2(F.col("n_calls") + 1)).otherwise(0.0)
-    return g.withColumn("weight", F.round(w, 6))
+    return F.round(w, 6)
+
+
+def numbered(nodes: DataFrame) -> DataFrame:
+    """``node, id`` with a number of its own for each node: a hash, of another seed where two nodes share one."""
+    seed = 0
+    while True:
+        names = cut(nodes.select("node", F.xxhash64("node", F.lit(seed)).alias("id")))
+        n, distinct = names.agg(F.count("id"), F.countDistinct("id")).first()
+        if n == distinct:
+            return names
+        seed += 1
+
+
+def _print(name: str) -> Column:
+    """128 bits that stand for a name in joins: two of a billion names share them with a chance under 1e-20."""
+    return F.struct(F.xxhash64(name).alias("h"), F.xxhash64(F.lit(1), name).alias("g"))
+
+
+def numbered_links(files: DataFrame, imports: DataFrame, functions: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, id`` of the files and the links of ``file_graph`` between their numbers, ``a, b, weight``.
+
+    Names are joined by their prints and links by numbers, so the paths of a link's ends are not shuffled.
+    """
+    names = numbered(files.where(F.coalesce("role", F.lit("other")) != "test").select(F.col("path").alias("node")).where("node is not null").distinct())
+    at = lambda k, v: names.select(_print("node").alias(k), F.col("id").alias(v))
+    f = functions.where("id is not null").groupBy(_print("id").alias("k")).agg(F.max("file_path").alias("path")).where("path is not null")
+    f = materialise(f.select("k", _print("path").alias("p")).join(at("p", "file"), "p").select("k", "file"), "functions")
+    of = lambda k, v: f.select(F.col("k").alias(k), F.col("file").alias(v))
+    i = imports.where("from_path is not null and to_path is not null and from_path <> to_path").groupBy(_print("from_path").alias("src"), _print("to_path").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    i = i.join(at("dst", "y"), "dst").select("src", "y", "n").join(at("src", "x"), "src")
+    c = calls.where("from_id is not null and to_id is not null").select(_print("from_id").alias("src"), _print("to_id").alias("dst"))
+    c = salted_join(c, of("dst", "y"), "dst", F.col("src")).select("src", "y").join(of("src", "x"), "src").where("x <> y")
+    pair = lambda df, n_imports, n_calls: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), n_imports.cast("long").alias("n_imports"), n_calls.cast("long").alias("n_calls"))
+    g = pair(i, F.col("n"), F.lit(0)).unionAll(pair(c, F.lit(0), F.lit(1))).groupBy("a", "b").agg(F.sum("n_imports").alias("n_imports"), F.sum("n_calls").alias("n_calls"))
+    return names, g.select("a", "b", _weight().alias("weight"))
 
 
 def modularity(links: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:

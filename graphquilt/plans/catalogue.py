@@ -109,19 +109,28 @@ i as (select least(from_path, to_path) as a, greatest(from_path, to_path) as b,
 c as (select least(x.file_path, y.file_path) as a, greatest(x.file_path, y.file_path) as b, count(*) as n_calls from edge_calls e join function_node x on x.id = e.from_id join function_node y on y.id = e.to_id where x.file_path <> y.file_path and x.file_path in (select path from keep) and y.file_path in (select path from keep) group by 1, 2),
 fg as (select coalesce(i.a, c.a) as a, coalesce(i.b, c.b) as b, coalesce(n_imports, 0) as n_imports, coalesce(n_calls, 0) as n_calls from i full join c on i.a = c.a and i.b = c.b)"""
 _q("q_file_graph", f"with {_FG} select a, b, n_imports, n_calls, round(case when n_imports > 0 then 1.0 else 0.0 end + case when n_calls > 0 then 0.5 * log2(n_calls + 1) else 0.0 end, 6) as weight from fg")(_file_graph)
-_q("q_communities")(lambda s, d: _communities(s, d)[1])
-_q("q_community_members")(lambda s, d: _communities(s, d)[0])
 
 
-def _members(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """File links and the communities of files, each computed once."""
-    links = materialise(_file_graph(s, d).select("a", "b", "weight"), "links")
-    return links, materialise(communities.detect(links), "members")
+def _detected(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Names of files, and by their numbers the links without hubs, members and hubs, each computed once."""
+    names, links = graph.numbered_links(table(s, d, "file_node"), table(s, d, "edge_imports"), table(s, d, "function_node"), table(s, d, "edge_calls"))
+    return names, *communities.detect_numbered(materialise(links, "links"))
 
 
-def _communities(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    links, m = _members(s, d)
-    return m, communities.describe(links, m)
+@_q("q_communities")
+def _communities(s: SparkSession, d: str) -> DataFrame:
+    """Communities of files."""
+    names, links, m, _ = _detected(s, d)
+    found = communities.describe(links, m, names.select(F.col("id").alias("node"), F.col("node").alias("path")))
+    return found.join(communities.labels(names, m), "community").select(F.col("least").alias("community"), *[c for c in found.columns if c != "community"])
+
+
+@_q("q_community_members")
+def _members(s: SparkSession, d: str) -> DataFrame:
+    """The community of every file, hubs without one."""
+    names, _, m, hub = _detected(s, d)
+    out = names.join(m.withColumnRenamed("node", "id"), "id").join(communities.labels(names, m), "community").select("node", F.col("least").alias("community"), "is_hub")
+    return out.unionByName(names.join(hub.withColumnRenamed("node", "id"), "id").select("node", F.lit(None).cast("string").alias("community"), F.lit(True).alias("is_hub")))
 
 
 _q("q_callers", f"with {_CLIVE} select c.dst as id, f.name, f.file_path, count(*) as n_callers, count(distinct g.file_path) as n_files from clive c join function_node f on f.id = c.dst join function_node g on g.id = c.src group by 1, 2, 3")(lambda s, d: insight.callers(table(s, d, "function_node"), table(s, d, "edge_calls")))
@@ -325,12 +334,11 @@ _q(
     f"with p as ({_PAIRS}), m as (select coalesce(a.layer, 'other') as src_layer, coalesce(b.layer, 'other') as dst_layer, count(*) as n_links from p join file_node a on a.path = p.src join file_node b on b.path = p.dst group by 1, 2) select * from m where (src_layer = 'domain' and dst_layer in ('application', 'presentation')) or (src_layer = 'application' and dst_layer = 'presentation') or (src_layer = 'infra' and dst_layer = 'presentation')",
 )(lambda s, d: insight.layer_inversions(table(s, d, "file_node"), table(s, d, "edge_imports")))
 _q("q_rationale")(lambda s, d: rationale.with_symbol(rationale.comment_blocks(_files(s, d)), table(s, d, "function_node")))
-_q("q_bridges")(lambda s, d: _bridges(s, d))
-
-
+@_q("q_bridges")
 def _bridges(s: SparkSession, d: str) -> DataFrame:
     """Files that link several communities."""
-    return communities.bridges(*_members(s, d))
+    names, links, m, _ = _detected(s, d)
+    return names.join(communities.bridges(links, m).withColumnRenamed("node", "id"), "id").select("node", "n_communities")
 
 
 _q(

@@ -689,3 +689,43 @@ def test_members_of_the_data_take_few_steps(spark):
     assert len(m) == len(ends) and {r.node for r in m} == ends
     assert all((r.community is None) == r.is_hub for r in m)
     assert all(min(r.node for r in m if r.community == c) == c for c in {r.community for r in m if not r.is_hub})
+
+
+def _long_paths(spark, d):
+    """Four groups of 60 files of paths that hardly compress, linked inside and a little between, written to ``d``."""
+    rng = random.Random(5)
+    path = [f"g{i // 60}/{rng.randbytes(100).hex()}.py" for i in range(240)]
+    ends = [(rng.randrange(240), rng.random()) for _ in range(3000)]
+    ends = [(i, i // 60 * 60 + rng.randrange(60) if p < 0.9 else rng.randrange(240)) for i, p in ends]
+    spark.createDataFrame([(p, "other") for p in path], "path string, role string").write.parquet(f"{d}/file_node.parquet")
+    spark.createDataFrame([(f"{p}::f", p) for p in path], "id string, file_path string").write.parquet(f"{d}/function_node.parquet")
+    spark.createDataFrame([(path[i], path[j]) for i, j in ends[:1000]] + [(path[0], None), (path[0], "gone.py")], "from_path string, to_path string").write.parquet(f"{d}/edge_imports.parquet")
+    spark.createDataFrame([(f"{path[i]}::f", f"{path[j]}::f") for i, j in ends[1000:]] + [(f"{path[0]}::f", "gone"), (None, f"{path[0]}::f")], "from_id string, to_id string").write.parquet(f"{d}/edge_calls.parquet")
+
+
+def _shuffled(spark, run):
+    """What ``run`` returns and the MB of shuffles it writes."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def mb():
+        sc.listenerBus().waitUntilEmpty(10_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
+
+    before = mb()
+    out = run()
+    return out, mb() - before
+
+
+def test_bridges_shuffle_numbers_not_paths(spark, rows, tmp_path):
+    from graphquilt.plans import catalogue
+
+    d = str(tmp_path)
+    _long_paths(spark, d)
+    links = catalogue._file_graph(spark, d).select("a", "b", "weight")
+    names, by_number = graph.numbered_links(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("file_node", "edge_imports", "function_node", "edge_calls")))
+    assert all(r.a < r.b for r in by_number.collect())
+    path = {r.id: r.node for r in names.collect()}
+    assert sorted((*sorted((path[r.a], path[r.b])), r.weight) for r in by_number.collect()) == rows(links, "a", "b", "weight")
+    got, mb = _shuffled(spark, lambda: rows(catalogue.QUERIES["q_bridges"](spark, d), "node", "n_communities"))
+    assert got and got == rows(communities.bridges(links, communities.detect(links)), "node", "n_communities")
+    assert mb < 1
