@@ -729,3 +729,14 @@ def test_bridges_shuffle_numbers_not_paths(spark, rows, tmp_path):
     got, mb = _shuffled(spark, lambda: rows(catalogue.QUERIES["q_bridges"](spark, d), "node", "n_communities"))
     assert got and got == rows(communities.bridges(links, communities.detect(links)), "node", "n_communities")
     assert mb < 1
+
+
+def test_members_shuffle_numbers_not_paths(spark, rows, tmp_path):
+    from graphquilt.plans import catalogue
+
+    d = str(tmp_path)
+    _long_paths(spark, d)
+    got, mb = _shuffled(spark, lambda: rows(catalogue.QUERIES["q_community_members"](spark, d), "node", "community", "is_hub"))
+    assert got == rows(communities.detect(catalogue._file_graph(spark, d).select("a", "b", "weight")), "node", "community", "is_hub")
+    assert any(r[2] for r in got) and len({r[1] for r in got if not r[2]}) > 1
+    assert mb < 1
