@@ -2,21 +2,24 @@
 
 The links of a block are arrays of ends and weights, its nodes carry a community
 and a strength.  All members of a community are in the block, so every gain is
-exact.  Nodes move in small lots, each lot seeing what the lots before it did, as
-long as a pass over them raises the objective; the rest move one by one.  It ends
-when no node of the block gains by a move.
+exact.  Nodes move in small lots, each lot seeing what the lots before it did; of
+a lot that would not raise the objective as a whole, those that gain most move.
+Lower levels are left when few nodes move; the last pass over the nodes of the
+block ends when none of them gains by a move.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 
 #: A gain relative to a node's strength below which it does not move.
 GAIN = 1e-12
 #: Lots of a pass; nodes of one lot do not see each other's moves.
 LOTS = 32
+#: Pulls of nodes are summed in a table where it has at most so many fields a link, else sorted.
+DENSE = 4
+#: Levels that are moved again later are left when a pass moves one node of so many.
+FEW = 1000
 
 
 class Block:
@@ -37,20 +40,28 @@ class Block:
         row = np.repeat(np.arange(len(nodes)), many)
         return np.arange(len(row)) + np.repeat(self.start[nodes] - np.cumsum(many) + many, many), row
 
-    def objective(self, at: np.ndarray, mass: np.ndarray) -> float:
-        return 2.0 * self.w[at[self.x] == at[self.y]].sum() - self.share * (mass * mass).sum()
-
-    def better(self, nodes: np.ndarray, at: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of ``nodes`` that gain by a move and where each gains most (the least such community)."""
+    def better(self, nodes: np.ndarray, at: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of ``nodes`` that gain by a move, where each gains most (the least such community) and how much."""
         pos, row = self.edges(nodes)
         if not len(pos):
-            return nodes[:0], nodes[:0]
-        key = row * self.n + at[self.dst[pos]]
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        pull = np.add.reduceat(self.weight[pos[order]], first)
-        row, c = np.divmod(key[first], self.n)
+            return nodes[:0], nodes[:0], self.k[:0]
+        n = len(mass)
+        key = row * n + at[self.dst[pos]]
+        if len(nodes) * n <= DENSE * len(pos):
+            pull = np.bincount(key, weights=self.weight[pos])
+            key = np.flatnonzero(pull)
+            pull = pull[key]
+        else:
+            if len(nodes) * n < 2**62 // len(pos):
+                # numbers sort faster than places do, so each carries its place
+                key, order = np.divmod(np.sort(key * len(pos) + np.arange(len(pos))), len(pos))
+            else:
+                order = np.argsort(key)
+                key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            pull = np.add.reduceat(self.weight[pos[order]], first)
+            key = key[first]
+        row, c = np.divmod(key, n)
         k, here = self.k[nodes], at[nodes]
         own = c == here[row]
         stay = np.zeros(len(nodes))
@@ -59,72 +70,58 @@ class Block:
         gain = np.where(own, -np.inf, pull - self.share * k[row] * mass[c])
         head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         best = np.maximum.reduceat(gain, head)
-        to = np.minimum.reduceat(np.where(gain == np.repeat(best, np.diff(np.append(head, len(gain)))), c, self.n), head)
+        to = np.minimum.reduceat(np.where(gain == np.repeat(best, np.diff(np.append(head, len(gain)))), c, n), head)
         who = row[head]
-        moves = best > stay[who] + GAIN * k[who]
-        return nodes[who[moves]], to[moves]
-
-    def settle(self, at: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Communities when no node gains by a move, and whether any moved."""
-        at, moved = at.copy(), False
+        more = best - stay[who]
+        moves = more > GAIN * k[who]
+        return nodes[who[moves]], to[moves], more[moves]
+
+    def rise(self, who: np.ndarray, to: np.ndarray, at: np.ndarray, mass: np.ndarray) -> float:
+        """What the objective gains when all of ``who`` move at once."""
+        pos, row = self.edges(who)
+        near, old = self.dst[pos], at[who]
+        now = at.copy()
+        now[who] = to
+        # a link between two of them comes from both its ends
+        times = np.where(now[near] != at[near], 1.0, 2.0)
+        links = (self.weight[pos] * times * ((to[row] == now[near]) * 1.0 - (old[row] == at[near]))).sum()
+        c, place = np.unique(np.concatenate([old, to]), return_inverse=True)
+        d = np.bincount(place, weights=np.concatenate([-self.k[who], self.k[who]]))
+        return links - self.share * (d * (2.0 * mass[c] + d)).sum()
+
+    def settle(self, at: np.ndarray, exact: bool = True) -> tuple[np.ndarray, bool]:
+        """Communities when no node gains by a move (unless ``exact``, only few do), and whether any moved."""
+        name, moved = np.arange(self.n), False
         mass = np.bincount(at, weights=self.k, minlength=self.n)
-        now, active, lots = self.objective(at, mass), np.arange(self.n), True
+        active = np.arange(self.n)
         while True:
-            whole = len(active) == self.n
-            if lots:
-                before, touched = at.copy(), np.zeros(self.n, bool)
-                some = False
-                for lot in np.array_split(active, LOTS):
-                    who, to = self.better(lot, at, mass)
-                    if len(who):
-                        some = True
-                        np.subtract.at(mass, at[who], self.k[who])
-                        np.add.at(mass, to, self.k[who])
-                        at[who] = to
-                        touched[self.dst[self.edges(who)[0]]] = True
-                if some:
-                    then = self.objective(at, mass)
-                    if then > now:
-                        now, moved, active = then, True, np.flatnonzero(touched)
-                        continue
-                    at, lots = before, False
-                    mass = np.bincount(at, weights=self.k, minlength=self.n)
-                    active = np.arange(self.n)
+            # communities are numbered anew, in order, as many of them have emptied
+            left, at = np.unique(at, return_inverse=True)
+            name, mass = name[left], mass[left]
+            whole, many = len(active) == self.n, 0
+            touched = np.zeros(self.n, bool)
+            for lot in np.array_split(active, LOTS):
+                who, to, more = self.better(lot, at, mass)
+                if not len(who):
                     continue
+                order = np.argsort(-more, kind="stable")
+                # where all together do not gain, those that gain most go first; one alone always does
+                while len(order) > 1 and self.rise(who[order], to[order], at, mass) <= GAIN * self.k[who[order]].sum():
+                    order = order[: len(order) // 2]
+                touched[who] = True
+                who, to = who[order], to[order]
+                np.subtract.at(mass, at[who], self.k[who])
+                np.add.at(mass, to, self.k[who])
+                at[who] = to
+                many += len(who)
+                touched[self.dst[self.edges(who)[0]]] = True
+            moved = moved or many > 0
+            if many > (0 if exact else self.n // FEW):
+                active = np.flatnonzero(touched)
+            elif whole or not exact:
+                return name[at], moved
             else:
-                who, _ = self.better(active, at, mass)
-                if len(who):
-                    moved = True
-                    self.one_by_one(who, at, mass)
-                    active = np.arange(self.n)
-                    continue
-            if whole:
-                return at, moved
-            active = np.arange(self.n)
-
-    def one_by_one(self, who: np.ndarray, at: np.ndarray, mass: np.ndarray) -> None:
-        """Moves nodes that gain, then those near them, each after the one before."""
-        queue, queued = deque(who.tolist()), set(who.tolist())
-        while queue:
-            i = queue.popleft()
-            queued.discard(i)
-            lo, hi = self.start[i], self.start[i + 1]
-            near = self.dst[lo:hi]
-            c, place = np.unique(at[near], return_inverse=True)
-            pull = np.bincount(place, weights=self.weight[lo:hi])
-            k, here = self.k[i], at[i]
-            own = c == here
-            stay = pull[own].sum() - self.share * k * (mass[here] - k)
-            gain = np.where(own, -np.inf, pull - self.share * k * mass[c])
-            best = int(np.argmax(gain))
-            if gain[best] > stay + GAIN * k:
-                mass[here] -= k
-                mass[c[best]] += k
-                at[i] = c[best]
-                for j in np.unique(near[at[near] != c[best]]).tolist():
-                    if j not in queued:
-                        queued.add(j)
-                        queue.append(j)
+                active = np.arange(self.n)
 
 
 def fold(b: Block, at: np.ndarray) -> tuple[Block, np.ndarray]:
@@ -142,7 +139,7 @@ def by_levels(b: Block) -> np.ndarray:
     """Communities of all nodes, level by level until none moves."""
     label = np.arange(b.n)
     while True:
-        at, moved = b.settle(np.arange(b.n))
+        at, moved = b.settle(np.arange(b.n), exact=False)
         if not moved:
             return label
         b, place = fold(b, at)

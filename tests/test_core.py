@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 from collections import defaultdict, deque
 from itertools import permutations
 
@@ -740,3 +741,37 @@ def test_members_shuffle_numbers_not_paths(spark, rows, tmp_path):
     assert got == rows(communities.detect(catalogue._file_graph(spark, d).select("a", "b", "weight")), "node", "community", "is_hub")
     assert any(r[2] for r in got) and len({r[1] for r in got if not r[2]}) > 1
     assert mb < 1
+
+
+def test_moves_look_at_links_a_bounded_number_of_times(monkeypatch):
+    import numpy as np
+    from graphquilt.operators import moves
+
+    # skewed ends, as of calls: lots of moves stop to gain early there
+    n, rng = 20_000, np.random.default_rng(3)
+    ends = np.sort(np.column_stack([rng.integers(0, n, 12 * n), (n * rng.random(12 * n) ** 2).astype(int)]), axis=1)
+    x, y = np.unique(ends[ends[:, 0] < ends[:, 1]], axis=0).T.copy()
+    w = rng.choice([500_000.0, 1_000_000.0, 1_290_000.0], len(x))
+    k = np.bincount(np.concatenate([x, y]), weights=np.concatenate([w, w]), minlength=n)
+    b = moves.Block(x, y, w, k, 1 / (2 * w.sum()))
+    looked, calls, edges = 0, 0, moves.Block.edges
+
+    def counted(self, nodes):
+        nonlocal looked
+        pos, row = edges(self, nodes)
+        looked += len(pos)
+        return pos, row
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    monkeypatch.setattr(moves.Block, "edges", counted)
+    before = sys.getprofile()
+    sys.setprofile(called)
+    at = moves.refined(b)
+    sys.setprofile(before)
+    assert looked < 100 * len(x) and calls < 25 * n
+    mass = np.bincount(at, weights=k, minlength=n)
+    assert not len(b.better(np.arange(n), at, mass)[0]) and (moves.connected(b, at) == at).all()
+    assert (2 * w[at[x] == at[y]].sum() - b.share * (mass * mass).sum()) * b.share > 0.195
